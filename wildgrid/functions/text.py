@@ -24,8 +24,8 @@ def mentions(column, words, whole_words=False):
     """
     pattern = "|".join(re.escape(w) for w in words)
     if whole_words:
-        pattern = rf"\b(?:{pattern})\b"
-    return F.coalesce(_col(column).rlike(f"(?i){pattern}"), F.lit(False))
+        pattern = rf"(?U)\b(?:{pattern})\b"
+    return F.coalesce(_col(column).rlike(f"(?iu){pattern}"), F.lit(False))
 
 
 def word_count(column):

@@ -36,8 +36,7 @@ def pick(names, v):
 
 def at_position(values, position):
     """Element at a 1-based position as ``array_position`` gives it; 0 gives null."""
-    p = _col(position).cast("int")
-    return F.when(p > 0, F.get(_col(values), p - 1))
+    return F.get(_col(values), _col(position).cast("int") - 1)
 
 
 def nearest(point, centroids):

@@ -95,9 +95,9 @@ def silhouette_exact(df, x, cluster, weight=None, block=1000):
     points = settle(points.withColumn("pid", F.monotonically_increasing_id()), "silhouette-points")
     blocks = max(1, -(-points.count() // block))
     points = points.withColumn("own_block", F.pmod(F.xxhash64("pid"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.withColumn("bi", F.col("own_block")).withColumn("bj", every.cast("long"))
-    right = points.withColumn("bj", F.col("own_block")).withColumn("bi", every.cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = points.withColumn("bi", F.col("own_block")).withColumn("bj", every)
+    right = points.withColumn("bj", F.col("own_block")).withColumn("bi", every)
     sums = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(
         lambda a, b: _block_sums(a, b) if len(a) and len(b) else pd.DataFrame(
             {"pid": [], "own": [], "n": [], "other": [], "dist": []}),

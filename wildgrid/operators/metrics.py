@@ -17,7 +17,8 @@ def pair_counts(df, truth="true_label", pred="prediction", by=()):
 
 def swapped(pairs):
     """The same counts with truth and prediction exchanged."""
-    return pairs.withColumnsRenamed({"truth": "pred", "pred": "truth"})
+    other = [c for c in pairs.columns if c not in ("truth", "pred")]
+    return pairs.select(*other, F.col("pred").alias("truth"), F.col("truth").alias("pred"))
 
 
 def confusion_matrix(pairs, labels):

@@ -54,6 +54,7 @@ INTERIM_COLUMNS = [
     "scientific_name", "common_name", "taxon_id",
 ] + TAXON_COLUMNS
 
+ID_ONLY = _fields([("id", _L)])
 BAD_QUALITY = _fields([("id", _L), ("image_url", _S), ("image_quality", _S)])
 
 WEATHER_JOB = _fields([("id", _L), ("latitude", _D), ("longitude", _D), ("obs_time", _S),

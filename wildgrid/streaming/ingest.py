@@ -4,11 +4,12 @@ Every batch reads what is already in the targets and adds only new ids, so a
 repeated batch, or a lost checkpoint, changes nothing.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..operators import enrich
+from ..operators.clean import dedupe_first
 from ..plans.cleaning import clean_batch
-from ..schemas import BAD_QUALITY, CASCADE_RESULTS, RAW_OBSERVATIONS, WEATHER_JOB, weather_payload
+from ..schemas import CASCADE_RESULTS, ID_ONLY, RAW_OBSERVATIONS, WEATHER_JOB, weather_payload
 from ..sources.sinks import append_new, read_or_empty
 
 
@@ -35,7 +36,7 @@ def stream_cleaning(spark, source, out, checkpoint, cells=None, files_per_batch=
         numbered = batch.withColumn("input_order", F.struct(
             F.col("input_order.at").alias("at"), F.col("input_order.file").alias("file"),
             F.col("input_order.block").alias("block"), F.monotonically_increasing_id().alias("row")))
-        done = [read_or_empty(session, f"{out}/{t}", BAD_QUALITY[["id"]]) for t in
+        done = [read_or_empty(session, f"{out}/{t}", ID_ONLY) for t in
                 ("interim", "bad_quality")]
         good, bad = clean_batch(numbered, cells, done)
         append_new(bad, f"{out}/bad_quality", "id")
@@ -46,12 +47,12 @@ def stream_cleaning(spark, source, out, checkpoint, cells=None, files_per_batch=
 
 def stream_enrichment(spark, source, out, checkpoint, files_per_batch=100, available_now=True):
     """Landed lines {job fields, payload} -> ``out/snapshots`` and ``out/rejects``."""
-    schema = WEATHER_JOB.add("payload", weather_payload()) if "payload" not in WEATHER_JOB.names \
-        else WEATHER_JOB
+    schema = T.StructType(WEATHER_JOB.fields + [T.StructField("payload", weather_payload())])
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
 
     def work(batch, number):
-        kept, rejected = enrich.snapshots(batch.where("id is not null").dropDuplicates(["id"]))
+        kept, rejected = enrich.snapshots(
+            dedupe_first(batch.where("id is not null"), "id", ["obs_time", "start_date"]))
         append_new(rejected, f"{out}/rejects", "id")
         append_new(kept, f"{out}/snapshots", "id")
 
