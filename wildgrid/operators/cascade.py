@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import vectors
 from ..schemas import LEVEL_WEIGHTS
-from .probabilities import level_weight, mean_parts, to_vectors
+from .probabilities import level_weight
 from .quantiles import union_all
 from .storage import settle
 
@@ -44,18 +44,25 @@ def source_vectors(probabilities, key="id"):
     """Long probabilities (id, source, suffix, level, node, class, ordinal, p) ->
     one row per (id, level, node) with classes, meta and image vectors.
 
-    The image vector is the mean over the sub-images.
+    The image vector is the mean over the sub-images. An observation has as many
+    rows as its nodes have classes and parts, so all rows of an id are brought
+    together once; the groupings here and in ``descend`` need no other shuffle.
     """
-    node = [key, "level", "node"]
-    meta = to_vectors(probabilities.where("source = 'meta'"), node).withColumnRenamed("p", "meta")
-    parts = to_vectors(probabilities.where("source = 'image'"), [*node, "suffix"])
-    image = mean_parts(parts, node, "suffix").withColumnRenamed("p", "image")
-    return meta.join(image, node)
+    rows = probabilities.repartition(key)
+    means = rows.groupBy(key, "level", "node", "ordinal", "class").agg(
+        F.avg(F.when(F.col("source") == "meta", F.col("p"))).alias("m"),
+        F.avg(F.when(F.col("source") == "image", F.col("p"))).alias("i"))
+    cells = F.array_sort(F.collect_list(F.struct("ordinal", "class", "m", "i")))
+    return means.groupBy(key, "level", "node").agg(cells.alias("_v")).select(
+        key, "level", "node", F.col("_v.class").alias("classes"), F.col("_v.m").alias("meta"),
+        vectors.normalise("_v.i").alias("image"))
 
 
 def node_decisions(scores, weights=LEVEL_WEIGHTS):
     """Three decisions per (id, level, node); vectors with nulls decide nothing."""
-    usable = ~F.exists("meta", lambda x: x.isNull() | F.isnan(x))
+    usable = F.lit(True)
+    for source in ("meta", "image"):
+        usable = usable & F.forall(source, lambda x: x.isNotNull() & ~F.isnan(x))
     joint = vectors.blend("meta", "image", level_weight("level", weights))
     return scores.where(usable).withColumn("_j", joint).select(
         *[c for c in scores.columns if c not in ("meta", "image", "classes")],

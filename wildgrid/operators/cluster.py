@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import squared_distance
 from ..functions.hashing import hash_unit
 from .features import fit_scaler, standardise
-from .storage import scalar_of, settle
+from .storage import settle
 
 EXACT_LIMIT = 20000
 
@@ -43,9 +43,21 @@ def fit_kmeans(points, k, restarts=10, seed=1, max_iter=50):
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
+def dispersion(points, k, restarts=10, seed=1):
+    """Squared error of the best fit; for one cluster the spread around the mean."""
+    if k > 1:
+        return float(fit_kmeans(points, k, restarts, seed).summary.trainingCost)
+    n = F.col("n")
+    parts = []
+    for c in axes(points):
+        parts += [F.sum(n * F.col(c)).alias(f"{c}s"), F.sum(n * F.col(c) * F.col(c)).alias(f"{c}q")]
+    row = points.agg(F.sum("n").alias("n"), *parts).first()
+    return float(sum(row[f"{c}q"] - row[f"{c}s"] ** 2 / row["n"] for c in axes(points)))
+
+
 def elbow(spark, points, ks, **options):
     """(k, cost): squared error within the clusters per k."""
-    rows = [(k, float(fit_kmeans(points, k, **options).summary.trainingCost)) for k in ks]
+    rows = [(k, dispersion(points, k, **options)) for k in ks]
     return spark.createDataFrame(rows, "k int, cost double")
 
 
@@ -169,8 +181,8 @@ def gap_statistic(spark, points, ks, references=3, seed=1, restarts=1, box="unit
         samples.append(distinct_points(unit, cols))
     out = []
     for k in ks:
-        cost = [fit_kmeans(s, k, restarts, seed).summary.trainingCost for s in samples]
-        own = fit_kmeans(points, k, restarts, seed).summary.trainingCost
+        cost = [dispersion(s, k, restarts, seed) for s in samples]
+        own = dispersion(points, k, restarts, seed)
         out.append((int(k), float(np.log(np.mean(cost)) - np.log(own))))
     return spark.createDataFrame(out, "k int, gap double")
 
@@ -190,8 +202,3 @@ def pca_ratios(df, columns, k=None):
         wide.select("features"))
     rows = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)]
     return df.sparkSession.createDataFrame(rows, "component int, ratio double")
-
-
-def value_range(df, column):
-    """(min, max) columns evaluated inside the plan."""
-    return scalar_of(df, F.min(column)), scalar_of(df, F.max(column))

@@ -1,5 +1,7 @@
 """Probability vectors: means over sub-images, joint decisions of two sources."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -8,28 +10,15 @@ from ..functions import vectors
 def mean_parts(df, key, part, vector="p", label=None):
     """Mean vector over the parts of each key, scaled to sum to 1.
 
-    Sums run over exploded elements, combined before the shuffle, so a key with
-    very many parts is no problem. ``label``: the label of the first part.
+    One aggregation: vectors are added up before the shuffle, so a key with very
+    many parts is no problem. ``label``: the label of the first part.
     """
     key = [key] if isinstance(key, str) else list(key)
-    rows = df.select(*key, F.posexplode(vector).alias("ordinal", "x"),
-                     *([F.col(part).alias("_part"), F.col(label).alias("_label")] if label else []))
-    means = rows.groupBy(*key, "ordinal").agg(
-        F.avg("x").alias("p"),
-        *([F.min_by("_label", "_part").alias("_label")] if label else []))
-    out = means.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "p"))),
-                    lambda e: e["p"]).alias("_v"),
-        *([F.first("_label").alias(label)] if label else []))
-    return out.select(*key, vectors.normalise("_v").alias(vector), *([label] if label else []))
-
-
-def to_vectors(df, key, ordinal="ordinal", p="p", cls="class"):
-    """Long (key, ordinal, class, p) -> names and vector in class order."""
-    ordered = F.array_sort(F.collect_list(F.struct(ordinal, cls, p)))
-    return df.groupBy(*key).agg(ordered.alias("_v")).select(
-        *key, F.transform("_v", lambda e: e[cls]).alias("classes"),
-        F.transform("_v", lambda e: e[p]).alias("p"))
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("_m")
+    first = [F.min_by(label, part).alias(label)] if label else []
+    out = df.groupBy(*key).agg(mean, *first)
+    return out.select(*key, vectors.normalise(vector_to_array("_m")).alias(vector),
+                      *([label] if label else []))
 
 
 def level_weight(level, weights):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_number
 from .ranks import exact_rank, hash_cuts, parts_by_cuts
-from .storage import attach, bounded_rows, scalar_of, settle
+from .storage import attach, scalar_of, settle
 
 
 def stratified_split(df, label, key="id", fraction=0.2, seed=2, name="is_holdout"):
@@ -71,7 +71,7 @@ def with_class_weight(df, label, name="weight"):
     return attach(df, weights, label, "left", "weights")
 
 
-def oversample_smallest(df, label, key="id", seed=2, max_classes=100000):
+def oversample_smallest(df, label, key="id", seed=2):
     """Repeat rows of the smallest class until it is as large as the largest.
 
     Adds ``copy``: 0 for original rows. Draws are made in parallel and meet the
@@ -79,12 +79,13 @@ def oversample_smallest(df, label, key="id", seed=2, max_classes=100000):
     draws per row are many the minority is small, its table is broadcast by its
     size and draws are not shuffled; otherwise draws per row are few.
     """
-    sizes = class_sizes(df, label)
-    rows = bounded_rows(sizes.orderBy("n", label), max_classes, "classes")
+    row = class_sizes(df, label).agg(
+        F.min_by(F.struct(label, "n"), F.struct("n", label)).alias("least"),
+        F.max("n").alias("most")).first()
     originals = df.withColumn("copy", F.lit(0).cast("long"))
-    if len(rows) < 2 or rows[0]["n"] == rows[-1]["n"]:
+    if row["least"] is None or row["least"]["n"] == row["most"]:
         return originals
-    smallest, few, many = rows[0][label], rows[0]["n"], max(r["n"] for r in rows)
+    smallest, few, many = row["least"][label], row["least"]["n"], row["most"]
     minority = df.where(F.col(label) == F.lit(smallest))
     placed = settle(exact_rank(minority, [key], name="_place"), "minority")
     draws = df.sparkSession.range(1, many - few + 1).select(

@@ -1 +1,151 @@
-"""Queries."""
+"""Queries: node table, clusters, tuning, sweeps. Fits have no SQL form."""
+
+from pyspark.sql import functions as F
+
+from ..operators import cascade, cluster, train
+from ..operators.metrics import balanced_accuracy, class_report, pair_counts
+from ..operators.storage import settle
+from .adapter import observations, table, with_rounded
+from .catalogue import query
+
+
+@query("node_table", """
+  WITH p AS (SELECT p_type AS a, CASE WHEN p_size % 9 <> 0 THEN p_brand END AS b, p_name AS c,
+      (p_partkey * 7919) % 60000 AS acc, p_size > 3 AS named FROM part),
+  k AS (SELECT 'a' AS level, 'b' AS target, a AS parent, b AS child, count(*) FILTER (WHERE acc <= 40000 AND named) AS n
+        FROM p GROUP BY ALL
+    UNION ALL SELECT 'b', 'c', b, c, count(*) FILTER (WHERE acc <= 40000 AND named) FROM p WHERE b IS NOT NULL GROUP BY ALL)
+  SELECT level, target, parent, count(*) FILTER (WHERE n >= 5 AND child IS NOT NULL) AS classes FROM k GROUP BY ALL
+  HAVING count(*) FILTER (WHERE n >= 5 AND child IS NOT NULL) >= 2""")
+def node_table(spark, folder):
+    p = table(spark, folder, "part").select(
+        F.col("p_type").alias("a"), F.when(F.col("p_size") % 9 != 0, F.col("p_brand")).alias("b"),
+        F.col("p_name").alias("c"), F.when(F.col("p_size") > 3, F.col("p_name")).alias("common_name"),
+        ((F.col("p_partkey") * 7919) % 60000).alias("public_positional_accuracy"))
+    return train.node_table(p, ["a", "b", "c"])
+
+
+def vectors_as_columns(spark, folder, width=16):
+    """embeddings as rows with an id, a two-level label path and numeric features."""
+    e = table(spark, folder, "embeddings")
+    names = [f"f{i}" for i in range(width)]
+    return e.select(
+        F.col("vec_id").alias("id"), F.concat(F.lit("F"), F.col("label") % 2).alias("family"),
+        F.concat(F.lit("G"), F.col("label")).alias("genus"),
+        F.lit("x").alias("common_name"), F.lit(10.0).alias("public_positional_accuracy"),
+        *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names
+
+
+@query("kmeans_best_k")
+def kmeans_best_k(spark, folder):
+    """Silhouette per k on the distinct places of all observations."""
+    points = cluster.distinct_points(observations(spark, folder))
+    _, scores = cluster.choose_k(points, ks=[4, 6, 8], restarts=2, measure="squared")
+    return spark.createDataFrame(scores, "k int, score double, measure string")
+
+
+@query("elbow_one_cluster", """
+  WITH o AS (SELECT CAST((event_id * 37) % 181 - 90 AS DOUBLE) AS a, CAST((event_id * 53) % 361 - 180 AS DOUBLE) AS b
+             FROM events)
+  SELECT CAST(1 AS INTEGER) AS k, round(sum(a * a) - sum(a) ** 2 / count(*) + sum(b * b) - sum(b) ** 2 / count(*)
+    + 1e-5, 2) AS cost FROM o""")
+def elbow_one_cluster(spark, folder):
+    points = cluster.distinct_points(observations(spark, folder))
+    return with_rounded(cluster.elbow(spark, points, [1]), "cost", digits=2)
+
+
+@query("elbow_curve")
+def elbow_curve(spark, folder):
+    points = cluster.distinct_points(observations(spark, folder))
+    return cluster.elbow(spark, points, [2, 4, 8], restarts=2)
+
+
+@query("gap_statistic")
+def gap_statistic(spark, folder):
+    points = cluster.distinct_points(observations(spark, folder))
+    return cluster.gap_statistic(spark, points, [1, 2, 4], references=2, box="data")
+
+
+@query("pca_two_columns", """
+  WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+  SELECT CAST(1 AS INTEGER) AS component, round((1 + r) / 2 + 1e-9, 6) AS ratio FROM c
+  UNION ALL SELECT 2, round((1 - r) / 2 + 1e-9, 6) FROM c""")
+def pca_two_columns(spark, folder):
+    """Two standardised columns: the shares follow from their correlation."""
+    li = table(spark, folder, "lineitem")
+    return with_rounded(cluster.pca_ratios(li, ["l_quantity", "l_extendedprice"]), "ratio")
+
+
+@query("pca_ratio")
+def pca_ratio(spark, folder):
+    li = table(spark, folder, "lineitem")
+    return cluster.pca_ratios(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def _tuned(spark, folder, kind, grid, k=2, **options):
+    df, names = vectors_as_columns(spark, folder)
+    _, scores = train.tune(df, kind, "genus", names, grid, k=k, **options)
+    return scores
+
+
+@query("tune_tree")
+def tune_tree(spark, folder):
+    return _tuned(spark, folder, "tree", [3, 7])
+
+
+@query("tune_forest")
+def tune_forest(spark, folder):
+    return _tuned(spark, folder, "forest", [3, 7], trees=10)
+
+
+@query("tune_boosted")
+def tune_boosted(spark, folder):
+    df, names = vectors_as_columns(spark, folder)
+    return train.tune(df, "boosted", "family", names, [1, 3], k=2, iterations=5)[1]
+
+
+@query("tune_boosted_stumps")
+def tune_boosted_stumps(spark, folder):
+    return _tuned(spark, folder, "stumps", [1, 6])
+
+
+@query("tune_network")
+def tune_network(spark, folder):
+    return _tuned(spark, folder, "network", [0.1, 0.01], iterations=30)
+
+
+@query("embedding_head")
+def embedding_head(spark, folder):
+    """One linear softmax layer on frozen image vectors, 80/20 split by hash."""
+    from ..operators.sampling import hash_split
+
+    df, names = vectors_as_columns(spark, folder, 64)
+    split = settle(hash_split(df, "id", 80, 123), "head")
+    model = train.fit_node(split.where("part = 'train'"), "linear", "genus", names, 0.0)
+    scored = model.transform(split.where("part = 'test'"))
+    return class_report(pair_counts(scored, "genus", "predicted"), with_unseen=False)
+
+
+@query("node_sweep")
+def node_sweep(spark, folder):
+    """One tree per node, root included, with grouped holdout accuracy."""
+    df, names = vectors_as_columns(spark, folder)
+    _, predictions = train.sweep(df, ["family", "genus"], names, ["tree"], grids={"tree": [5]}, k=2,
+                                 root_target="family")
+    return balanced_accuracy(pair_counts(predictions, "true_label", "prediction", ["node", "kind"]),
+                             ["node", "kind"])
+
+
+@query("model_cascade")
+def model_cascade(spark, folder):
+    """Cascade with fitted models: trees as one source, linear heads as the other."""
+    df, names = vectors_as_columns(spark, folder, 32)
+    df = settle(df, "cascade")
+    levels = ["family", "genus"]
+    edges = cascade.hierarchy_edges(df, levels)
+    meta, image = {}, {}
+    for node, target, rows in [("base", "family", df)] + [
+            (f"F{i}", "genus", df.where(F.col("family") == f"F{i}")) for i in (0, 1)]:
+        meta[node] = train.fit_node(rows, "tree", target, names[:16], 5)
+        image[node] = train.fit_node(rows, "linear", target, names, 0.0)
+    return cascade.cascade_with_models(df, edges, levels, meta, image, {"family": 0.1, "genus": 0.2})
