@@ -88,7 +88,12 @@ def descend(decisions, truth, edges, levels, key="id", stop_on_miss=True):
     for number, level in enumerate(levels):
         here = children.where(F.col("level") == level).select(
             F.col("parent").alias("_at"), F.col("children").alias("_c"))
-        state = state.join(here, "_at", "left")
+        if number == 0:
+            # Everything starts at the root: one value instead of a join.
+            root = here.where(F.col("_at") == ROOT).select("_c")
+            state = state.withColumn("_c", root.scalar())
+        else:
+            state = state.join(here, "_at", "left")
         made = F.try_element_at("_d", F.concat_ws("|", F.lit(level), F.col("_at")))
         state = state.withColumn("_m", F.when(F.size("_c") >= 2, made))
         chosen = F.col("_m.joint_prediction")
