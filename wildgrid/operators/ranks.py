@@ -51,7 +51,7 @@ def hash_cuts(df, ids, group, seed, targets):
     ids = [ids] if isinstance(ids, str) else list(ids)
     keyed = df.select(*group, *ids, hash_key(ids, seed).alias("h")) \
               .withColumn("_prefix", F.substring("h", 1, 4))
-    counts = settle(keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n")), "prefixes")
+    counts = keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group)
     counts = counts.select(
         *group, "_prefix", "_n", F.sum("_n").over(whole).alias("size"),

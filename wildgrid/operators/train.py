@@ -15,8 +15,10 @@ from ..sources.registry import load_model, save_model
 from .boosting import fit_stumps, voting_model
 from .metrics import balanced_accuracy, pair_counts
 from .probabilities import softmax
+from .profile import large_classes
 from .quantiles import union_all
-from .sampling import ordered_folds, oversample_smallest, stratified_folds, with_class_weight
+from .sampling import (
+    ordered_folds, oversample_smallest, stratified_folds, stratified_split, with_class_weight)
 from .storage import bounded_rows, settle
 
 MAX_DEPTH = 30  # the deepest tree Spark ML builds
@@ -47,7 +49,7 @@ def class_names(df, target, limit=10000):
 
 def front_stages(target, features, scaled):
     stages = [StringIndexer(inputCol=target, outputCol="label_index",
-                            stringOrderType="alphabetAsc", handleInvalid="keep"),
+                            stringOrderType="alphabetAsc"),
               VectorAssembler(inputCols=list(features),
                               outputCol="raw_features" if scaled else "features")]
     if scaled:
@@ -88,10 +90,8 @@ class NodeModel:
     def transform(self, df):
         """Add ``classes``, ``p`` (probabilities in class order) and ``predicted``."""
         kept = [c for c in df.columns if c not in ("classes", "p", "predicted")]
-        # The indexer needs its label column; scoring data may have none.
-        target = self.pipeline.stages[0].getInputCol()
-        source = df if target in df.columns else df.withColumn(target, F.lit(None).cast("string"))
-        out = self.pipeline.transform(source)
+        # The first stage only numbers the labels of training rows.
+        out = PipelineModel(self.pipeline.stages[1:]).transform(df)
         types = {f.name: f.dataType for f in out.schema.fields}
         if "probability" in types:
             p = F.col("probability")
@@ -99,7 +99,7 @@ class NodeModel:
         else:
             p = softmax(vector_to_array("rawPrediction"))
         names = F.array(*[F.lit(c) for c in self.classes])
-        out = out.withColumn("p", F.slice(p, 1, len(self.classes)))
+        out = out.withColumn("p", p)
         return out.select(*kept, names.alias("classes"), "p",
                           F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
@@ -126,7 +126,7 @@ def fit_node(df, kind, target, features, value, key="id", classes=None, seed=0,
         df = balanced(df, target, kind, key)
     front = Pipeline(stages=front_stages(target, features, kind == "network")).fit(df)
     if kind == "stumps":
-        fitted = fit_stumps(front.transform(df), int(value), len(classes), "weight")
+        fitted = fit_stumps(front.transform(df), int(value), len(classes), list(features), "weight", **options)
         tail = voting_model(fitted, len(classes)).stages
         return NodeModel(PipelineModel(front.stages + tail), classes, kind)
     estimator = learner(kind, value, len(classes), len(features), seed, **options)
@@ -167,7 +167,8 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
         value, f = task
         if kind == "stumps":
             front = Pipeline(stages=front_stages(target, features, False)).fit(train[f])
-            fitted = fit_stumps(front.transform(train[f]), max(grid), len(classes), "weight")
+            fitted = fit_stumps(front.transform(train[f]), max(grid), len(classes), list(features),
+                                "weight", **options)
             models = [(v, NodeModel(PipelineModel(
                 front.stages + voting_model(fitted, len(classes), v).stages), classes, kind))
                 for v in grid]
@@ -216,8 +217,6 @@ def node_table(df, levels, min_size=5, limit=40000, counted="common_name",
 def node_rows(df, level, parent, target, min_size=5, limit=40000, counted="common_name",
               accuracy="public_positional_accuracy"):
     """Rows one node is trained on."""
-    from .profile import large_classes
-
     if level is not None:
         df = df.where(F.col(level) == parent)
     df = df.na.drop(subset=[target, accuracy]).where(F.col(accuracy) <= limit)
@@ -242,8 +241,6 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
     def one(task):
         (level, parent, target), kind = task
         rows = node_rows(df, level, parent, target)
-        from .sampling import stratified_split
-
         split = settle(stratified_split(rows, target, key, holdout), "holdout")
         grid = (grids or {}).get(kind)
         model, _ = tune(split.where("not is_holdout"), kind, target, features, grid, key, k, **options)
