@@ -44,14 +44,14 @@ def source_vectors(probabilities, key="id"):
     """Long probabilities (id, source, suffix, level, node, class, ordinal, p) ->
     one row per (id, level, node) with classes, meta and image vectors.
 
-    The image vector is the mean over the sub-images. An observation has as many
-    rows as its nodes have classes and parts, so all rows of an id are brought
-    together once; the groupings here and in ``descend`` need no other shuffle.
+    The image vector is the mean over the sub-images. Parts and copies are
+    averaged before anything is gathered; what remains of an id is one row per
+    class of its nodes, brought together once. The groupings here and in
+    ``descend`` need no further shuffle.
     """
-    rows = probabilities.repartition(key)
-    means = rows.groupBy(key, "level", "node", "ordinal", "class").agg(
+    means = probabilities.groupBy(key, "level", "node", "ordinal", "class").agg(
         F.avg(F.when(F.col("source") == "meta", F.col("p"))).alias("m"),
-        F.avg(F.when(F.col("source") == "image", F.col("p"))).alias("i"))
+        F.avg(F.when(F.col("source") == "image", F.col("p"))).alias("i")).repartition(key)
     cells = F.array_sort(F.collect_list(F.struct("ordinal", "class", "m", "i")))
     return means.groupBy(key, "level", "node").agg(cells.alias("_v")).select(
         key, "level", "node", F.col("_v.class").alias("classes"), F.col("_v.m").alias("meta"),

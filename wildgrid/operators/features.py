@@ -8,7 +8,7 @@ from ..functions.text import trinomial
 from ..schemas import TAXON_COLUMNS
 from .clean import complete, well_located
 from .profile import impute_group_mean, large_classes
-from .storage import bounded_rows
+from .storage import bounded_rows, settle
 
 DROPPED = ["geoprivacy", "taxon_geoprivacy", "taxon_id", "license", "image_url"]
 # The numeric readings that are standardised for a network.
@@ -86,12 +86,13 @@ def general_features(df, target, clusters, min_size=5, limit=40000,
     """Joined observations -> cleaned rows with all derived features.
 
     Row filters come first, class sizes are taken after them, as the result
-    depends on that order.
+    depends on that order. The filtered rows are written once; the passes for
+    class sizes and group means then read two or three columns of them.
     """
     df = df.drop(*DROPPED)
     df = complete(df, ["taxon_species_name", "public_positional_accuracy"])
     df = well_located(df, limit).drop("public_positional_accuracy")
-    df = with_subspecies(df).drop("scientific_name")
+    df = settle(with_subspecies(df).drop("scientific_name"), "observations")
     df = large_classes(df, target, min_size)
     df = location_cluster(df, clusters)
     df = df.withColumn("land", F.lit(1))

@@ -4,7 +4,7 @@ number of classes. Column names say which side is the truth."""
 
 from pyspark.sql import functions as F
 
-from .storage import attach
+from .storage import settle
 
 
 def pair_counts(df, truth="true_label", pred="prediction", by=()):
@@ -112,6 +112,23 @@ def report_difference(left, right, by=()):
     return a.join(b, key, "full_outer").select(*key, *diff)
 
 
+def method_difference(results, left, right, by="taxonomic_level", truth="true_label",
+                      zero_division=0.0, swap=False):
+    """Report of one prediction column minus that of another, per level and class.
+
+    Both come from one pass over the predictions; classes without support are
+    left out on each side before the subtraction.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    rows = results.select(*by, truth, F.col(left).alias("left"), F.col(right).alias("right"))
+    rows = rows.unpivot([*by, truth], ["left", "right"], "side", "prediction")
+    pairs = pair_counts(rows, truth, "prediction", [*by, "side"])
+    pairs = settle(swapped(pairs) if swap else pairs, "pairs")
+    report = class_report(pairs, [*by, "side"], zero_division, with_unseen=False)
+    return report_difference(report.where("side = 'left'").drop("side"),
+                             report.where("side = 'right'").drop("side"), by)
+
+
 def beside_counts(report, df, label, report_label="label"):
     """Report rows next to the number of observations of their class."""
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias(report_label)) \

@@ -31,16 +31,22 @@ def with_rounded(df, *columns, digits=6):
 
 def observations(spark, folder):
     """events as observations with a place, an accuracy and a zone."""
-    e = table(spark, folder, "events")
+    e = with_place(table(spark, folder, "events"))
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("label"), F.concat(F.lit("P"), F.col("user_id") % 3).alias("parent"),
+        "user_id", "latitude", "longitude", "accuracy", "time_zone", F.col("value").alias("measure"))
+
+
+def with_place(events):
+    """Add place, accuracy and zone to events."""
     i = F.col("event_id")
     zones = F.array(*[F.lit(z) for z in ZONE_CYCLE])
-    return e.select(
-        i.alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"),
-        F.concat(F.lit("P"), F.col("user_id") % 3).alias("parent"), "user_id",
-        ((i * 37) % 181 - 90).cast("double").alias("latitude"),
+    return events.select(
+        "*", ((i * 37) % 181 - 90).cast("double").alias("latitude"),
         ((i * 53) % 361 - 180).cast("double").alias("longitude"),
         ((i * 7919) % 60000).cast("double").alias("accuracy"),
-        F.get(zones, (i % 4).cast("int")).alias("time_zone"), F.col("value").alias("measure"))
+        F.get(zones, (i % 4).cast("int")).alias("time_zone"))
 
 
 SQL_OBS = """obs AS (
@@ -57,9 +63,7 @@ SQL_OBS = """obs AS (
 def raw_observations(spark, folder):
     """events as raw uploads with repeated ids, broken dates, missing times and remarks."""
     i = F.col("event_id")
-    e = table(spark, folder, "events")
-    base = observations(spark, folder).select("id", "latitude", "longitude", "accuracy", "time_zone")
-    e = e.join(base.withColumnRenamed("id", "event_id"), "event_id")
+    e = with_place(table(spark, folder, "events"))
     day = F.date_format("ts", "yyyy-MM-dd")
     observed = (F.when(i % 17 == 3, F.date_format("ts", "yyyy-MM/dd"))
                 .when(i % 19 == 5, F.concat(F.lit("202g"), F.substring(day, 5, 6))).otherwise(day))
@@ -111,7 +115,10 @@ def weather_jobs(spark, folder):
 
     The payload lacks one hour of the day, and some have a missing reading.
     """
-    e = table(spark, folder, "events")
+    # Payloads are many times larger than the events they are made from, so the
+    # number of tasks is not left to the size of the events.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = with_place(table(spark, folder, "events")).repartition(tasks, "event_id")
     i, v = F.col("event_id"), F.col("value")
     day = F.date_format("ts", "yyyy-MM-dd")
     e = e.withColumn("hours", F.filter(F.sequence(F.lit(0), F.lit(23)),
@@ -139,8 +146,7 @@ def weather_jobs(spark, folder):
     daily = F.struct(*[single(k, n).alias(n) for k, n in enumerate(DAILY)])
     payload = F.struct(F.lit("UTC").alias("timezone"), (i % 100).cast("double").alias("elevation"),
                        hourly.alias("hourly"), daily.alias("daily"))
-    o = observations(spark, folder).select(F.col("id").alias("event_id"), "latitude", "longitude")
-    return e.join(o, "event_id").select(
+    return e.select(
         i.alias("id"), "latitude", "longitude",
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")).alias("obs_time"),
         day.alias("start_date"), day.alias("end_date"), payload.alias("payload"))

@@ -13,11 +13,13 @@ def clean_batch(raw, cells=None, done=(), order="input_order", words=None):
     """(clean, quarantine) of raw rows.
 
     The keyword split comes before the date check, so a row with both faults is
-    quarantined. ``cells``: grid index of time zones; without it the rows' own
+    quarantined. Ids done before are left out first: that and the choice of the
+    first row per id do not depend on each other. ``cells``: grid index of time zones; without it the rows' own
     ``time_zone`` is used. The flagged rows are written once and read twice.
     """
-    rows = clean.dedupe_first(raw, "id", order) if order else raw
-    rows = clean.complete(clean.without(rows, *done))
+    fresh = clean.without(raw, *done)
+    rows = clean.dedupe_first(fresh, "id", order) if order else fresh
+    rows = clean.complete(rows)
     flagged = settle(clean.flag_poor_quality(rows, words=words), "flagged")
     good = clean.valid_dates(flagged.where(~F.col("is_bad")))
     if cells is not None:

@@ -68,6 +68,27 @@ def cascade_results(spark, folder):
     return _cascade(spark, folder)
 
 
+@query("score_stream", f"WITH {SQL_TRUTH} SELECT * FROM results")
+def score_stream(spark, folder):
+    """The same cascade as a stream over landed observations, started twice."""
+    from ..operators.storage import settle
+    from ..streaming.ingest import stream_scoring
+    from .queries_clean import _scratch
+
+    root = _scratch(spark)
+    truth = customer_truth(spark, folder)
+    truth.write.parquet(f"{root}/landed")
+    edges = settle(cascade.hierarchy_edges(truth, LEVELS3), "edges")
+
+    def score(batch):
+        return cascade.cascade(class_scores(batch, edges), batch, edges, LEVELS3, WEIGHTS3)
+
+    for name in ("first", "second"):
+        stream_scoring(spark, f"{root}/landed", truth.schema, f"{root}/out", f"{root}/{name}",
+                       score).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("cascade_error_rate", f"""WITH {SQL_TRUTH}
   SELECT count(*) FILTER (WHERE joint_prediction <> true_label) AS errors, count(DISTINCT id) AS observations,
     round(count(*) FILTER (WHERE joint_prediction <> true_label) / count(DISTINCT id) + 1e-9, 6) AS error_rate

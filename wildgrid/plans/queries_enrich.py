@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, times
 from ..operators import clean, cluster, enrich, features
 from ..operators.profile import value_counts
+from ..operators.storage import settle
 from ..sources.readers import parse_payload
 from .adapter import (SQL_JOBS, SQL_OBS, SQL_RAW, observations, raw_observations, table, weather_jobs,
                       with_rounded)
@@ -286,7 +287,7 @@ def observation_features(spark, folder):
     """Cleaning, a join with readings and the whole feature function."""
     from .modelling import observations_with_readings
 
-    raw = clean.complete(clean.dedupe_first(raw_observations(spark, folder)))
+    raw = settle(clean.complete(clean.dedupe_first(raw_observations(spark, folder))), "first-rows")
     good, _ = clean.split_quality(raw)
     obs = clean.with_local_time(good).drop(
         "quality_grade", "url", "description", "time_observed_at", "time_zone", "input_order")

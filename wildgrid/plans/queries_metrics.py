@@ -140,6 +140,17 @@ def report_diff(spark, folder):
     return with_rounded(metrics.report_difference(joint, image), "precision", "recall", "f1_score")
 
 
+@query("method_difference", f"""WITH {SQL_PRED}, {_renamed(sql_report('joint', '0.0::DOUBLE', 'parent'), 'a')},
+  {_renamed(sql_report('image', '0.0::DOUBLE', 'parent'), 'b')},
+  ka AS (SELECT * FROM rep_a WHERE support <> 0), kb AS (SELECT * FROM rep_b WHERE support <> 0)
+  SELECT coalesce(a.parent, b.parent) AS parent, coalesce(a.label, b.label) AS label, {DIFF},
+    coalesce(a.support, 0) - coalesce(b.support, 0) AS support
+  FROM ka a FULL OUTER JOIN kb b ON a.label = b.label AND a.parent = b.parent""")
+def method_difference(spark, folder):
+    d = metrics.method_difference(predictions(spark, folder), "joint", "image", "parent")
+    return with_rounded(d, "precision", "recall", "f1_score")
+
+
 @query("report_beside_counts", f"""WITH {SQL_PRED}, {sql_report('joint', '0.0::DOUBLE')},
   c AS (SELECT event_type, count(*) AS observations FROM events GROUP BY 1)
   SELECT label, {R}, support, observations FROM rep LEFT JOIN c ON event_type = label""")
