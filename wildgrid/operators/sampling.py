@@ -57,14 +57,18 @@ def class_sizes(df, label):
     return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def balanced_weights(df, label):
-    """(label, n, weight): total / (classes * n)."""
-    sizes = settle(class_sizes(df, label), "class-sizes")
+def weights_of_sizes(sizes, label):
+    """(label, n, weight) from class sizes: total / (classes * n)."""
     rows = scalar_of(sizes, F.sum("n"))
     classes = scalar_of(sizes, F.count(F.lit(1)))
     return sizes.select(label, "n", (rows / (classes * F.col("n"))).alias("weight"))
 
 
+def balanced_weights(df, label):
+    """(label, n, weight) of the labels of a table."""
+    return weights_of_sizes(settle(class_sizes(df, label), "class-sizes"), label)
+
+
 def with_class_weight(df, label, name="weight"):
     """Give each row the balanced weight of its class."""
     weights = balanced_weights(df, label).select(label, F.col("weight").alias(name))

@@ -37,8 +37,9 @@ def attach(df, small, on, how="left", name="attach"):
     """Join per-group results back to their rows.
 
     ``df`` is read twice, once for its groups and once here: cheap for a table
-    of which few columns are needed, so settle anything longer first. The group table is settled first, so the large side is not shuffled as long
-    as the group table is really small, and a hot group never meets one task.
+    of which few columns are needed, so settle anything longer first. The group
+    table is settled, so the large side is not shuffled as long as that table is
+    really small, and a hot group never meets one task.
     """
     return df.join(settle(small, name), on, how)
 

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
     OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from .probabilities import softmax
 from .profile import large_classes
 from .quantiles import union_all
 from .sampling import (
-    ordered_folds, oversample_smallest, stratified_folds, stratified_split, with_class_weight)
+    ordered_folds, oversample_smallest, stratified_folds, stratified_split, weights_of_sizes,
+    with_class_weight)
 from .storage import bounded_rows, settle
 
 MAX_DEPTH = 30  # the deepest tree Spark ML builds
@@ -47,14 +48,15 @@ def class_names(df, target, limit=10000):
     return sorted(r[0] for r in rows)
 
 
-def front_stages(target, features, scaled):
-    stages = [StringIndexer(inputCol=target, outputCol="label_index",
-                            stringOrderType="alphabetAsc"),
-              VectorAssembler(inputCols=list(features),
-                              outputCol="raw_features" if scaled else "features")]
+def front(target, features, classes, scaled):
+    """Label numbering (names are known, so no pass over the data) and assembly."""
+    numbering = StringIndexerModel.from_labels(list(classes), inputCol=target, outputCol="label_index")
+    assembly = VectorAssembler(inputCols=list(features),
+                               outputCol="raw_features" if scaled else "features")
+    stages = [numbering, assembly]
     if scaled:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
-    return stages
+    return Pipeline(stages=stages)
 
 
 def learner(kind, value, classes, width, seed=0, trees=100, iterations=None):
@@ -119,19 +121,36 @@ def balanced(df, target, kind, key="id"):
     return with_class_weight(df, target)
 
 
+def training_sets(cut, target, kind, key, k):
+    """The balanced training rows of each fold, as filters on one written table.
+
+    Class weights of all folds come from one count per (fold, class).
+    """
+    rest = [cut.where(F.col("fold") != f).drop("fold") for f in range(k)]
+    if kind == "network":
+        return [balanced(rows, target, kind, key) for rows in rest]
+    counts = settle(cut.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n")), "fold-sizes")
+    sets = []
+    for f, rows in enumerate(rest):
+        sizes = counts.where(F.col("fold") != f).groupBy(target).agg(F.sum("n").alias("n"))
+        weights = weights_of_sizes(sizes, target).select(target, "weight")
+        sets.append(rows.join(settle(weights, "weights"), target))
+    return sets
+
+
 def fit_node(df, kind, target, features, value, key="id", classes=None, seed=0, balance=True, **options):
     """Fit one model of a kind with one parameter value."""
     classes = classes or class_names(df, target)
     if balance:
         df = balanced(df, target, kind, key)
-    front = Pipeline(stages=front_stages(target, features, kind == "network")).fit(df)
+    before = front(target, features, classes, kind == "network").fit(df)
     if kind == "stumps":
-        fitted = fit_stumps(front.transform(df), int(value), len(classes), list(features), "weight", **options)
+        fitted = fit_stumps(before.transform(df), int(value), len(classes), list(features), "weight", **options)
         tail = voting_model(fitted, len(classes)).stages
-        return NodeModel(PipelineModel(front.stages + tail), classes, kind)
+        return NodeModel(PipelineModel(before.stages + tail), classes, kind)
     estimator = learner(kind, value, len(classes), len(features), seed, **options)
-    model = estimator.fit(front.transform(df))
-    return NodeModel(PipelineModel(front.stages + [model]), classes, kind)
+    model = estimator.fit(before.transform(df))
+    return NodeModel(PipelineModel(before.stages + [model]), classes, kind)
 
 
 def node_score(model, df, target):
@@ -159,18 +178,17 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
     cut = stratified_folds(rows, target, key, k, seed) if stratified else ordered_folds(rows, [key], k)
     cut = settle(cut, "folds")
     classes = class_names(cut, target)
-    train = [settle(balanced(cut.where(F.col("fold") != f).drop("fold"), target, kind, key), "train")
-             for f in range(k)]
+    train = training_sets(cut, target, kind, key, k)
     check = [cut.where(F.col("fold") == f).drop("fold") for f in range(k)]
 
     def one(task):
         value, f = task
         if kind == "stumps":
-            front = Pipeline(stages=front_stages(target, features, False)).fit(train[f])
-            fitted = fit_stumps(front.transform(train[f]), max(grid), len(classes), list(features),
+            before = front(target, features, classes, False).fit(train[f])
+            fitted = fit_stumps(before.transform(train[f]), max(grid), len(classes), list(features),
                                 "weight", **options)
             models = [(v, NodeModel(PipelineModel(
-                front.stages + voting_model(fitted, len(classes), v).stages), classes, kind))
+                before.stages + voting_model(fitted, len(classes), v).stages), classes, kind))
                 for v in grid]
         else:
             models = [(value, fit_node(train[f], kind, target, features, value, key, classes,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import clean, enrich, profile
+from ..operators import clean, profile
 from ..operators.ranks import exact_rank
 
 from ..sources import readers, sinks

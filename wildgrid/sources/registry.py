@@ -4,7 +4,6 @@ from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
 
-from ..functions.text import node_key  # noqa: F401  (same rule, as a column)
 from .sinks import append, read_or_empty
 
 REGISTRY = "node string, kind string, path string, saved_at timestamp"
