@@ -4,8 +4,9 @@
 which cuts a hot group into many partitions, then offsets from the partition
 sizes. ``hash_cuts`` finds the exact keys that split each group at given sizes
 when the order is a hash: a histogram of hash prefixes (combined before the
-shuffle) locates the one prefix that holds the cut, and only the rows of that
-prefix are sorted. Applying cuts is a map-side comparison.
+shuffle, with more digits for larger groups) locates the one bucket that holds
+the cut, and only the rows of that bucket are sorted. Applying cuts is a
+map-side comparison.
 """
 
 from pyspark.sql import Window, functions as F
@@ -43,38 +44,50 @@ def exact_rank(df, order, group=(), name="rank"):
 def hash_cuts(df, ids, group, seed, targets):
     """For each group the keys of the rows at the given positions in hash order.
 
-    ``targets`` maps the group size column to an array of 1-based positions;
-    position 0 means an empty part. Returns group columns, ``size`` and
-    ``cuts``: array of struct(k, h, ids...), k counting from 0.
+    ``targets`` maps the group size column to a list of 1-based positions in
+    ascending order; position 0 means an empty part. Returns the group columns
+    and one struct(h, ids...) per position: ``cut0``, ``cut1``, ...
     """
     group = [group] if isinstance(group, str) else list(group)
     ids = [ids] if isinstance(ids, str) else list(ids)
-    keyed = df.select(*group, *ids, hash_key(ids, seed).alias("h")) \
-              .withColumn("_prefix", F.substring("h", 1, 4))
-    counts = keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*group)
-    counts = counts.select(
-        *group, "_prefix", "_n", F.sum("_n").over(whole).alias("size"),
-        F.sum("_n").over(whole.orderBy("_prefix")).alias("_upto"))
-    wanted = counts.select("*", F.posexplode(targets(F.col("size"))).alias("k", "_target"))
+    keyed = df.select(*group, *ids, hash_key(ids, seed).alias("h"))
+    sizes = settle(df.groupBy(*group).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    # Buckets of at most 512 rows, or 65536 buckets for the largest groups.
+    digits = F.least(F.lit(4), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("size") / 512))))
+    sizes = sizes.withColumn("_digits", digits.cast("int"))
+    if group:
+        keyed = keyed.join(sizes, group)
+    else:
+        row = sizes.first()
+        keyed = keyed.select("*", F.lit(row["size"]).alias("size"), F.lit(row["_digits"]).alias("_digits"))
+    keyed = keyed.withColumn("_prefix", F.substr("h", F.lit(1), F.col("_digits"))).drop("_digits")
+
+    counts = keyed.groupBy(*group, "size", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*group).orderBy("_prefix")
+    counts = counts.withColumn("_upto", F.sum("_n").over(run))
+    places = targets(F.col("size"))
+    wanted = counts.select("*", F.posexplode(F.array(*places)).alias("k", "_target"))
+    # An empty part ends before every row: it is noted at the first bucket.
     nothing = (F.col("_target") <= 0) & (F.col("_upto") == F.col("_n"))
     holds = ((F.col("_target") > F.col("_upto") - F.col("_n")) &
              (F.col("_target") <= F.col("_upto")))
-    edge = settle(wanted.where(nothing | holds).select(
-        *group, "_prefix", "k", "size",
-        F.when(nothing, 0).otherwise(F.col("_target") - F.col("_upto") + F.col("_n")).alias("_place")),
-        "edges")
-    close = keyed.join(edge.where("_place > 0"), [*group, "_prefix"])
-    place = F.row_number().over(Window.partitionBy(*group, "k").orderBy("h", *ids))
-    found = close.withColumn("_row", place).where(F.col("_row") == F.col("_place"))
-    found = found.select(*group, "size", "k", "h", *ids)
-    # An empty part ends before every row: the empty string sorts first.
-    empty = edge.where("_place = 0").select(
-        *group, "size", "k", F.lit("").alias("h"),
-        *[F.lit(None).cast(df.schema[i].dataType).alias(i) for i in ids])
-    return settle(found.unionByName(empty).groupBy(*group).agg(
-        F.first("size").alias("size"),
-        F.array_sort(F.collect_list(F.struct("k", "h", *ids))).alias("cuts")), "cuts")
+    place = F.when(nothing, 0).otherwise(F.col("_target") - F.col("_upto") + F.col("_n"))
+    edge = settle(wanted.where(nothing | holds).groupBy(*group, "_prefix").agg(
+        F.collect_list(F.struct("k", place.alias("place"))).alias("_cuts")), "edges")
+
+    close = keyed.join(edge, [*group, "_prefix"])
+    at = F.row_number().over(Window.partitionBy(*group, "_prefix").orderBy("h", *ids))
+    # Position 0 has no row of its own; the empty string sorts before every hash.
+    hits = close.withColumn("_row", at).withColumn("_cuts", F.filter("_cuts", lambda c: (
+        (c["place"] == F.col("_row")) | ((c["place"] == 0) & (F.col("_row") == 1))))) \
+        .where(F.size("_cuts") > 0).select(*group, "size", *ids, "h", F.explode("_cuts").alias("_c"))
+    first = F.col("_c.place") == 0
+    found = hits.select(*group, "size", F.col("_c.k").alias("k"), F.when(first, "").otherwise(F.col("h")).alias("h"),
+                        *[F.when(~first, F.col(i)).alias(i) for i in ids])
+    key = F.struct("h", *ids)
+    return settle(found.groupBy(*group).agg(*[
+        F.first(F.when(F.col("k") == k, key), ignorenulls=True).alias(f"cut{k}")
+        for k in range(len(places))]), "cuts")
 
 
 def parts_by_cuts(df, cuts, ids, group, seed, name="part"):
@@ -82,17 +95,16 @@ def parts_by_cuts(df, cuts, ids, group, seed, name="part"):
     group = [group] if isinstance(group, str) else list(group)
     ids = [ids] if isinstance(ids, str) else list(ids)
     own = F.struct(hash_key(ids, seed).alias("h"), *[F.col(i).alias(i) for i in ids])
-    if not group:
+    names = [c for c in cuts.columns if c not in group]
+    if group:
+        joined, ends = df.join(cuts, group, "left"), [F.col(c) for c in names]
+    else:
         # One row of a handful of keys: literals, so no join at all.
-        row = cuts.select("cuts").first()
-        part = F.lit(0)
-        for c in (row["cuts"] if row else []):
-            key = F.struct(F.lit(c["h"]).alias("h"), *[
-                F.lit(c[i]).cast(df.schema[i].dataType).alias(i) for i in ids])
-            part = F.when(key < own, c["k"] + 1).otherwise(part)
-        return df.withColumn(name, part.cast("int"))
-    joined = df.join(cuts.select(*group, "cuts"), group, "left")
-    passed = F.filter("cuts", lambda c: F.struct(
-        c["h"].alias("h"), *[c[i].alias(i) for i in ids]) < own)
-    top = F.when(F.size(passed) > 0, F.array_max(F.transform(passed, lambda c: c["k"])) + 1)
-    return joined.withColumn(name, F.coalesce(top, F.lit(0)).cast("int")).select(*df.columns, name)
+        row, joined = cuts.first(), df
+        ends = [F.struct(F.lit(row[c]["h"]).alias("h"), *[
+            F.lit(row[c][i]).cast(df.schema[i].dataType).alias(i) for i in ids])
+            for c in names if row and row[c]]
+    part = F.lit(0)
+    for end in ends:
+        part = part + F.coalesce((end < own).cast("int"), F.lit(0))
+    return joined.select(*df.columns, part.alias(name))

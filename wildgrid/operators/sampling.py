@@ -14,7 +14,7 @@ def stratified_split(df, label, key="id", fraction=0.2, seed=2, name="is_holdout
     full rows; see ``hash_cuts``.
     """
     cuts = hash_cuts(df.where(F.col(label).isNotNull()), key, label, seed,
-                     lambda n: F.array(F.bround(n * fraction).cast("long")))
+                     lambda n: [F.bround(n * fraction).cast("long")])
     parts = parts_by_cuts(df, cuts, key, label, seed, "_part")
     held = (F.col("_part") == 0) & F.col(label).isNotNull()
     return parts.withColumn(name, held).drop("_part")
@@ -23,8 +23,7 @@ def stratified_split(df, label, key="id", fraction=0.2, seed=2, name="is_holdout
 def stratified_folds(df, label, key="id", k=5, seed=2, name="fold"):
     """Fold number 0..k-1 with class sizes that differ by at most one row."""
     def ends(n):
-        return F.array(*[((n * 0 + i) * F.floor(n / k) + F.least(F.lit(i), n % k)).cast("long")
-                         for i in range(1, k)])
+        return [(F.floor(n / k) * i + F.least(F.lit(i), n % k)).cast("long") for i in range(1, k)]
     cuts = hash_cuts(df, key, label, seed, ends)
     return parts_by_cuts(df, cuts, key, label, seed, name)
 
@@ -43,7 +42,7 @@ def ordered_folds(df, order, k=5, name="fold"):
 
 def random_sample(df, key="id", fraction=0.05, seed=1):
     """Exactly round(fraction * n) rows, the first in hash order."""
-    cuts = hash_cuts(df, key, [], seed, lambda n: F.array(F.bround(n * fraction).cast("long")))
+    cuts = hash_cuts(df, key, [], seed, lambda n: [F.bround(n * fraction).cast("long")])
     return parts_by_cuts(df, cuts, key, [], seed, "_part").where("_part = 0").drop("_part")
 
 
