@@ -70,13 +70,19 @@ def test_saved_models_give_the_same(spark, points, tmp_path):
         a = model.transform(points).orderBy("id").select("predicted").collect()
         b = again.transform(points.drop("genus")).orderBy("id").select("predicted").collect()
         assert a == b
-    from wildgrid.sources.registry import registered
-    assert {r["kind"] for r in registered(spark, str(tmp_path)).collect()} == {"tree", "stumps"}
+    from wildgrid.sources import registry
+    clusters = cluster.fit_kmeans(cluster.distinct_points(points, NAMES), 4, restarts=1)
+    registry.save_clusters(spark, clusters, str(tmp_path), "Some Family")
+    again = registry.load_clusters(spark, str(tmp_path), "Some Family")
+    assert [list(c) for c in again.clusterCenters()] == [list(c) for c in clusters.clusterCenters()]
+    kinds = {r["kind"] for r in registry.registered(spark, str(tmp_path)).collect()}
+    assert kinds == {"tree", "stumps", "k_means"}
 
 
-def test_sweep_and_cascade(spark, points):
+def test_sweep_and_cascade(spark, points, tmp_path):
     models, predictions = train.sweep(points, ["family", "genus"], NAMES, ["tree"],
-                                      grids={"tree": [3]}, k=2, root_target="family")
+                                      grids={"tree": [3]}, k=2, root_target="family", save_to=str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/scores").count() == 3
     assert set(models) == {(n, k) for n in ("base", "F0", "F1") for k in ("tree",)}
     report, accuracy = sweep_reports(predictions)
     assert min(r["accuracy"] for r in accuracy.collect()) > 0.8

@@ -81,25 +81,41 @@ def calendar(df):
     return df.withColumn("season", geo.season("month", "hemisphere")).drop("sunrise", "sunset")
 
 
+def derived_columns(df, clusters, impute_by="taxon_species_name", means=None):
+    """Place, elevation, calendar, light and season columns of cleaned rows."""
+    df = location_cluster(df, clusters)
+    if "land" not in df.columns:
+        df = df.withColumn("land", F.lit(1))
+    df = df.withColumn("elevation", geo.real_elevation("elevation", "land"))
+    df = impute_group_mean(df, "elevation", impute_by, means)
+    df = df.withColumn("hemisphere", geo.hemisphere("latitude")).drop("latitude", "longitude")
+    return fixed_dummies(calendar(df), "season", geo.SEASONS, "szn")
+
+
 def general_features(df, target, clusters, min_size=5, limit=40000,
                      impute_by="taxon_species_name", means=None):
-    """Joined observations -> cleaned rows with all derived features.
+    """Joined observations -> cleaned training rows with all derived features.
 
     Row filters come first, class sizes are taken after them, as the result
     depends on that order. The filtered rows are written once; the passes for
-    class sizes and group means then read two or three columns of them.
+    class sizes and group means then read two or three columns of them. A
+    ``land`` column (see ``land_flag``) is used where the table has one.
     """
     df = df.drop(*DROPPED)
     df = complete(df, ["taxon_species_name", "public_positional_accuracy"])
     df = well_located(df, limit).drop("public_positional_accuracy")
     df = settle(with_subspecies(df).drop("scientific_name"), "observations")
-    df = large_classes(df, target, min_size)
-    df = location_cluster(df, clusters)
-    df = df.withColumn("land", F.lit(1))
-    df = df.withColumn("elevation", geo.real_elevation("elevation", "land"))
-    df = impute_group_mean(df, "elevation", impute_by, means)
-    df = df.withColumn("hemisphere", geo.hemisphere("latitude")).drop("latitude", "longitude")
-    return fixed_dummies(calendar(df), "season", geo.SEASONS, "szn")
+    return derived_columns(large_classes(df, target, min_size), clusters, impute_by, means)
+
+
+def scoring_features(df, clusters, means, impute_by="taxon_species_name", limit=40000):
+    """The same columns for rows to be scored: nothing is learned from them.
+
+    ``means`` (group, mean) come from training rows; no class is left out.
+    """
+    df = well_located(df.drop(*DROPPED), limit).drop("public_positional_accuracy")
+    df = with_subspecies(df).drop("scientific_name")
+    return derived_columns(df, clusters, impute_by, means)
 
 
 def feature_columns(df, key="id"):

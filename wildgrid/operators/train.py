@@ -12,6 +12,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 from ..sources.registry import load_model, save_model
+from ..sources.sinks import append_report
 from .boosting import fit_stumps, voting_model
 from .metrics import balanced_accuracy, pair_counts
 from .probabilities import softmax
@@ -261,9 +262,10 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
         rows = node_rows(df, level, parent, target)
         split = settle(stratified_split(rows, target, key, holdout), "holdout")
         grid = (grids or {}).get(kind)
-        model, _ = tune(split.where("not is_holdout"), kind, target, features, grid, key, k, **options)
+        model, scores = tune(split.where("not is_holdout"), kind, target, features, grid, key, k, **options)
         if save_to:
-            model.save(spark, save_to, parent, kind)
+            model.save(spark, save_to, parent)
+            append_report(scores.coalesce(1), f"{save_to}/scores", node=parent)
         scored = model.transform(split.where("is_holdout")).select(
             F.lit(parent).alias("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level"),
             key, F.col(target).alias("true_label"), F.col("predicted").alias("prediction"))

@@ -4,6 +4,7 @@ from ..operators import cluster, features, train
 from ..operators.clean import differs
 from ..operators.enrich import join_readings
 from ..operators.metrics import balanced_accuracy, class_report, pair_counts
+from ..operators.sampling import stratified_split
 from ..schemas import LEVELS
 
 OBSERVATION_DROPS = ["observed_on", "local_time_observed_at", "positional_accuracy"]
@@ -25,6 +26,22 @@ def node_features(df, target, ks=range(4, 61, 2), restarts=10):
     return features.general_features(df, target, model), model, scores
 
 
+def training_rows(df, target, kind, holdout=0.2, key="id", encoders=None, scaler=None):
+    """(training rows, holdout rows, feature names, (encoders, scaler)) for a model kind.
+
+    Trees take the derived columns as they are; a network gets dummies and
+    standardised readings, fitted on the rows given here unless passed in.
+    """
+    fitted = (None, None)
+    if kind == "network":
+        df, *fitted = features.network_features(df, target, key, encoders, scaler)
+    names = features.feature_columns(df, key)
+    split = stratified_split(df.na.drop(subset=[target]), target, key, holdout)
+    kept = [key, target, *names]
+    return (split.where("not is_holdout").select(*kept), split.where("is_holdout").select(*kept),
+            names, tuple(fitted))
+
+
 def sweep_reports(predictions):
     """Per-class report and balanced accuracy for every (level, kind, node)."""
     by = ["level", "kind", "node"]

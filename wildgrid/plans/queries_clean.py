@@ -267,6 +267,20 @@ def landed_records(spark, folder):
     return readers.split_records(records, "record", schema, "event_id", 1, 10 ** 12).drop("event_id")
 
 
+@query("keyed_csv_scan", """
+  SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer""")
+def keyed_csv_scan(spark, folder):
+    """Written as CSV with an unnamed first column, read back by key."""
+    from pyspark.sql import types as T
+
+    path = f"{_scratch(spark)}/keyed"
+    c = table(spark, folder, "customer")
+    sinks.overwrite(c.select(F.col("c_custkey").alias("_c0"), "c_name", "c_acctbal"), path, "csv")
+    schema = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("balance", T.DoubleType())])
+    return readers.read_keyed_csv(spark, path, schema)
+
+
 @query("union_by_name", """
   SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment FROM supplier
   UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer""")

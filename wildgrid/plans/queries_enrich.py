@@ -139,6 +139,20 @@ def zone_of_point(spark, folder):
     return enrich.zone_of_point(o, cells)
 
 
+@query("country_of_point", f"""WITH {SQL_OBS},
+  z AS (SELECT n_name, n_nationkey * 14 - 180 AS w, n_nationkey AS k FROM nation),
+  j AS (SELECT id, n_name FROM obs LEFT JOIN z ON
+    (latitude >= k - 60 AND latitude < k - 40 AND longitude >= w AND longitude < w + 12.5) OR
+    (latitude >= k - 40 AND latitude < 60 - k AND longitude >= w AND longitude < w + 5))
+  SELECT n_name AS country, count(*) AS n FROM j GROUP BY 1""")
+def country_of_point(spark, folder):
+    """The same lookup with a country table and a finer grid."""
+    cells = enrich.polygon_cells(nation_zones(spark, folder), per_degree=2)
+    o = observations(spark, folder).select("id", "latitude", "longitude")
+    found = enrich.zone_of_point(o, cells, name="country", per_degree=2)
+    return found.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("land_flag", f"""WITH {SQL_OBS},
   g AS (SELECT p_partkey % 181 - 90 AS la, (p_partkey * 7) % 361 - 180 AS lo, max(p_size % 2) AS land FROM part GROUP BY ALL)
   SELECT id, CAST(coalesce(land, 0) AS INTEGER) AS land FROM obs LEFT JOIN g ON floor(latitude) = la AND floor(longitude) = lo""")

@@ -30,3 +30,12 @@ def registered(spark, root):
 def load_model(spark, root, node, kind):
     """The model of a node, found by the naming rule."""
     return PipelineModel.load(f"{root}/models/{artefact_name(node, kind)}")
+
+
+def save_clusters(spark, model, root, node):
+    """Save the location clusters of a node next to its classifiers."""
+    return save_model(spark, PipelineModel([model]), root, node, "k_means")
+
+
+def load_clusters(spark, root, node):
+    return load_model(spark, root, node, "k_means").stages[0]
