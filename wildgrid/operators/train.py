@@ -263,15 +263,18 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
         split = settle(stratified_split(rows, target, key, holdout), "holdout")
         grid = (grids or {}).get(kind)
         model, scores = tune(split.where("not is_holdout"), kind, target, features, grid, key, k, **options)
-        if save_to:
-            model.save(spark, save_to, parent)
-            append_report(scores.coalesce(1), f"{save_to}/scores", node=parent)
         scored = model.transform(split.where("is_holdout")).select(
             F.lit(parent).alias("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level"),
             key, F.col(target).alias("true_label"), F.col("predicted").alias("prediction"))
-        return (parent, kind), model, settle(scored, "predictions")
+        return (parent, kind), model, scores, settle(scored, "predictions")
 
     tasks = [(n, kind) for n in nodes for kind in kinds]
+    models, predictions = {}, []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        done = list(pool.map(one, tasks))
-    return {name: m for name, m, _ in done}, union_all([p for _, _, p in done])
+        for (parent, kind), model, scores, scored in pool.map(one, tasks):
+            models[parent, kind] = model
+            predictions.append(scored)
+            if save_to:  # one writer only: two appends to a folder disturb each other
+                model.save(spark, save_to, parent)
+                append_report(scores.coalesce(1), f"{save_to}/scores", node=parent)
+    return models, union_all(predictions)
