@@ -74,22 +74,29 @@ def density(df, cluster="location_cluster"):
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _block_sums(left, right):
-    """Weighted distance sums from each left point to each cluster of a block."""
-    a = np.stack(left["x"].to_numpy())
-    b = np.stack(right["x"].to_numpy())
-    d = np.sqrt(np.maximum(
-        (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)) \
-        if a.shape[1] > 8 else np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-    names, where = np.unique(right["cluster"].to_numpy(), return_inverse=True)
-    members = np.zeros((len(right), len(names)))
-    members[np.arange(len(right)), where] = right["n"].to_numpy()
-    sums = d @ members
-    return pd.DataFrame({
-        "pid": np.repeat(left["pid"].to_numpy(), len(names)),
-        "own": np.repeat(left["cluster"].to_numpy(), len(names)),
-        "n": np.repeat(left["n"].to_numpy(), len(names)),
-        "other": np.tile(names, len(left)), "dist": sums.ravel()})
+def _block_worker():
+    """The per-block function, made here so that it is sent to the workers whole
+    and they need no copy of this package."""
+    def block_sums(left, right):
+        """Weighted distance sums from each left point to each cluster of a block."""
+        if not len(left) or not len(right):
+            return pd.DataFrame({"pid": [], "own": [], "n": [], "other": [], "dist": []})
+        a = np.stack(left["x"].to_numpy())
+        b = np.stack(right["x"].to_numpy())
+        d = np.sqrt(np.maximum(
+            (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)) \
+            if a.shape[1] > 8 else np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+        names, where = np.unique(right["cluster"].to_numpy(), return_inverse=True)
+        members = np.zeros((len(right), len(names)))
+        members[np.arange(len(right)), where] = right["n"].to_numpy()
+        sums = d @ members
+        return pd.DataFrame({
+            "pid": np.repeat(left["pid"].to_numpy(), len(names)),
+            "own": np.repeat(left["cluster"].to_numpy(), len(names)),
+            "n": np.repeat(left["n"].to_numpy(), len(names)),
+            "other": np.tile(names, len(left)), "dist": sums.ravel()})
+
+    return block_sums
 
 
 def silhouette_exact(df, x, cluster, weight=None, block=1000):
@@ -111,9 +118,7 @@ def silhouette_exact(df, x, cluster, weight=None, block=1000):
     left = points.withColumn("bi", F.col("own_block")).withColumn("bj", every)
     right = points.withColumn("bj", F.col("own_block")).withColumn("bi", every)
     sums = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(
-        lambda a, b: _block_sums(a, b) if len(a) and len(b) else pd.DataFrame(
-            {"pid": [], "own": [], "n": [], "other": [], "dist": []}),
-        "pid long, own long, n double, other long, dist double")
+        _block_worker(), "pid long, own long, n double, other long, dist double")
     sums = sums.groupBy("pid", "own", "n", "other").agg(F.sum("dist").alias("dist"))
     sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.sum("n").alias("size"))
     sums = sums.join(settle(sizes, "cluster-sizes"), "other")
