@@ -39,3 +39,8 @@ def pick_bounded(rows, size, limit, ids, seed):
         return rows
     key = F.xxhash64(F.lit(seed), *[F.col(i).cast("string") for i in ids])
     return rows.where(F.pmod(key, F.lit(1 << 30)) < F.lit(int((1 << 30) * 0.9 * limit / size)))
+
+
+def bind(value, use):
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]

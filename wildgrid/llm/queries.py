@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, simhash, toxicity
+from . import language, licenses, mixing, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 QUERIES = {}
@@ -19,6 +19,36 @@ def query(name, sql=None):
     return keep
 
 
+def _license_sql():
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    starts = " || ".join(
+        "list_filter(range(len(w)), lambda i: " + " AND ".join(
+            f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(), 1)) + ")"
+        for phrase, _ in licenses.BASE)
+    base = ", ".join(f"CASE WHEN contains(joined, ' {phrase} ') THEN '{label}' END" for phrase, label in licenses.BASE)
+    more = ", ".join(f"CASE WHEN regexp_matches(joined, '{licenses.pattern_of(template)}') THEN '{label}' END"
+                     for label, template in licenses.TEMPLATES)
+    tidy = "list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL)))"
+    return f"""
+  WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  joined AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, {starts} AS starts FROM words),
+  labelled AS (SELECT doc_id, w, starts, {tidy.format(f'[{base}]')} AS b, {tidy.format(f'[{more}]')} AS m FROM joined)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base,
+    list_min(starts) AS first_word, list_max(starts) AS last_word, array_to_string(b, ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(b || m)), ',') AS labels,
+    1 - pow(CAST(0.5 AS DOUBLE), least(50, len(starts) + len(m))) AS score FROM labelled"""
+
+
+@query("op1_licenses", _license_sql())
+def license_scan(spark, folder):
+    """Licence phrases and labels of every document."""
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
 @query("op2_toxicity")
 def toxicity_scores(spark, folder):
     """Score of every document by a model of the labelled rows that are not held out."""
@@ -35,6 +65,48 @@ def packed_pieces(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+_SPACE = r"\x20\x09-\x0D"
+_FAILED = {
+    "short": "n_words < 10",
+    "repeated": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > greatest(n_words, 1)",
+    "word_length": "word_chars < 2 * greatest(n_words, 1) OR word_chars > 20 * greatest(n_words, 1)",
+    "same_lines": "10 * n_dup_lines > greatest(n_words, 1)",
+}
+
+
+@query("op4_quality", f"""
+  WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS rowno FROM documents),
+  words AS (SELECT *, regexp_extract_all(t, '[^{_SPACE}]+') AS w FROM texts),
+  windows AS (SELECT rowno, unnest(range(1, len(w) - 3)) AS i, w FROM words WHERE len(w) >= 5),
+  named AS (SELECT rowno, i, array_to_string(w[i:i + 4], ' ') AS g FROM windows),
+  twice AS (SELECT rowno, i FROM named QUALIFY count(*) OVER (PARTITION BY rowno, g) > 1),
+  repeated AS (SELECT rowno, count(DISTINCT p) AS n FROM (SELECT rowno, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rowno),
+  lines AS (SELECT rowno, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS l FROM texts),
+  measured AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(len(regexp_replace(t, '[{_SPACE}]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    FROM words JOIN lines USING (rowno) LEFT JOIN repeated USING (rowno)),
+  counts AS (SELECT coalesce(source, '') AS host, count(*) AS n_docs,
+    {', '.join(f'count(*) FILTER ({sql}) AS {name}' for name, sql in _FAILED.items())} FROM measured GROUP BY 1),
+  per_rule AS ({' UNION ALL '.join(f"SELECT host, n_docs, '{name}' AS rule, {name} AS n_failed FROM counts" for name in _FAILED)}),
+  prior AS (SELECT rule, avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(1 / n_docs) AS inv
+    FROM per_rule GROUP BY rule),
+  weighed AS (SELECT rule, m, CASE WHEN v - m * (1 - m) * inv <= 0 THEN 1e6
+    ELSE least(1e6, greatest(1, m * (1 - m) / (v - m * (1 - m) * inv) - 1)) END AS weight FROM prior),
+  verdicts AS (SELECT host, max((m * weight + n_failed) / (weight + n_docs)) > 0.5 AS host_rejected
+    FROM per_rule JOIN weighed USING (rule) GROUP BY host)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    ({_FAILED['short']} OR {_FAILED['repeated']}) AS base_failed,
+    NOT ({_FAILED['short']} OR {_FAILED['repeated']}) AND NOT host_rejected AS kept, host_rejected
+  FROM measured JOIN verdicts ON coalesce(source, '') = host""")
+def quality_rules(spark, folder):
+    """Measures of every document and whether it is kept."""
+    return quality.judge(table(spark, folder, "documents"))
+
+
 @query("op6_simhash")
 def simhash_groups(spark, folder):
     """Fingerprint and group of near-duplicates of every document."""
@@ -50,6 +122,54 @@ def languages(spark, folder):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _crc_step(value):
+    for _ in range(4):
+        value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+_SHARD_HEAD = rf"""
+  WITH RECURSIVE sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+    string_split(regexp_replace(lower(hex(encode(coalesce(text, '')))), '(.)(.)', '\2\1', 'g'), '') AS h,
+    left(md5(coalesce(text, '')), 4) AS part FROM documents),
+  checked AS (SELECT doc_id, size, part, xor(list_reduce(
+      list_filter(list_transform(h, lambda x: CAST(strpos('0123456789abcdef', x) - 1 AS BIGINT)), lambda x: x >= 0),
+      lambda acc, b: xor(list_extract({[_crc_step(i) for i in range(16)]}, 1 + (xor(acc, b) & 15)), acc >> 4),
+      CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM sized),"""
+
+
+@query("op9_sharding", _SHARD_HEAD + r"""
+  ranges AS (SELECT part, CAST(sum(size) AS BIGINT) AS bytes FROM sized GROUP BY part),
+  list_of AS (SELECT list(bytes ORDER BY part) AS sizes, max(bytes) AS most,
+    CAST(ceil(sum(bytes) / 40.0) AS BIGINT) AS mean FROM ranges),
+  search(step, low, high) AS (
+    SELECT 0, greatest(mean, most), mean + most FROM list_of
+    UNION ALL
+    SELECT step + 1, CASE WHEN enough THEN low ELSE mid + 1 END, CASE WHEN enough THEN mid ELSE high END
+    FROM (SELECT step, low, high, (low + high) // 2 AS mid,
+      list_reduce(sizes, lambda acc, s: CASE WHEN acc % 1099511627776 + s <= (low + high) // 2 THEN acc + s
+        ELSE (acc // 1099511627776 + 1) * 1099511627776 + s END, 1099511627776) // 1099511627776 <= 40 AS enough
+      FROM search, list_of WHERE low < high)),
+  capacity AS (SELECT min(high) AS cap FROM search),
+  totals AS (SELECT part, CAST(sum(bytes) OVER (ORDER BY part) AS BIGINT) AS upto FROM ranges),
+  prefixes AS (SELECT list(upto ORDER BY part) AS upto FROM totals),
+  ends(shard, held, most) AS (
+    SELECT -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+    UNION ALL
+    SELECT shard + 1, most, list_max(list_filter(upto, lambda x: x <= most + cap))
+    FROM ends, prefixes, capacity WHERE most < list_max(upto)),
+  filled AS (SELECT part, min(shard) AS shard FROM totals JOIN ends ON upto > held AND upto <= most GROUP BY part)
+  SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY part, text_crc32, doc_id, size) - 1 AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard
+  FROM checked JOIN filled USING (part)""")
+def sharded(spark, folder):
+    """Shard and slot of every document, under the law of near equal bytes."""
+    found = sharding.shard_documents(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 _SIZES = r"""
   SELECT doc_id, coalesce(source, '') AS source,
     CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS BIGINT) AS n_tokens
