@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, packing, quality, sharding, simhash, toxicity
+from . import language, licenses, mixing, neighbours, packing, pages, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 QUERIES = {}
@@ -107,6 +107,12 @@ def quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents"))
 
 
+@query("op5_pages")
+def page_texts(spark, folder):
+    """Main text of every page."""
+    return pages.extract(table(spark, folder, "pages"))
+
+
 @query("op6_simhash")
 def simhash_groups(spark, folder):
     """Fingerprint and group of near-duplicates of every document."""
@@ -122,6 +128,12 @@ def languages(spark, folder):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op8_neighbours")
+def nearest_vectors(spark, folder):
+    """The 20 nearest vectors of every twentieth one by inner product."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _crc_step(value):
     for _ in range(4):
         value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
