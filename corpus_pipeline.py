@@ -21,8 +21,13 @@ def _boxed(docs):
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents whose calibrated toxicity stays below the limit."""
+    """Documents whose calibrated toxicity stays below the limit.
+
+    All stay if the labels are too few to learn from.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out())
+    if not toxicity.is_trained(model):
+        return docs
     scored = toxicity.score(_boxed(docs), model, "_doc")
     return scored.where(F.col("score") < TOXIC_FROM).select("_doc.*")
 

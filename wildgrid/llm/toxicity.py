@@ -193,6 +193,11 @@ def fit(rows, doc_id="doc_id", text="text", label="toxic", sample_rows=SAMPLE_RO
     return lexicon, trees, calibration, prior
 
 
+def is_trained(model):
+    """Whether a model can tell texts apart; otherwise it scores the share of toxic rows."""
+    return model[1] is not None
+
+
 def score(docs, model, doc_id="doc_id", text="text"):
     """(doc_id, score): probability that a text is toxic.
 
