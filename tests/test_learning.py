@@ -52,11 +52,15 @@ def test_binary_boosting(points):
 
 
 def test_tuning_refits_the_first_best(spark, points):
-    model, scores = train.tune(points, "tree", "genus", NAMES, [1, 3], k=2)
+    model, scores, rejects = train.tune(points, "tree", "genus", NAMES, [1, 3], k=2)
+    assert rejects.count() == 0
     rows = {r["value"]: r["mean_score"] for r in scores.collect()}
     assert rows[3.0] > rows[1.0]
     assert model.pipeline.stages[-1].depth > 1
-    assert train.depth_grid(53, 2)[-1] == 29 and train.depth_grid(53, 10) == [1, 11, 21]
+    assert train.depth_grid(53, 2)[-1] == 51 and train.depth_grid(53, 10)[-1] == 51
+    assert train.default_grid("tree", 53)[-1] == 29 and train.default_grid("boosted", 53) == [1, 11, 21]
+    with pytest.raises(ValueError):
+        train.learner("tree", 31, 2, 2)
     best = cluster.first_best(spark.createDataFrame([(1, 0.5), (3, 0.9), (5, 0.9)], "k int, s double"), "s", "k").first()
     assert best["k"] == 3
 
@@ -80,31 +84,59 @@ def test_saved_models_give_the_same(spark, points, tmp_path):
 
 
 def test_sweep_and_cascade(spark, points, tmp_path):
-    models, predictions = train.sweep(points, ["family", "genus"], NAMES, ["tree"],
+    models, predictions, rejects = train.sweep(points, ["family", "genus"], NAMES, ["tree"],
                                       grids={"tree": [3]}, k=2, root_target="family", save_to=str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 3
-    assert set(models) == {(n, k) for n in ("base", "F0", "F1") for k in ("tree",)}
+    assert set(models) == {("family", "base", "tree"), ("genus", "F0", "tree"), ("genus", "F1", "tree")}
+    assert rejects.count() == 0
     report, accuracy = sweep_reports(predictions)
     assert min(r["accuracy"] for r in accuracy.collect()) > 0.8
     assert report.where("node = 'F0'").select("label").distinct().count() == 2
     edges = cascade.hierarchy_edges(points, ["family", "genus"])
-    meta = {n: m for (n, _), m in models.items()}
-    image = {n: train.fit_node(points if n == "base" else points.where(f"family = '{n}'"), "linear",
-                               m.pipeline.stages[0].getInputCol(), NAMES, 0.0) for n, m in meta.items()}
-    weights = {"family": 0.1, "genus": 0.2}
-    results = cascade.cascade_with_models(points, edges, ["family", "genus"], meta, image, weights)
+    meta = {(level, n): m for (level, n, _), m in models.items()}
+    image = {(level, n): train.fit_node(points if n == "base" else points.where(f"family = '{n}'"), "linear",
+                                        m.pipeline.stages[0].getInputCol(), NAMES, 0.0)
+             for (level, n), m in meta.items()}
+    weights, levels = {"family": 0.1, "genus": 0.2}, ["family", "genus"]
+    results, lost = cascade.cascade_with_models(points, edges, levels, meta, image, weights)
     assert results.where("taxonomic_level = 'family'").count() == points.count()
     right = results.where("taxonomic_level = 'family' and joint_prediction = true_label").count()
-    assert results.where("taxonomic_level = 'genus'").count() == right
-    blind = cascade.cascade_with_models(points.drop("family", "genus"), edges, ["family", "genus"], meta, image,
-                                        weights, labelled=False)
-    assert blind.count() == 2 * points.count()
+    assert results.where("taxonomic_level = 'genus'").count() == right and lost.count() == 0
+    blind, lost = cascade.cascade_with_models(points.drop("family", "genus"), edges, levels, meta, image,
+                                              weights, labelled=False)
+    assert blind.count() == 2 * points.count() and lost.count() == 0
+
+
+def test_every_row_is_accounted_for(spark, points):
+    """A null in each feature, no model at a node, no label: results and rejects hold all rows."""
+    broken = points.withColumn("x", F.when(F.col("id") % 10 != 0, F.col("x"))) \
+                   .withColumn("y", F.when(F.col("id") % 10 != 1, F.col("y"))) \
+                   .withColumn("genus", F.when(F.col("id") % 10 != 2, F.col("genus")))
+    _, scores, rejects = train.tune(broken, "tree", "genus", NAMES, [2], k=2)
+    counts = {r["reason"]: r["count"] for r in rejects.groupBy("reason").count().collect()}
+    some = {i: points.where(f"id % 10 = {i}").count() for i in (0, 1, 2)}
+    assert counts == {"null in x": some[0], "null in y": some[1], "no label": some[2]}
+    models, predictions, rejects = train.sweep(broken, ["family", "genus"], NAMES, ["tree"], grids={"tree": [3]},
+                                               k=2, root_target="family")
+    used = broken.where("genus is not null").count()
+    assert rejects.where("level = 'family'").count() == some[0] + some[1]
+    assert rejects.where("level = 'genus'").select("id").distinct().count() == some[0] + some[1] and used > 0
+    edges = cascade.hierarchy_edges(points, ["family", "genus"])
+    meta = {(level, n): m for (level, n, _), m in models.items() if n != "F1"}
+    results, lost = cascade.cascade_with_models(broken, edges, ["family", "genus"], meta, meta,
+                                                {"family": 0.1, "genus": 0.2})
+    reasons = {r["reason"] for r in lost.select("reason").distinct().collect()}
+    assert reasons == {"null feature", "no model", "no label"}
+    seen = results.select("id").union(lost.select("id")).distinct()
+    assert seen.count() == points.count()
+    blind, lost = cascade.cascade_with_models(points, edges, ["family", "genus"], {}, {}, {"family": 0.1}, labelled=False)
+    assert blind.count() == 0 and lost.where("reason = 'no model'").count() == points.count()
 
 
 def test_clusters(spark, points):
     places = cluster.distinct_points(points, NAMES)
     model, scores = cluster.choose_k(places, ks=[2, 4, 6], restarts=2)
-    assert model.summary.k == 4 and scores[0][2] == "euclidean"
+    assert model.summary.k == 4 and [k for k, _ in scores] == [2, 4, 6]
     assert cluster.dispersion(places, 1) > cluster.dispersion(places, 4, 2)
     with pytest.raises(ValueError):
         cluster.choose_k(places.limit(3), ks=[4])
@@ -120,7 +152,7 @@ def test_silhouette_by_hand(spark, points):
     rows.append((50.0, 50.0, 9))  # a cluster of one
     x = np.array([(a, b) for a, b, _ in rows])
     own = np.array([c for _, _, c in rows])
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
     total = 0.0
     for i in range(len(rows)):
         size = (own == own[i]).sum()
@@ -129,9 +161,10 @@ def test_silhouette_by_hand(spark, points):
             b = min(d[i][own == c].mean() for c in set(own) if c != own[i])
             total += (b - a) / max(a, b)
     df = spark.createDataFrame(rows, "x double, y double, c int").withColumn("v", F.array("x", "y"))
-    for block in (1000, 37):
-        got = cluster.silhouette_exact(df, "v", "c", block=block).first()[0]
-        assert got == pytest.approx(total / len(rows), abs=1e-9)
+    got = cluster.silhouette(df, "v", "c").first()[0]
+    assert got == pytest.approx(total / len(rows), abs=1e-9)
+    weighted = df.groupBy("v", "c").agg(F.count("*").alias("n"))
+    assert cluster.silhouette(weighted, "v", "c", "n").first()[0] == pytest.approx(total / len(rows), abs=1e-9)
 
 
 def test_network_columns_are_the_same_for_new_rows(spark):

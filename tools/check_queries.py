@@ -5,6 +5,7 @@
 
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -70,7 +71,8 @@ def main():
     queries, oracles = catalogue.load()
     names = sys.argv[2:] or list(queries)
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0

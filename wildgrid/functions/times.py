@@ -4,17 +4,19 @@ Timestamps are instants (session zone UTC); a wall clock is the same type
 shifted by ``from_utc_timestamp`` and always travels with its zone column.
 """
 
-from zoneinfo import available_timezones
+from functools import lru_cache
 
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from .text import _col
 
-# Zone names the machine's zone data knows; anything else would fail the job.
-ZONES = sorted(z for z in available_timezones()
-               if "/" in z and not z.startswith(("posix", "right", "SystemV")))
-ZONES += ["UTC", "GMT"]
-_ZONE_LIST = ", ".join(f"'{z}'" for z in ZONES)
+
+@lru_cache(maxsize=None)
+def zones():
+    """Zone names that Spark's own zone data can convert; others would fail a job."""
+    jvm = SparkSession.active().sparkContext._jvm
+    names = {str(z) for z in jvm.java.time.ZoneId.getAvailableZoneIds()}
+    return tuple(sorted(names | {str(z) for z in jvm.java.time.ZoneId.SHORT_IDS.keySet()}))
 
 
 def strict_date(column):
@@ -43,8 +45,9 @@ def known_zone(zone):
     """True for zone names that can be converted without failing (a hash set)."""
     if isinstance(zone, str):
         # One parsed text instead of a driver call for each of the names.
-        return F.expr(f"coalesce(`{zone}` IN ({_ZONE_LIST}), false)")
-    return F.coalesce(zone.isin(*ZONES), F.lit(False))
+        listed = ", ".join(f"'{z}'" for z in zones())
+        return F.expr(f"coalesce(`{zone}` IN ({listed}), false)")
+    return F.coalesce(zone.isin(*zones()), F.lit(False))
 
 
 def to_wall(ts, zone):

@@ -11,6 +11,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import vectors
 from ..schemas import LEVEL_WEIGHTS
 from .probabilities import level_weight
+from .profile import null_gate
 from .quantiles import union_all
 from .storage import settle
 
@@ -44,14 +45,12 @@ def source_vectors(probabilities, key="id"):
     """Long probabilities (id, source, suffix, level, node, class, ordinal, p) ->
     one row per (id, level, node) with classes, meta and image vectors.
 
-    The image vector is the mean over the sub-images. Parts and copies are
-    averaged before anything is gathered; what remains of an id is one row per
-    class of its nodes, brought together once. The groupings here and in
-    ``descend`` need no further shuffle.
+    The image vector is the mean over the sub-images. Rows are brought together
+    by id once; the groupings here and in ``descend`` need no further shuffle.
     """
-    means = probabilities.groupBy(key, "level", "node", "ordinal", "class").agg(
+    means = probabilities.repartition(key).groupBy(key, "level", "node", "ordinal", "class").agg(
         F.avg(F.when(F.col("source") == "meta", F.col("p"))).alias("m"),
-        F.avg(F.when(F.col("source") == "image", F.col("p"))).alias("i")).repartition(key)
+        F.avg(F.when(F.col("source") == "image", F.col("p"))).alias("i"))
     cells = F.array_sort(F.collect_list(F.struct("ordinal", "class", "m", "i")))
     return means.groupBy(key, "level", "node").agg(cells.alias("_v")).select(
         key, "level", "node", F.col("_v.class").alias("classes"), F.col("_v.m").alias("meta"),
@@ -118,50 +117,97 @@ def cascade(probabilities, truth, edges, levels, weights=LEVEL_WEIGHTS, key="id"
                    levels, key, stop_on_miss)
 
 
+def _at_level(models, level, node):
+    """The model of a node, named by (level, node) or by the node alone."""
+    return models.get((level, node), models.get(node))
+
+
+def _pairs(meta_models, image_models, level, nodes):
+    """(node, meta, image) for nodes whose two models have the same classes."""
+    for node in nodes:
+        meta, image = _at_level(meta_models, level, node), _at_level(image_models, level, node)
+        if meta and image and sorted(meta.classes) == sorted(image.classes):
+            yield node, meta, image
+
+
 def cascade_with_models(df, edges, levels, meta_models, image_models, weights=LEVEL_WEIGHTS,
                         key="id", labelled=True, stop_on_miss=True):
     """Cascade that scores with fitted models, one round per level.
 
-    ``meta_models`` and ``image_models`` map a node name to a NodeModel with the
-    same classes. Each model is applied once per level, to all rows at its node.
-    Without labels every observation goes on to a leaf.
+    ``meta_models`` and ``image_models`` map a node, or (level, node), to a
+    NodeModel. Returns (results, unresolved): every observation that leaves the
+    cascade without a decision at its node is in ``unresolved`` (key, level,
+    node, reason): null feature, no model, no label, or no node with a choice.
+    Without labels every other observation goes on to a leaf.
+
+    Between levels only (row, node) is carried. The rows of a level are written
+    once, by node, and each model reads the files of its own node.
     """
     children = settle(node_children(edges), "children")
-    state = df.withColumn("_at", F.lit(ROOT))
-    results = []
-    for level in levels:
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()), "observations")
+    state = rows.select("_row", F.lit(ROOT).alias("_at"), F.lit(False).alias("_seen"))
+    named = {n[1] if isinstance(n, tuple) else n for n in {*meta_models, *image_models}}
+    results, unresolved = [], []
+
+    def lost(some, level, reason):
+        unresolved.append(some.select(key, F.lit(level).alias("level"), F.col("_at").alias("node"),
+                                      F.lit(reason).alias("reason")))
+
+    for number, level in enumerate(levels):
         here = children.where(F.col("level") == level).select(
             F.col("parent").alias("_at"), F.col("children").alias("_c"))
-        state = settle(state.join(here, "_at", "inner"), "frontier")
-        passing = state.where(F.size("_c") == 1).withColumn("_at", F.get("_c", F.lit(0)))
-        scored = []
-        for node, meta in meta_models.items():
-            image = image_models.get(node)
-            if image is None or sorted(meta.classes) != sorted(image.classes):
-                continue
-            rows = state.where((F.col("_at") == node) & (F.size("_c") >= 2))
-            rows = meta.transform(rows).withColumnRenamed("p", "_meta").drop("predicted")
-            rows = image.transform(rows).withColumnRenamed("p", "_image").drop("predicted")
-            scored.append(rows)
-        kept = [c for c in state.columns if c not in ("_c", "_at")]
-        if not scored:
-            state = passing.select(*kept, "_at")
+        if number == 0:
+            # Everything starts at the root: one value instead of a join on one key.
+            root = here.where(F.col("_at") == ROOT).select("_c")
+            placed = state.withColumn("_c", root.scalar())
+        else:
+            placed = state.join(here, "_at", "left")
+        placed = settle(placed, "places")
+        ended = placed.where("_c is null and not _seen")
+        lost(rows.join(ended, "_row"), level, "no node with a choice")
+        passing = placed.where("size(_c) = 1").select("_row", F.get("_c", F.lit(0)).alias("_at"), "_seen")
+        choosing = placed.where("size(_c) >= 2").select("_row", "_at")
+        # Of the nodes only those that have models: no more than there are models.
+        nodes = [r["_at"] for r in here.where((F.size("_c") >= 2) & F.col("_at").isin(*named)).collect()] if named else []
+        pairs = list(_pairs(meta_models, image_models, level, sorted(nodes)))
+        known = [node for node, _, _ in pairs]
+        if known:
+            lost(rows.join(choosing.where(~F.col("_at").isin(*known)), "_row"), level, "no model")
+        else:
+            lost(rows.join(choosing, "_row"), level, "no model")
+            state = passing
             continue
+        frontier = rows.join(choosing.where(F.col("_at").isin(*known)), "_row").withColumn("_node", F.col("_at"))
+        frontier = settle(frontier, "frontier", partition_by=["_node"])
+        if labelled:
+            lost(frontier.where(F.col(level).isNull()), level, "no label")
+            frontier = frontier.where(F.col(level).isNotNull())
+        kept = ["_row", "_at", key, *([level] if labelled and level != key else [])]
+        scored = []
+        for node, meta, image in pairs:
+            own = frontier.where(F.col("_node") == node)
+            needed = list(dict.fromkeys([*meta.features, *image.features]))
+            own, broken = null_gate(own, needed)
+            lost(broken, level, "null feature")
+            own = own.select(*dict.fromkeys([*kept, *needed]))
+            own = meta.transform(own).withColumnRenamed("p", "_meta").drop("predicted")
+            own = image.transform(own).withColumnRenamed("p", "_image").drop("predicted")
+            scored.append(own.select(*kept, "classes", "_meta", "_image"))
         both = union_all(scored).withColumn(
             "_joint", vectors.blend("_meta", "_image", F.lit(float(weights[level]))))
         true = F.col(level).cast("string") if labelled else F.lit(None).cast("string")
         decided = settle(both.select(
-            *kept, F.lit(level).alias("taxonomic_level"),
+            "_row", key, F.lit(level).alias("taxonomic_level"),
             vectors.pick("classes", "_joint").alias("joint_prediction"),
             vectors.pick("classes", "_image").alias("image_prediction"),
             vectors.pick("classes", "_meta").alias("meta_prediction"),
             true.alias("true_label")), "decided")
-        rows = decided.where("true_label is not null") if labelled else decided
-        results.append(rows.select(key, "taxonomic_level", "joint_prediction",
-                                   "image_prediction", "meta_prediction", "true_label"))
-        onward = decided
-        if labelled:
-            onward = rows.where("joint_prediction = true_label") if stop_on_miss else rows
-        state = passing.select(*kept, "_at").unionByName(
-            onward.select(*kept, F.col("joint_prediction").alias("_at")))
-    return union_all(results)
+        results.append(decided.drop("_row"))
+        onward = decided.where("joint_prediction = true_label") if labelled and stop_on_miss else decided
+        state = passing.unionByName(onward.select(
+            "_row", F.col("joint_prediction").alias("_at"), F.lit(True).alias("_seen")))
+    lost(rows.join(state.where("not _seen"), "_row"), "", "no node with a choice")
+    if not results:
+        names = ["taxonomic_level", "joint_prediction", "image_prediction", "meta_prediction", "true_label"]
+        results = [rows.where("false").select(key, *[F.lit(None).cast("string").alias(n) for n in names])]
+    return union_all(results), union_all(unresolved)

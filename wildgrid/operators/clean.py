@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions.text import POOR_QUALITY_WORDS, mentions
 from ..schemas import INTERIM_COLUMNS
+from .storage import settle
 
 WORKING_COLUMNS = ["observed_on", "latitude", "longitude", "time_observed_at", "time_zone"]
 
@@ -12,15 +13,24 @@ WORKING_COLUMNS = ["observed_on", "latitude", "longitude", "time_observed_at", "
 def dedupe_first(df, key="id", order="input_order"):
     """One row per key, the first in the given order.
 
-    An aggregate, not a window: copies are combined before the shuffle, so a
-    key that holds a third of all rows arrives as one row per task.
+    The least order of each key is a hash aggregate over the narrow columns,
+    combined before the shuffle, so a key that holds a third of all rows
+    arrives as one row per task. Whole rows move once, to meet it, and only
+    ties in the order are aggregated as rows: the least of them stays.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
-    rest = [c for c in df.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*key).agg(first).select(
-        *[F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    least = df.select(*key, at.alias("_at")).groupBy(*key).agg(
+        F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    least = settle(least.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)], "_least", "_rows"), "first")
+    same = at == F.col("_least")
+    for i, c in enumerate(key):
+        same = same & df[c].eqNullSafe(F.col(f"_{i}"))
+    met = df.join(least, same)
+    single = met.where("_rows = 1").select(*[df[c] for c in df.columns])
+    tied = met.where("_rows > 1").select(*[df[c] for c in df.columns]).dropDuplicates(key)
+    return single.unionByName(tied)
 
 
 def without(df, *done, key="id"):

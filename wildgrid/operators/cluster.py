@@ -4,10 +4,10 @@ Points are aggregated to distinct coordinates with a weight before any fit;
 the objective is the same and repeated places cost one row.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -17,9 +17,6 @@ from ..functions.hashing import hash_unit
 from .features import fit_scaler, standardise
 from .storage import settle
 
-EXACT_LIMIT = 20000
-
-
 def distinct_points(df, columns=("latitude", "longitude")):
     """(x0, x1, ..., n) per distinct place, plus ``features`` for Spark ML."""
     named = df.na.drop(subset=list(columns)).select(
@@ -34,12 +31,8 @@ def axes(points):
 
 def fit_kmeans(points, k, restarts=10, seed=1, max_iter=50):
     """The cheapest of several fits on weighted points."""
-    points.persist()
-    try:
-        fits = [KMeans(k=k, seed=seed + r, weightCol="n", maxIter=max_iter).fit(points)
-                for r in range(restarts)]
-    finally:
-        points.unpersist()
+    fits = [KMeans(k=k, seed=seed + r, weightCol="n", maxIter=max_iter).fit(points)
+            for r in range(restarts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -74,96 +67,63 @@ def density(df, cluster="location_cluster"):
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _block_worker():
-    """The per-block function, made here so that it is sent to the workers whole
-    and they need no copy of this package."""
-    def block_sums(left, right):
-        """Weighted distance sums from each left point to each cluster of a block."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"pid": [], "own": [], "n": [], "other": [], "dist": []})
-        a = np.stack(left["x"].to_numpy())
-        b = np.stack(right["x"].to_numpy())
-        d = np.sqrt(np.maximum(
-            (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)) \
-            if a.shape[1] > 8 else np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-        names, where = np.unique(right["cluster"].to_numpy(), return_inverse=True)
-        members = np.zeros((len(right), len(names)))
-        members[np.arange(len(right)), where] = right["n"].to_numpy()
-        sums = d @ members
-        return pd.DataFrame({
-            "pid": np.repeat(left["pid"].to_numpy(), len(names)),
-            "own": np.repeat(left["cluster"].to_numpy(), len(names)),
-            "n": np.repeat(left["n"].to_numpy(), len(names)),
-            "other": np.tile(names, len(left)), "dist": sums.ravel()})
-
-    return block_sums
-
-
-def silhouette_exact(df, x, cluster, weight=None, block=1000):
-    """Mean Euclidean silhouette over all points, nothing sampled.
-
-    The measure needs every distance. Distinct points are cut into blocks of
-    about ``block`` rows; each task takes one pair of blocks, and only sums per
-    (point, cluster) leave it. Work is quadratic in *distinct* points, so
-    ``choose_k`` uses it up to ``EXACT_LIMIT`` of them. ``x``: array column.
+def silhouette(df, x, cluster, weight=None):
+    """Mean silhouette by squared distances over all points, nothing sampled.
+
+    Linear in the rows: the mean squared distance from a point to a cluster is
+    |x|^2 - 2 x.m + q, with the mean m and the mean square q of the cluster
+    (times n / (n - 1) for its own cluster). One aggregation per cluster, then
+    one pass over the points beside the table of clusters. ``x``: array column.
     """
     n = F.col(weight) if weight else F.lit(1.0)
-    points = df.groupBy(F.col(x).cast("array<double>").alias("x"),
-                        F.col(cluster).cast("long").alias("cluster")) \
-               .agg(F.sum(n).cast("double").alias("n"))
-    points = settle(points.withColumn("pid", F.monotonically_increasing_id()), "silhouette-points")
-    blocks = max(1, -(-points.count() // block))
-    points = points.withColumn("own_block", F.pmod(F.xxhash64("pid"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = points.withColumn("bi", F.col("own_block")).withColumn("bj", every)
-    right = points.withColumn("bj", F.col("own_block")).withColumn("bi", every)
-    sums = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(
-        _block_worker(), "pid long, own long, n double, other long, dist double")
-    sums = sums.groupBy("pid", "own", "n", "other").agg(F.sum("dist").alias("dist"))
-    sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.sum("n").alias("size"))
-    sums = sums.join(settle(sizes, "cluster-sizes"), "other")
-    same = F.col("other") == F.col("own")
-    per_point = sums.groupBy("pid", "n").agg(
-        F.max(F.when(same, F.try_divide(F.col("dist"), F.col("size") - 1))).alias("a"),
-        F.min(F.when(~same, F.col("dist") / F.col("size"))).alias("b"),
-        F.max(F.when(same, F.col("size"))).alias("size"))
+    points = df.select(F.col(x).cast("array<double>").alias("x"), F.col(cluster).alias("c"), n.cast("double").alias("n"))
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    cells = points.select("c", "n", F.posexplode("x").alias("i", "v"))
+    means = cells.groupBy("c", "i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
+    means = means.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m"))
+    sizes = points.groupBy("c").agg(F.sum("n").alias("size"), (F.sum(F.col("n") * square) / F.sum("n")).alias("q"))
+    # One row for each cluster: the caller's number of them, gathered to one row.
+    table = settle(means.join(sizes, "c").select("c", F.transform("m", lambda e: e["m"]).alias("m"), "size", "q")
+                   .agg(F.collect_list(F.struct("c", "m", "size", "q")).alias("clusters")), "clusters")
+    seen = points.withColumn("clusters", table.scalar()).withColumn("square", square)
+
+    def distance(k):
+        dot = F.aggregate(F.zip_with("x", k["m"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        return F.greatest(F.lit(0.0), F.col("square") - 2 * dot + k["q"])
+
+    mine = F.filter("clusters", lambda k: k["c"] == F.col("c"))[0]
+    other = F.array_min(F.transform(F.filter("clusters", lambda k: k["c"] != F.col("c")), distance))
+    seen = seen.select("n", mine["size"].alias("size"), other.alias("b"),
+                       (distance(mine) * F.try_divide(mine["size"], mine["size"] - 1)).alias("a"))
     s = F.when((F.col("size") <= 1) | F.col("b").isNull(), 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per_point.agg((F.sum(s * F.col("n")) / F.sum("n")).alias("silhouette"))
-
-
-def silhouette_squared(assigned, features="features", cluster="prediction", weight="n"):
-    """Silhouette with squared distances: linear in the rows, exact for its measure."""
-    evaluator = ClusteringEvaluator(featuresCol=features, predictionCol=cluster,
-                                    distanceMeasure="squaredEuclidean", weightCol=weight)
-    return evaluator.evaluate(assigned)
+    return seen.agg((F.sum(s * F.col("n")) / F.sum("n")).alias("silhouette"))
 
 
-def choose_k(points, ks=range(4, 61, 2), restarts=10, seed=1, measure=None):
+def choose_k(points, ks=range(4, 61, 2), restarts=10, seed=1, parallelism=4):
     """Fit every k below the number of points and keep the best silhouette.
 
-    Returns (model, [(k, score, measure)]). The Euclidean silhouette is used
-    for up to ``EXACT_LIMIT`` distinct points, beyond that the squared one.
+    Returns (model, [(k, score)]); the first of equal scores wins. The measure
+    is the squared one for any number of points. A few fits run at a time.
     """
     size = points.count()
-    measure = measure or ("euclidean" if size <= EXACT_LIMIT else "squared")
-    scores, best = [], None
-    for k in ks:
-        if k >= size:
-            break
+    ks = [int(k) for k in ks if k < size]
+    if not ks:
+        raise ValueError("fewer distinct points than clusters")
+
+    def one(k):
         model = fit_kmeans(points, k, restarts, seed)
-        assigned = model.transform(points)
-        if measure == "euclidean":
-            score = silhouette_exact(assigned.withColumn("x", F.array(*axes(points))),
-                                     "x", "prediction", "n").first()[0]
-        else:
-            score = silhouette_squared(assigned)
-        scores.append((int(k), float(score), measure))
-        if best is None or score > best[0]:
-            best = (score, model)
-    if best is None:
-        raise ValueError(f"fewer than {min(ks) + 1} distinct points")
-    return best[1], scores
+        assigned = model.transform(points).withColumn("_x", F.array(*axes(points)))
+        return k, silhouette(assigned, "_x", "prediction", "n").first()[0], model
+
+    points.persist()
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fits = list(pool.map(one, ks))
+    finally:
+        points.unpersist()
+    best = max(fits, key=lambda f: f[1])  # max keeps the first of equal scores
+    return best[2], [(k, float(score)) for k, score, _ in fits]
 
 
 def gap_statistic(spark, points, ks, references=3, seed=1, restarts=1, box="unit"):
@@ -192,10 +152,17 @@ def gap_statistic(spark, points, ks, references=3, seed=1, restarts=1, box="unit
     return spark.createDataFrame(out, "k int, gap double")
 
 
-def first_best(scores, score, parameter):
-    """Row of the largest score; the smallest parameter wins a tie."""
+def first_best(scores, score, parameter, order=None):
+    """Row of the largest score; the smallest parameter wins a tie.
+
+    ``order`` lists the parameter's values as they were tried: then the first
+    of them wins.
+    """
+    place = F.col(parameter)
+    if order is not None:
+        place = F.array_position(F.array(*[F.lit(float(v)) for v in order]), F.col(parameter).cast("double"))
     return scores.agg(F.max_by(F.struct(*scores.columns), F.struct(
-        F.col(score), -F.col(parameter))).alias("b")).select("b.*")
+        F.col(score), -place)).alias("b")).select("b.*")
 
 
 def pca_ratios(df, columns, k=None):

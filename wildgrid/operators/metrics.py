@@ -62,9 +62,12 @@ def report_summary(pairs, by=(), zero_division=0.0):
         *[F.avg(m).alias(f"macro_{m}") for m in measures],
         *[(F.sum(F.col(m) * s) / F.sum(s)).alias(f"weighted_{m}") for m in measures],
         F.sum(s).alias("support"))
-    rows = [F.struct(F.lit(f"{kind} avg").alias("row"),
-                     *[F.col(f"{kind}_{m}").alias(m) for m in measures], s.alias("support"))
-            for kind in ("macro", "weighted")]
+    # Recall weighted by support is the share of right rows: the accuracy.
+    share = F.col("weighted_recall")
+    rows = [F.struct(F.lit("accuracy").alias("row"), *[share.alias(m) for m in measures], s.alias("support"))]
+    rows += [F.struct(F.lit(f"{kind} avg").alias("row"),
+                      *[F.col(f"{kind}_{m}").alias(m) for m in measures], s.alias("support"))
+             for kind in ("macro", "weighted")]
     return means.select(*by, F.explode(F.array(*rows)).alias("x")).select(*by, "x.*")
 
 

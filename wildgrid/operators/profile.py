@@ -194,8 +194,14 @@ def top(df, order, n):
 
 
 def positions(df, order, start, end):
-    """Rows at positions [start, end) of an order, counted from 0."""
-    return df.orderBy(*order).offset(start).limit(end - start)
+    """Rows at positions [start, end) of an order, counted from 0.
+
+    By exact rank: no task sorts the rows before them. The order must be total.
+    """
+    from .ranks import exact_rank
+
+    ranked = exact_rank(df, list(order), name="_rank")
+    return ranked.where((F.col("_rank") > start) & (F.col("_rank") <= end)).drop("_rank")
 
 
 def in_given_order(df, column, keys):

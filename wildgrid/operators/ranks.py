@@ -52,8 +52,8 @@ def hash_cuts(df, ids, group, seed, targets):
     ids = [ids] if isinstance(ids, str) else list(ids)
     keyed = df.select(*group, *ids, hash_key(ids, seed).alias("h"))
     sizes = settle(df.groupBy(*group).agg(F.count(F.lit(1)).alias("size")), "sizes")
-    # Buckets of at most 512 rows, or 65536 buckets for the largest groups.
-    digits = F.least(F.lit(4), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("size") / 512))))
+    # Buckets of about 512 rows or less, whatever the size of the group.
+    digits = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("size") / 512))))
     sizes = sizes.withColumn("_digits", digits.cast("int"))
     if group:
         keyed = keyed.join(sizes, group)

@@ -7,30 +7,39 @@ its files are below ``spark.sql.autoBroadcastJoinThreshold``; beyond that it is
 a shuffled join whose hot partitions adaptive execution splits.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark):
-    """The cluster's ``spark.checkpoint.dir``; in local mode one is made if unset."""
+    """The folder named in ``spark.checkpoint.dir``; nothing is made up if it is unset.
+
+    A folder without a scheme, or on ``file:``, is taken as it is: it may be a
+    mount that all machines share, which only the one who names it can know. On
+    a cluster it has to be named with its scheme, so that this is on purpose.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="wildgrid-")
-    spark.sparkContext.setCheckpointDir(folder)
+    local = spark.sparkContext.master.startswith("local")
+    if not local and ":" not in folder.split("/")[0]:
+        raise RuntimeError(f"spark.checkpoint.dir {folder!r} needs a scheme on a cluster, such as hdfs: or s3a:")
     return folder
 
 
-def settle(df, name="step"):
-    """Write once, read back; the rest of the plan starts at the written files."""
+def settle(df, name="step", partition_by=()):
+    """Write once, read back; the rest of the plan starts at the written files.
+
+    With ``partition_by`` a filter on these columns reads their folders only.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def attach(df, small, on, how="left", name="attach"):
@@ -60,20 +69,33 @@ def bounded_rows(df, limit, what):
 def input_order(df, paths=None):
     """Struct that sorts rows as they stood in the input files.
 
-    File position in ``paths`` (or the path itself), start of the block inside
-    the file, then the row counter of the task that read the block.
+    Place of the file in ``paths`` (or the path itself), start of the block
+    inside the file, then the row counter of the task that read the block. A
+    file belongs to the longest path that is the file itself or a folder above
+    it; a path with wildcards stands for the files it matches.
     """
-    from urllib.parse import quote
-
     name = F.col("_metadata.file_path")
+    place = F.lit(0)
     if paths:
-        place = F.lit(len(paths))
-        for number, path in reversed(list(enumerate(paths))):
-            tail = quote(str(path), safe="/:%")
-            place = F.when(name.contains(tail), number).otherwise(place)
-    else:
-        place = F.lit(0)
+        # One entry per given path: a list as long as the caller's.
+        spark, known = df.sparkSession, {}
+        for number, path in enumerate(paths):
+            for found in _resolved(spark, str(path)):
+                known.setdefault(found, number)
+        above = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in known.items()])
+        hits = F.filter(above, lambda e: (name == e["p"]) | F.startswith(name, F.concat(e["p"], F.lit("/"))))
+        longest = F.array_max(F.transform(hits, lambda e: F.struct(F.length(e["p"]).alias("l"), e["n"].alias("n"))))
+        place = F.coalesce(longest["n"], F.lit(len(paths)))
     return df.withColumn("input_order", F.struct(
         place.alias("source"), name.alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row")))
+
+
+def _resolved(spark, path):
+    """The given path, or what it matches, written as file metadata write it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(target) or []
+    return [jvm.org.apache.spark.paths.SparkPath.fromPath(f.getPath()).urlEncoded() for f in found]

@@ -14,29 +14,36 @@ from pyspark.sql import functions as F
 from ..sources.registry import load_model, save_model
 from ..sources.sinks import append_report
 from .boosting import fit_stumps, voting_model
+from .cluster import first_best
 from .metrics import balanced_accuracy, pair_counts
 from .probabilities import softmax
-from .profile import large_classes
+from .profile import large_classes, null_gate
 from .quantiles import union_all
 from .sampling import (
     ordered_folds, oversample_smallest, stratified_folds, stratified_split, weights_of_sizes,
     with_class_weight)
 from .storage import bounded_rows, settle
 
-MAX_DEPTH = 30  # the deepest tree Spark ML builds
+# Spark ML refuses deeper trees; the largest depth of a default grid.
+MAX_DEPTH = 30
+MAX_CLASSES = 10_000
 
 
 def depth_grid(n_features, step):
-    """Depths 1, 1+step, ... below the number of features and the deepest tree."""
-    return [d for d in range(1, n_features, step) if d <= MAX_DEPTH]
+    """Depths 1, 1+step, ... below the number of features."""
+    return list(range(1, n_features, step))
 
 
-def default_grid(kind, n_features):
-    """Values tried for the one tuned parameter of a kind."""
+def default_grid(kind, n_features, max_depth=MAX_DEPTH):
+    """Values tried for the one tuned parameter of a kind.
+
+    Depths go up to ``max_depth``; ask ``depth_grid`` for all of them. Spark ML
+    builds trees down to depth 30 and fails on a deeper one.
+    """
     if kind in ("tree", "forest"):
-        return depth_grid(n_features, 2)
+        return [d for d in depth_grid(n_features, 2) if d <= max_depth]
     if kind == "boosted":
-        return depth_grid(n_features, 10)
+        return [d for d in depth_grid(n_features, 10) if d <= max_depth]
     if kind == "stumps":
         return list(range(1, 201, 20))
     if kind == "network":
@@ -44,11 +51,20 @@ def default_grid(kind, n_features):
     return [0.0]
 
 
-def class_names(df, target, limit=10000):
+def class_names(df, target, limit=MAX_CLASSES):
+    """Sorted classes of a node; more than ``limit`` of them stop the job."""
     rows = bounded_rows(df.where(F.col(target).isNotNull()).select(target).distinct(), limit, "classes")
     return sorted(r[0] for r in rows)
 
 
+def gated(df, features, key="id"):
+    """(rows with every feature, rejects): rejects are (key, reason)."""
+    whole, broken = null_gate(df, list(features))
+    names = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in features]))
+    reason = F.concat(F.lit("null in "), F.array_join(names, ", "))
+    return whole, broken.select(key, reason.alias("reason"))
+
+
 def front(target, features, classes, scaled):
     """Label numbering (names are known, so no pass over the data) and assembly."""
     numbering = StringIndexerModel.from_labels(list(classes), inputCol=target, outputCol="label_index")
@@ -63,6 +79,8 @@ def front(target, features, classes, scaled):
 def learner(kind, value, classes, width, seed=0, trees=100, iterations=None):
     """The Spark ML estimator of a kind with its tuned parameter set."""
     common = {"featuresCol": "features", "labelCol": "label_index"}
+    if kind in ("tree", "forest", "boosted") and not 0 <= int(value) <= MAX_DEPTH:
+        raise ValueError(f"depth {value}: trees are built down to depth {MAX_DEPTH}")
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=int(value), weightCol="weight", seed=seed, **common)
     if kind == "forest":
@@ -90,6 +108,11 @@ class NodeModel:
     def __init__(self, pipeline, classes, kind):
         self.pipeline, self.classes, self.kind = pipeline, list(classes), kind
 
+    @property
+    def features(self):
+        """Names of the columns that a row needs to be scored."""
+        return self.pipeline.stages[1].getInputCols()
+
     def transform(self, df):
         """Add ``classes``, ``p`` (probabilities in class order) and ``predicted``."""
         kept = [c for c in df.columns if c not in ("classes", "p", "predicted")]
@@ -106,12 +129,12 @@ class NodeModel:
         return out.select(*kept, names.alias("classes"), "p",
                           F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
-    def save(self, spark, root, node):
-        return save_model(spark, self.pipeline, root, node, self.kind)
+    def save(self, spark, root, node, level=""):
+        return save_model(spark, self.pipeline, root, node, self.kind, level)
 
     @classmethod
-    def load(cls, spark, root, node, kind):
-        pipeline = load_model(spark, root, node, kind)
+    def load(cls, spark, root, node, kind, level=""):
+        pipeline = load_model(spark, root, node, kind, level)
         return cls(pipeline, pipeline.stages[0].labels, kind)
 
 
@@ -161,24 +184,30 @@ def node_score(model, df, target):
 
 
 def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratified=True,
-         oversample_first=False, parallelism=4, **options):
+         oversample_first=False, parallelism=4, max_depth=MAX_DEPTH, max_classes=MAX_CLASSES, **options):
     """Mean balanced accuracy per parameter value over k folds, then a refit.
 
     Folds are cut once and written; balancing happens inside the training folds
     (``oversample_first`` repeats rows before cutting, which leaks copies). Fits
     are independent Spark jobs run a few at a time; a boosting grid is one fit
-    per fold, scored after each number of rounds. Returns (NodeModel, scores)
-    with the first best value refitted on all rows.
+    per fold, scored after each number of rounds. Returns (NodeModel, scores,
+    rejects) with the first best value refitted on all rows. Rows with a null
+    feature or without a label are not trained on; ``rejects`` (key, reason)
+    holds them. Without a ``grid`` depths go up to ``max_depth``, which the
+    scores name.
     """
     spark = df.sparkSession
-    grid = list(grid or default_grid(kind, len(features)))
-    rows = df.na.drop(subset=[target, *features]).select(key, target, *features)
+    grid = list(grid or default_grid(kind, len(features), max_depth))
+    labelled = df.where(F.col(target).isNotNull()).select(key, target, *features)
+    unlabelled = df.where(F.col(target).isNull()).select(key, F.lit("no label").alias("reason"))
+    rows, rejects = gated(labelled, features, key)
+    rejects = rejects.unionByName(unlabelled)
     if oversample_first:
         rows = oversample_smallest(rows, target, key).withColumn(
             key, F.concat_ws("#", F.col(key), F.col("copy"))).drop("copy")
     cut = stratified_folds(rows, target, key, k, seed) if stratified else ordered_folds(rows, [key], k)
     cut = settle(cut, "folds")
-    classes = class_names(cut, target)
+    classes = class_names(cut, target, max_classes)
     train = training_sets(cut, target, kind, key, k)
     check = [cut.where(F.col("fold") == f).drop("fold") for f in range(k)]
 
@@ -201,11 +230,12 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         folds = [row for part in pool.map(one, tasks) for row in part]
     means = {v: sum(s for x, _, s in folds if x == float(v)) / k for v in grid}
-    best = max(grid, key=lambda v: means[v])  # max keeps the first of equal scores
+    scores = spark.createDataFrame([(kind, float(v), means[v], max_depth) for v in grid],
+                                   "kind string, value double, mean_score double, max_depth int")
+    best = first_best(scores, "mean_score", "value", grid).first()["value"]
+    best = next(v for v in grid if float(v) == best)
     final = fit_node(cut.drop("fold"), kind, target, features, best, key, classes, seed, **options)
-    scores = spark.createDataFrame([(kind, float(v), means[v]) for v in grid],
-                                   "kind string, value double, mean_score double")
-    return final, scores
+    return final, scores, rejects
 
 
 def node_table(df, levels, min_size=5, limit=40000, counted="common_name",
@@ -242,39 +272,65 @@ def node_rows(df, level, parent, target, min_size=5, limit=40000, counted="commo
     return large_classes(df, target, min_size, counted)
 
 
+def level_rows(df, level, parent_level, key, target, holdout, min_size=5, limit=40000,
+               counted="common_name", accuracy="public_positional_accuracy"):
+    """Rows of all nodes of a level with their holdout mark, written by node.
+
+    The same rows as ``node_rows`` gives node by node: classes are counted, and
+    the holdout is cut, per (parent, class) in one pass over the level.
+    """
+    parent = F.lit("base") if parent_level is None else F.col(parent_level).cast("string")
+    rows = df.withColumn("_node", parent).where(F.col("_node").isNotNull())
+    rows = rows.na.drop(subset=[target, accuracy]).where(F.col(accuracy) <= limit)
+    rows = rows.withColumn("_stratum", F.to_json(F.struct("_node", F.col(target).alias("_class"))))
+    rows = large_classes(rows, "_stratum", min_size, counted)
+    split = stratified_split(settle(rows, "level"), "_stratum", key, holdout).drop("_stratum")
+    return settle(split, "level-split", partition_by=["_node"])
+
+
 def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, parallelism=2,
           root_target=None, save_to=None, **options):
     """One model per (node, kind) and the holdout predictions of all of them.
 
-    Returns (models, predictions): predictions is one long table (node, kind,
-    id, true_label, prediction), ready for grouped reports. ``root_target``
-    adds the model above the first level.
+    Returns (models, predictions, rejects). ``models`` maps (target level, node,
+    kind) to a model; predictions is one long table (node, kind, level, id,
+    true_label, prediction), ready for grouped reports; rejects (node, kind,
+    level, id, reason) holds the rows of each node, of training or holdout, that
+    have a null feature. ``root_target`` adds the model above the first level.
+    Each level is read and cut once; a node then reads only its own files.
     """
-    spark = df.sparkSession
     df = settle(df, "sweep")
-    nodes = [(r["level"], r["parent"], r["target"])
-             for r in bounded_rows(node_table(df, levels).orderBy("level", "parent"), 10000, "nodes")]
-    if root_target:
-        nodes.insert(0, (None, "base", root_target))
+    table = settle(node_table(df, levels), "nodes")
+    steps = [(None, root_target)] if root_target else []
+    steps += list(zip(levels, levels[1:]))
+    models, predictions, rejects = {}, [], []
 
     def one(task):
-        (level, parent, target), kind = task
-        rows = node_rows(df, level, parent, target)
-        split = settle(stratified_split(rows, target, key, holdout), "holdout")
+        split, parent, target, kind = task
+        rows = split.where(F.col("_node") == parent).drop("_node")
+        tags = [F.lit(parent).alias("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level")]
         grid = (grids or {}).get(kind)
-        model, scores = tune(split.where("not is_holdout"), kind, target, features, grid, key, k, **options)
-        scored = model.transform(split.where("is_holdout")).select(
-            F.lit(parent).alias("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level"),
-            key, F.col(target).alias("true_label"), F.col("predicted").alias("prediction"))
-        return (parent, kind), model, scores, settle(scored, "predictions")
-
-    tasks = [(n, kind) for n in nodes for kind in kinds]
-    models, predictions = {}, []
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        for (parent, kind), model, scores, scored in pool.map(one, tasks):
-            models[parent, kind] = model
-            predictions.append(scored)
-            if save_to:  # one writer only: two appends to a folder disturb each other
-                model.save(spark, save_to, parent)
-                append_report(scores.coalesce(1), f"{save_to}/scores", node=parent)
-    return models, union_all(predictions)
+        model, scores, broken = tune(rows.where("not is_holdout"), kind, target, features, grid, key, k, **options)
+        whole, unscored = gated(rows.where("is_holdout"), features, key)
+        scored = model.transform(whole).select(
+            *tags, key, F.col(target).alias("true_label"), F.col("predicted").alias("prediction"))
+        broken = broken.unionByName(unscored).select(*tags, key, "reason")
+        return (target, parent, kind), model, scores, settle(scored, "predictions"), broken
+
+    for level, target in steps:
+        split = level_rows(df, target, level, key, target, holdout)
+        if level is None:
+            nodes = ["base"]
+        else:
+            here = table.where((F.col("level") == level) & (F.col("target") == target)).orderBy("parent")
+            nodes = [r["parent"] for r in here.toLocalIterator()]  # one model is kept for each
+        tasks = [(split, node, target, kind) for node in nodes for kind in kinds]
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            for name, model, scores, scored, broken in pool.map(one, tasks):
+                models[name] = model
+                predictions.append(scored)
+                rejects.append(broken)
+                if save_to:  # one writer only: two appends to a folder disturb each other
+                    model.save(df.sparkSession, save_to, name[1], target)
+                    append_report(scores.coalesce(1), f"{save_to}/scores", node=name[1], level=target)
+    return models, union_all(predictions), union_all(rejects)

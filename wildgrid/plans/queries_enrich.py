@@ -265,7 +265,7 @@ def elbow_fixed(spark, folder):
 
 @query("silhouette_fixed", """
   WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-  d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+  d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n
         FROM p a, p b GROUP BY ALL),
   q AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS size,
         max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b
@@ -273,7 +273,7 @@ def elbow_fixed(spark, folder):
   SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) + 1e-9, 6) AS silhouette FROM q""")
 def silhouette_fixed(spark, folder):
     e = table(spark, folder, "embeddings")
-    return with_rounded(cluster.silhouette_exact(e, "embedding", "label"), "silhouette")
+    return with_rounded(cluster.silhouette(e, "embedding", "label"), "silhouette")
 
 
 LIGHT = """date_trunc('day', local_ts) + INTERVAL '{}'"""

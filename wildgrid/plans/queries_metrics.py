@@ -70,7 +70,10 @@ def class_report_by_level(spark, folder):
 
 
 @query("report_summary", f"""WITH {SQL_PRED}, {sql_report('joint', '0.0::DOUBLE')}
-  SELECT 'macro avg' AS "row", round(avg(precision) + 1e-9, 6) AS precision, round(avg(recall) + 1e-9, 6) AS recall,
+  SELECT 'accuracy' AS "row", round(sum(recall * support) / sum(support) + 1e-9, 6) AS precision,
+    round(sum(recall * support) / sum(support) + 1e-9, 6) AS recall,
+    round(sum(recall * support) / sum(support) + 1e-9, 6) AS f1_score, CAST(sum(support) AS BIGINT) AS support FROM rep
+  UNION ALL SELECT 'macro avg' AS "row", round(avg(precision) + 1e-9, 6) AS precision, round(avg(recall) + 1e-9, 6) AS recall,
     round(avg(f1_score) + 1e-9, 6) AS f1_score, CAST(sum(support) AS BIGINT) AS support FROM rep
   UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support) + 1e-9, 6),
     round(sum(recall * support) / sum(support) + 1e-9, 6),

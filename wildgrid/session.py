@@ -29,3 +29,14 @@ def apply_settings(spark):
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def with_scratch(spark):
+    """For a local session without ``spark.checkpoint.dir``: a temporary one; callers only."""
+    import tempfile
+
+    local = spark.sparkContext.master.startswith("local")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if local and not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return spark

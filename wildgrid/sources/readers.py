@@ -1,19 +1,23 @@
 """Scans: observation files, keyed files, payloads, landed records, file listings."""
 
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 from ..operators.quantiles import union_all
+from ..operators.ranks import exact_rank
 from ..operators.storage import input_order
 
 
-def read_csv(spark, paths, schema, multi_line=True, keep_order=False, corrupt=None):
+def read_csv(spark, paths, schema, multi_line=None, keep_order=False, corrupt=None):
     """CSV files with a header, appended, under a declared schema.
 
-    Quoted line breaks are honoured; ``multi_line=False`` lets Spark split large
-    files when the text holds none. ``corrupt`` names a column for rows that do
+    Quoted line breaks are honoured, which takes one task per file. If it is not
+    said whether there are any, one pass over the lines looks for one, and files
+    without any are split between tasks. ``corrupt`` names a column for rows that do
     not fit; ``keep_order`` adds ``input_order`` (files in the order given).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if multi_line is None:
+        multi_line = has_quoted_line_breaks(spark, paths)
     declared = schema
     if corrupt:
         declared = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType(), True)])
@@ -26,6 +30,12 @@ def read_csv(spark, paths, schema, multi_line=True, keep_order=False, corrupt=No
     return input_order(df, paths) if keep_order else df
 
 
+def has_quoted_line_breaks(spark, paths):
+    """Whether some line holds an odd number of quotes: its record goes on in the next."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
+
+
 def read_keyed_csv(spark, paths, schema, key="id", **options):
     """CSV whose first column is the row key, whatever its header says."""
     first = schema.fields[0]
@@ -89,8 +99,8 @@ def list_files(spark, root, pattern="*"):
 def labelled_files(listing):
     """Label = parent folder, class number = alphabetical position of the label."""
     classes = listing.select("folder").distinct()
-    numbered = classes.withColumn(
-        "class_index", F.row_number().over(Window.orderBy("folder")) - 1)
+    numbered = exact_rank(classes, "folder", name="_rank").select(
+        "folder", (F.col("_rank") - 1).alias("class_index"))
     return listing.join(numbered, "folder").select(
         "path", "name", F.col("folder").alias("label"), F.col("class_index").cast("int"))
 
@@ -102,12 +112,12 @@ def file_ids(listing, tail=6):
 
 
 def sub_images(listing, consecutive=True):
-    """Parts ``<id>_<letter>.<ext>`` of an image, a..r, in letter order.
+    """Parts ``<id>_<letter>.<ext>`` of an image, in letter order.
 
     With ``consecutive`` an image's parts stop at the first missing letter. An
-    id has at most 18 parts, so the set of its letters is a bounded group.
+    id has one part per letter, so the set of its letters is a bounded group.
     """
-    stem = r"^(\d+)_([a-r])\.\w+$"
+    stem = r"^(\d+)_([a-z])\.\w+$"
     named = listing.where(F.col("name").rlike(stem)).select(
         "path", F.regexp_extract("name", stem, 1).cast("long").alias("id"),
         F.regexp_extract("name", stem, 2).alias("suffix"))

@@ -1,41 +1,51 @@
-"""Saved models: one artefact per (node, kind) and a table that lists them."""
+"""Saved models: one artefact per (level, node, kind) and a table that lists them."""
 
+import hashlib
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from .sinks import append, read_or_empty
 
-REGISTRY = "node string, kind string, path string, saved_at timestamp"
+REGISTRY = "level string, node string, kind string, path string, saved_at timestamp"
 
 
-def artefact_name(node, kind):
-    """Spaces to underscores, lower case, then the model kind."""
-    return f"{node.replace(' ', '_').lower()}_{kind}"
+def artefact_name(node, kind, level=""):
+    """Spaces to underscores, lower case, then the model kind.
 
+    Names that fall together so (other case, an underscore for a space, the same
+    name on two levels) are told apart by a few digits of their hash.
+    """
+    exact = hashlib.md5(f"{level}|{node}".encode()).hexdigest()[:10]
+    return f"{node.replace(' ', '_').lower()}_{kind}_{exact}"
 
-def save_model(spark, model, root, node, kind):
+
+def save_model(spark, model, root, node, kind, level=""):
     """Write a fitted pipeline and register it."""
-    path = f"{root}/models/{artefact_name(node, kind)}"
+    path = f"{root}/models/{artefact_name(node, kind, level)}"
     model.write().overwrite().save(path)
-    row = [(node, kind, path, datetime.now(timezone.utc))]
+    row = [(level, node, kind, path, datetime.now(timezone.utc))]
     append(spark.createDataFrame(row, REGISTRY).coalesce(1), f"{root}/registry")
     return path
 
 
 def registered(spark, root):
-    return read_or_empty(spark, f"{root}/registry", spark.createDataFrame([], REGISTRY).schema)
+    """The newest entry of each saved model."""
+    rows = read_or_empty(spark, f"{root}/registry", spark.createDataFrame([], REGISTRY).schema)
+    return rows.groupBy("level", "node", "kind").agg(
+        F.max_by("path", "saved_at").alias("path"), F.max("saved_at").alias("saved_at"))
 
 
-def load_model(spark, root, node, kind):
+def load_model(spark, root, node, kind, level=""):
     """The model of a node, found by the naming rule."""
-    return PipelineModel.load(f"{root}/models/{artefact_name(node, kind)}")
+    return PipelineModel.load(f"{root}/models/{artefact_name(node, kind, level)}")
 
 
-def save_clusters(spark, model, root, node):
+def save_clusters(spark, model, root, node, level=""):
     """Save the location clusters of a node next to its classifiers."""
-    return save_model(spark, PipelineModel([model]), root, node, "k_means")
+    return save_model(spark, PipelineModel([model]), root, node, "k_means", level)
 
 
-def load_clusters(spark, root, node):
-    return load_model(spark, root, node, "k_means").stages[0]
+def load_clusters(spark, root, node, level=""):
+    return load_model(spark, root, node, "k_means", level).stages[0]
