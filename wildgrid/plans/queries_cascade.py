@@ -10,27 +10,27 @@ from .catalogue import query
 
 @query("mean_image_probs", """
   WITH e AS (SELECT vec_id // 3 AS id, vec_id % 3 AS part, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-  m AS (SELECT id, arg_min(label, part) AS label, avg(x[1] + 1) AS a, avg(x[2] + 1) AS b, avg(x[3] + 1) AS c,
-    avg(x[4] + 1) AS d FROM e GROUP BY 1)
-  SELECT id, label, round(a / (a + b + c + d) + 1e-9, 6) AS p0, round(b / (a + b + c + d) + 1e-9, 6) AS p1,
-    round(c / (a + b + c + d) + 1e-9, 6) AS p2, round(d / (a + b + c + d) + 1e-9, 6) AS p3 FROM m""")
+  l AS (SELECT id, arg_min(label, part) AS label FROM e GROUP BY 1),
+  c AS (SELECT id, unnest(range(64)) AS entry, unnest(x) + 1 AS v FROM e),
+  m AS (SELECT id, entry, avg(v) AS v FROM c GROUP BY ALL)
+  SELECT id, label, CAST(entry AS INTEGER) AS entry, round(v / sum(v) OVER (PARTITION BY id) + 1e-9, 6) AS p
+  FROM m JOIN l USING (id)""")
 def mean_image_probs(spark, folder):
     e = table(spark, folder, "embeddings").select(
         F.floor(F.col("vec_id") / 3).alias("id"), F.char(97 + F.col("vec_id") % 3).alias("suffix"), "label",
-        F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 4), lambda x: x + 1).alias("p"))
+        F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 1).alias("p"))
     mean = probabilities.mean_parts(e, "id", "suffix", "p", "label")
-    cells = [F.get("p", F.lit(i)).alias(f"p{i}") for i in range(4)]
-    return with_rounded(mean.select("id", "label", *cells), "p0", "p1", "p2", "p3")
+    return with_rounded(mean.select("id", "label", F.posexplode("p").alias("entry", "p")), "p")
 
 
 @query("joint_decision", """
-  WITH e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[])[1:4], lambda x: x + 1) AS m,
-      list_transform(CAST(embedding AS DOUBLE[])[5:8], lambda x: x + 1) AS i,
+  WITH e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[])[1:32], lambda x: x + 1) AS m,
+      list_transform(CAST(embedding AS DOUBLE[])[33:64], lambda x: x + 1) AS i,
       CASE vec_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 WHEN 2 THEN 0.5 ELSE 0.9 END::DOUBLE AS w FROM embeddings),
-  j AS (SELECT *, [m[k] * w + i[k] * (1 - w) for k in range(1, 5)] AS v FROM e)
-  SELECT id, ['a', 'b', 'c', 'd'][list_position(v, list_max(v))] AS joint_prediction,
-    ['a', 'b', 'c', 'd'][list_position(i, list_max(i))] AS image_prediction,
-    ['a', 'b', 'c', 'd'][list_position(m, list_max(m))] AS meta_prediction,
+  j AS (SELECT *, [m[k] * w + i[k] * (1 - w) for k in range(1, 33)] AS v FROM e)
+  SELECT id, 'c' || (list_position(v, list_max(v)) - 1) AS joint_prediction,
+    'c' || (list_position(i, list_max(i)) - 1) AS image_prediction,
+    'c' || (list_position(m, list_max(m)) - 1) AS meta_prediction,
     round(list_max(v) / list_sum(v) + 1e-9, 6) AS confidence FROM j""")
 def joint_decision(spark, folder):
     from ..schemas import LEVELS, LEVEL_WEIGHTS
@@ -39,9 +39,9 @@ def joint_decision(spark, folder):
     levels = F.array(*[F.lit(n) for n in LEVELS])
     e = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), F.get(levels, (F.col("vec_id") % 4).cast("int")).alias("level"),
-        F.array(*[F.lit(c) for c in "abcd"]).alias("classes"),
-        F.transform(F.slice(x, 1, 4), lambda v: v + 1).alias("meta"),
-        F.transform(F.slice(x, 5, 4), lambda v: v + 1).alias("image"))
+        F.array(*[F.lit(f"c{i}") for i in range(32)]).alias("classes"),
+        F.transform(F.slice(x, 1, 32), lambda v: v + 1).alias("meta"),
+        F.transform(F.slice(x, 33, 32), lambda v: v + 1).alias("image"))
     d = probabilities.joint_decisions(e, LEVEL_WEIGHTS).withColumn("confidence", F.array_max("joint"))
     return with_rounded(d.select("id", "joint_prediction", "image_prediction", "meta_prediction", "confidence"),
                         "confidence")
@@ -117,10 +117,11 @@ def cascade_accuracy(spark, folder):
 
 
 @query("vector_normalised", """
-  SELECT vec_id, round((embedding[1] + 1) / (embedding[1] + embedding[2] + 2) + 1e-7, 4) AS first,
-    CAST(CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS BIGINT) AS best FROM embeddings""")
+  WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + 1) AS v FROM embeddings)
+  SELECT vec_id, round(v[1] / list_sum(v) + 1e-9, 6) AS first,
+    CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best FROM v""")
 def vector_normalised(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", F.transform(
-        F.slice(F.col("embedding").cast("array<double>"), 1, 2), lambda x: x + 1).alias("v"))
+        F.col("embedding").cast("array<double>"), lambda x: x + 1).alias("v"))
     return with_rounded(e.select("vec_id", F.get(vectors.normalise("v"), F.lit(0)).alias("first"),
-                                 vectors.first_max("v").alias("best")), "first", digits=4)
+                                 vectors.first_max("v").alias("best")), "first")
