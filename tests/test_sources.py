@@ -89,7 +89,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_artefact_names(spark, tmp_path):
-    assert registry.artefact_name("Puma concolor", "tree") == "puma_concolor_tree"
+    assert registry.artefact_name("Puma concolor", "tree").startswith("puma_concolor_tree_")
+    assert registry.artefact_name("Puma", "tree", "genus") != registry.artefact_name("puma", "tree", "genus")
     assert registry.registered(spark, str(tmp_path)).count() == 0
 
 
@@ -112,3 +113,38 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         storage.shared_folder(Session())
+
+
+def test_files_belong_to_the_longest_path_given(spark, tmp_path):
+    """One path begins the name of another; a wildcard and a folder are paths too."""
+    for name, key in (("a", 1), ("ab", 2), ("b", 3)):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "f.csv", f"key,a,b\n{key},x,0\n9,{name},0\n")
+    paths = [str(tmp_path / n) for n in ("ab", "b", "a")]
+    rows = readers.read_csv(spark, paths, PLAIN, keep_order=True).orderBy("input_order").collect()
+    assert [r["key"] for r in rows] == [2, 9, 3, 9, 1, 9]
+    rows = readers.read_csv(spark, [str(tmp_path / "b*"), str(tmp_path / "a*")], PLAIN, keep_order=True)
+    assert [r["key"] for r in rows.orderBy("input_order").collect()][0] == 3
+    from wildgrid.operators.clean import dedupe_first
+    first = dedupe_first(readers.read_csv(spark, paths, PLAIN, keep_order=True), "key")
+    assert first.where("key = 9").first()["a"] == "ab"
+
+
+def test_append_new_takes_one_row_per_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([(1, "a"), (1, "a"), (2, "b")], [(2, "c"), (3, "d"), (3, "d")]):
+        sinks.append_new(spark.createDataFrame(rows, "id long, v string"), path, "id")
+    got = sorted(map(tuple, spark.read.parquet(path).collect()))
+    assert got == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_all_zones_of_spark_convert(spark):
+    from pyspark.sql import functions as F
+
+    from wildgrid.functions import times
+
+    names = ["CET", "EET", "EST5EDT", "Japan", "NZ", "Israel", "GB", "Greenwich", "PST", "Asia/Tokyo", "No/Where", None]
+    df = spark.createDataFrame([(n,) for n in names], "z string").withColumn("t", F.lit("2022-08-02 00:40:00").cast("timestamp"))
+    got = {r["z"]: r["l"] for r in df.select("z", times.local_time_text("t", "z").alias("l")).collect()}
+    assert [n for n in names if got[n] is None] == ["No/Where", None]
+    assert got["CET"] == "2022-08-02 02:40:00+02:00"

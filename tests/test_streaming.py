@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from wildgrid.operators import enrich
 from wildgrid.plans.adapter import raw_observations, weather_jobs
 from wildgrid.sources.sinks import overwrite
-from wildgrid.streaming.ingest import stream_cleaning, stream_enrichment, stream_scoring
+from wildgrid.streaming.ingest import open_rejects, stream_cleaning, stream_enrichment, stream_scoring
 
 
 def counts(spark, out):
@@ -42,6 +43,46 @@ def test_enrichment_keeps_and_rejects(spark, small, tmp_path):
     assert {r["reason"] for r in rejected.select("reason").distinct().collect()} == {"no such hour", "missing reading"}
 
 
+def test_every_line_is_accounted_for(spark, small, tmp_path):
+    """Broken lines and lines without an id are kept; a late good payload closes its reject."""
+    jobs = weather_jobs(spark, small)
+    good = jobs.join(enrich.snapshots(jobs)[0].select("id"), "id", "left_semi").limit(2).select(jobs.columns).cache()
+    first, second = [r["id"] for r in good.collect()]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    poor = good.where(f"id = {first}").withColumn("payload", F.lit(None).cast(good.schema["payload"].dataType))
+    poor.unionByName(good.where(f"id = {second}")).unionByName(good.where(f"id = {second}")) \
+        .unionByName(good.limit(1).withColumn("id", F.lit(None).cast("long"))).write.json(source + "/one")
+    (tmp_path / "in" / "one" / "broken.json").write_text('{"id": 5, "payload": {oops\n')
+    run = lambda name: stream_enrichment(spark, source + "/*", out, str(tmp_path / name)).awaitTermination()
+    run("c")
+    reasons = sorted(r["reason"] for r in open_rejects(spark, out).collect())
+    assert reasons == ["no id", "no payload", "unreadable"]
+    assert "oops" in open_rejects(spark, out).where("reason = 'unreadable'").first()["line"]
+    good.where(f"id = {first}").write.json(source + "/two")
+    run("c")
+    run("other")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/snapshots").collect()) == sorted([first, second])
+    assert sorted(r["reason"] for r in open_rejects(spark, out).collect()) == ["no id", "unreadable"]
+
+
+def test_repeated_ids_and_ids_without_results(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "none")], "id long, label string")
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def score(batch):
+        seen.append(sorted(r["id"] for r in batch.collect()))
+        return batch.where("label = 'a'").select(
+            "id", F.lit("family").alias("taxonomic_level"), F.lit("a").alias("joint_prediction"),
+            F.lit("a").alias("image_prediction"), F.lit("a").alias("meta_prediction"), F.col("label").alias("true_label"))
+
+    for name in ("c1", "c2"):
+        stream_scoring(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / name),
+                       score).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+    assert seen[0] == [1, 2, 3] and not any(seen[1:])
+
+
 def test_scoring_resumes(spark, tmp_path):
     rows = spark.range(20).select("id", F.lit("a").alias("label"))
     rows.write.parquet(str(tmp_path / "in"))

@@ -1,6 +1,6 @@
 """Enrichment: hour lookup in nested readings, zones of points, land flag, joins."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..functions import geo, times
 from ..functions.vectors import at_position
@@ -38,6 +38,9 @@ def snapshots(jobs, payload="payload", obs_time="obs_time", latitude="latitude",
               longitude="longitude", key="id"):
     """(kept, rejected): flat snapshot per job, and reasons for the others.
 
+    Reasons: no payload, unreadable (text that is not JSON, or without hours),
+    no such hour, missing reading.
+
     The observation's wall time is the text before its offset; the hour must be
     among the payload's hours and every numeric reading must be present. The
     flat rows are written once with their verdict, so that neither result
@@ -56,15 +59,16 @@ def snapshots(jobs, payload="payload", obs_time="obs_time", latitude="latitude",
         F.col(key), F.col(latitude).alias("lat"), F.col(longitude).alias("long"),
         F.col(obs_time).alias("observed_on"), p["timezone"].alias("time_zone"),
         p["elevation"].alias("elevation"), hour.alias("time"), *hourly, *daily,
-        p.isNull().alias("_no_payload"), F.coalesce(F.col("_at") == 0, F.lit(True)).alias("_no_hour"))
+        p.isNull().alias("_no_payload"), p["hourly"].isNull().alias("_unreadable"), F.coalesce(F.col("_at") == 0, F.lit(True)).alias("_no_hour"))
     needed = [snapshot_name(n, "hourly") for n in HOURLY] + \
              [snapshot_name(n, "daily") for n in DAILY if n not in DAILY_TEXT]
     missing = F.lit(False)
     for n in needed:
         missing = missing | F.col(n).isNull()
-    reason = (F.when(F.col("_no_payload"), "no payload").when(F.col("_no_hour"), "no such hour")
+    reason = (F.when(F.col("_no_payload"), "no payload").when(F.col("_unreadable"), "unreadable")
+              .when(F.col("_no_hour"), "no such hour")
               .when(missing, "missing reading"))
-    flat = settle(flat.withColumn("reason", reason).drop("_no_payload", "_no_hour"), "snapshots")
+    flat = settle(flat.withColumn("reason", reason).drop("_no_payload", "_unreadable", "_no_hour"), "snapshots")
     kept = flat.where("reason is null").drop("reason")
     return kept, flat.where("reason is not null").select(key, "reason")
 
@@ -91,24 +95,54 @@ def hour_join(points, hours, key, wall, hour="hour"):
     return points.withColumn(hour, times.hour_key(wall)).join(hours, [key, hour], "inner")
 
 
-def polygon_cells(zones, zone="zone", ring="ring", per_degree=1):
-    """Grid index of a polygon table: one row per cell with its candidates.
+def _edges(ring):
+    """Edges of a closed ring; one that crosses the date line comes twice.
 
-    ``ring`` is a closed array of struct(lon, lat) that does not cross the date
-    line. A cell keeps only the edges a ray towards east can meet from inside
-    the cell, so long borders are not copied whole into every cell.
+    Longitudes of such a ring are unwrapped (negative ones 360 further east), and
+    its edges are given there and 360 degrees further west, so that points on
+    both sides of the line find them.
     """
-    edge = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(
-        F.get(F.col(ring), i - 1)["lon"].alias("x1"), F.get(F.col(ring), i - 1)["lat"].alias("y1"),
-        F.get(F.col(ring), i)["lon"].alias("x2"), F.get(F.col(ring), i)["lat"].alias("y2")))
+    def jump(i):
+        return F.abs(F.get(ring, i)["lon"] - F.get(ring, i - 1)["lon"]) > 180
+
+    def edge(lon, shift):
+        return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(
+            (lon(F.get(ring, i - 1)["lon"]) + shift).cast("double").alias("x1"),
+            F.get(ring, i - 1)["lat"].cast("double").alias("y1"),
+            (lon(F.get(ring, i)["lon"]) + shift).cast("double").alias("x2"),
+            F.get(ring, i)["lat"].cast("double").alias("y2")))
+
+    def unwrapped(x):
+        return F.when(x < 0, x + 360).otherwise(x)
 
-    def span(field, pick):
-        values = F.transform(ring, lambda p: p[field])
-        return F.floor(pick(values) * per_degree).cast("int")
+    crosses = F.exists(F.sequence(F.lit(1), F.size(ring) - 1), jump)
+    return F.when(crosses, F.concat(edge(unwrapped, 0), edge(unwrapped, -360))).otherwise(edge(lambda x: x, 0))
 
-    base = zones.select(F.col(zone).alias("zone"), edge.alias("edges"),
-                        span("lat", F.array_min).alias("s"), span("lat", F.array_max).alias("n"),
-                        span("lon", F.array_min).alias("w"), span("lon", F.array_max).alias("e"))
+
+def polygon_cells(zones, zone="zone", ring="ring", per_degree=1):
+    """Grid index of a polygon table: one row per cell with its candidates.
+
+    ``ring`` is a closed array of struct(lon, lat), or an array of such rings:
+    the parts of a zone and the holes in them, in any order. A point is inside
+    if it is inside an odd number of rings. Rings may cross the date line. A
+    cell keeps only the edges a ray towards east can meet from inside the cell,
+    so long borders are not copied whole into every cell; finer cells
+    (``per_degree``) hold fewer edges where borders are dense.
+    """
+    single = isinstance(zones.schema[ring].dataType.elementType, T.StructType)
+    rings = F.array(F.col(ring)) if single else F.col(ring)
+    edge = F.flatten(F.transform(rings, _edges))
+
+    def span(ends, pick, least, most):
+        low = pick(F.flatten(F.transform("edges", lambda e: F.array(e[ends[0]], e[ends[1]]))))
+        cell = F.floor(low * per_degree).cast("int")
+        return F.least(F.lit(most * per_degree - 1), F.greatest(F.lit(least * per_degree), cell))
+
+    base = zones.select(F.col(zone).alias("zone"), edge.alias("edges"))
+    base = base.select("zone", "edges", span(("y1", "y2"), F.array_min, -90, 91).alias("s"),
+                       span(("y1", "y2"), F.array_max, -90, 91).alias("n"),
+                       span(("x1", "x2"), F.array_min, -180, 181).alias("w"),
+                       span(("x1", "x2"), F.array_max, -180, 181).alias("e"))
     base = base.withColumn("cell_lat", F.explode(F.sequence("s", "n")))
     south, north = F.col("cell_lat") / per_degree, (F.col("cell_lat") + 1) / per_degree
     band = F.filter("edges", lambda x: (F.greatest(x.y1, x.y2) >= south) &

@@ -7,10 +7,14 @@ its files are below ``spark.sql.autoBroadcastJoinThreshold``; beyond that it is
 a shuffled join whose hot partitions adaptive execution splits.
 """
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
+# file:/x and file:///x are one path.
+_SCHEME = re.compile("^([A-Za-z0-9+.-]+):/+")
+
 
 def shared_folder(spark):
     """The folder named in ``spark.checkpoint.dir``; nothing is made up if it is unset.
@@ -74,7 +78,7 @@ def input_order(df, paths=None):
     file belongs to the longest path that is the file itself or a folder above
     it; a path with wildcards stands for the files it matches.
     """
-    name = F.col("_metadata.file_path")
+    name = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME.pattern, "$1:/")
     place = F.lit(0)
     if paths:
         # One entry per given path: a list as long as the caller's.
@@ -98,4 +102,5 @@ def _resolved(spark, path):
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(target) or []
-    return [jvm.org.apache.spark.paths.SparkPath.fromPath(f.getPath()).urlEncoded() for f in found]
+    encoded = [jvm.org.apache.spark.paths.SparkPath.fromPath(f.getPath()).urlEncoded() for f in found]
+    return [_SCHEME.sub(r"\1:/", e) for e in encoded]

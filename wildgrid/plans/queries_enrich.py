@@ -139,6 +139,32 @@ def zone_of_point(spark, folder):
     return enrich.zone_of_point(o, cells)
 
 
+@query("zone_of_rings", f"""WITH {SQL_OBS},
+  z AS (SELECT n_name, n_nationkey AS k, n_nationkey * 14 - 172 AS w FROM nation),
+  f AS (SELECT id, latitude, longitude, CASE WHEN longitude < w THEN longitude + 360 ELSE longitude END - w AS x, n_name, k
+    FROM obs, z)
+  SELECT o.id, o.latitude, o.longitude, min(n_name) FILTER (WHERE
+      (x >= 0 AND x < 13.5 AND o.latitude >= k - 50.5 AND o.latitude < 40.5 AND NOT
+        (x >= 4 AND x < 8 AND o.latitude >= -20.5 AND o.latitude < 10.5)) OR
+      (x >= 5 AND x < 7 AND o.latitude >= 60.5 AND o.latitude < 70.5)) AS time_zone
+  FROM f o GROUP BY ALL""")
+def zone_of_rings(spark, folder):
+    """Zones with a hole and a second part; the last of them cross the date line."""
+    k = F.col("n_nationkey")
+    west = (k * 14 - 172).cast("double")
+
+    def box(w, e, s, n):
+        x = lambda v: F.when(v >= 180, v - 360).otherwise(v)
+        corners = [(w, s), (e, s), (e, n), (w, n), (w, s)]
+        return F.array(*[F.struct(x(west + F.lit(a)).alias("lon"), b.cast("double").alias("lat")) for a, b in corners])
+
+    rings = F.array(box(0.0, 13.5, k - 50.5, F.lit(40.5)), box(4.0, 8.0, F.lit(-20.5), F.lit(10.5)),
+                    box(5.0, 7.0, F.lit(60.5), F.lit(70.5)))
+    zones = table(spark, folder, "nation").select(F.col("n_name").alias("zone"), rings.alias("ring"))
+    o = observations(spark, folder).select("id", "latitude", "longitude")
+    return enrich.zone_of_point(o, enrich.polygon_cells(zones))
+
+
 @query("country_of_point", f"""WITH {SQL_OBS},
   z AS (SELECT n_name, n_nationkey * 14 - 180 AS w, n_nationkey AS k FROM nation),
   j AS (SELECT id, n_name FROM obs LEFT JOIN z ON

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F, types as T
 from ..operators import enrich
 from ..operators.clean import dedupe_first
 from ..plans.cleaning import clean_batch
-from ..schemas import CASCADE_RESULTS, ID_ONLY, RAW_OBSERVATIONS, WEATHER_JOB, weather_payload
+from ..operators.storage import settle
+from ..schemas import (
+    CASCADE_RESULTS, ID_ONLY, RAW_OBSERVATIONS, WEATHER_JOB, weather_payload, weather_snapshot)
 from ..sources.sinks import append_new, read_or_empty
 
 
@@ -21,11 +23,14 @@ def _run(stream, work, checkpoint, available_now=True):
 
 
 def stream_cleaning(spark, source, out, checkpoint, cells=None, files_per_batch=100,
-                    schema=RAW_OBSERVATIONS, fmt="csv", available_now=True):
-    """Clean unseen files; append to ``out/interim`` and ``out/bad_quality``."""
+                    schema=RAW_OBSERVATIONS, fmt="csv", available_now=True, multi_line=True):
+    """Clean unseen files; append to ``out/interim`` and ``out/bad_quality``.
+
+    ``multi_line=False`` splits large files, for text without quoted line breaks.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     rows = reader.format(fmt).load(source).withColumn("input_order", F.struct(
         F.col("_metadata.file_modification_time").alias("at"),
         F.col("_metadata.file_path").alias("file"),
@@ -46,29 +51,69 @@ def stream_cleaning(spark, source, out, checkpoint, cells=None, files_per_batch=
 
 
 def stream_enrichment(spark, source, out, checkpoint, files_per_batch=100, available_now=True):
-    """Landed lines {job fields, payload} -> ``out/snapshots`` and ``out/rejects``."""
-    schema = T.StructType(WEATHER_JOB.fields + [T.StructField("payload", weather_payload())])
-    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+    """Landed lines {job fields, payload} -> ``out/snapshots`` and ``out/rejects``.
+
+    Every line ends in one of them: rejects (id, reason, line) also hold lines
+    that are no JSON and those without an id, with their text. Of several lines
+    of a job the first good one counts, whenever it comes; see ``open_rejects``.
+    """
+    broken = "_line"
+    schema = T.StructType([*WEATHER_JOB.fields, T.StructField("payload", weather_payload()),
+                           T.StructField(broken, T.StringType())])
+    lines = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+             .option("columnNameOfCorruptRecord", broken).json(source))
+    jobs = [f.name for f in schema.fields if f.name != broken]
 
     def work(batch, number):
-        kept, rejected = enrich.snapshots(
-            dedupe_first(batch.where("id is not null"), "id", ["obs_time", "start_date"]))
-        append_new(rejected, f"{out}/rejects", "id")
+        session = batch.sparkSession
+        batch = settle(batch, "landed")
+        known = batch.where(F.col(broken).isNull() & F.col("id").isNotNull()).select(*jobs)
+        done = read_or_empty(session, f"{out}/snapshots", weather_snapshot()).select("id")
+        seen = done.join(known.select("id").distinct(), "id", "left_semi").distinct()
+        kept, rejected = enrich.snapshots(known.join(settle(seen, "seen"), "id", "left_anti").select(*jobs))
+        # Copies of a job: the first reading in time, then by content, is kept.
+        kept = kept.withColumn("_h", F.xxhash64(*kept.columns))
+        kept = settle(dedupe_first(kept, "id", ["observed_on", "_h"]).drop("_h"), "kept")
+        rejected = rejected.join(kept.select("id"), "id", "left_anti").select(
+            "id", "reason", F.lit(None).cast("string").alias("line"))
+        lost = batch.where(F.col(broken).isNotNull() | F.col("id").isNull()).select(
+            F.when(F.col(broken).isNull(), F.col("id")).alias("id"),
+            F.when(F.col(broken).isNotNull(), "unreadable").otherwise("no id").alias("reason"),
+            F.coalesce(broken, F.to_json(F.struct(*jobs))).alias("line"))
+        rejects = rejected.unionByName(lost).withColumn("key", F.md5(F.concat_ws(
+            "|", F.col("id").cast("string"), "reason", "line")))
+        append_new(rejects, f"{out}/rejects", "key")
         append_new(kept, f"{out}/snapshots", "id")
 
     return _run(lines, work, checkpoint, available_now)
 
 
+def open_rejects(spark, out):
+    """(id, reason, line) of lines whose job has not been delivered well since."""
+    rejects = spark.read.parquet(f"{out}/rejects").drop("key")
+    done = read_or_empty(spark, f"{out}/snapshots", weather_snapshot()).select("id")
+    return rejects.join(done, "id", "left_anti").select("id", "reason", "line")
+
+
 def stream_scoring(spark, source, schema, out, checkpoint, score, files_per_batch=100,
                    available_now=True):
-    """Score unseen observations; ``score`` maps a batch to cascade results."""
+    """Score unseen observations; ``score`` maps a batch to cascade results.
+
+    One row of an id is scored. Scored ids are kept beside the results, in
+    ``<out>_ids``, so that an id without a result is not scored again.
+    """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    ids = f"{out.rstrip('/')}_ids"
 
     def work(batch, number):
         session = batch.sparkSession
-        done = read_or_empty(session, out, CASCADE_RESULTS).select("id").distinct()
-        fresh = batch.join(done, "id", "left_anti")
+        own = settle(batch.select("id").distinct(), "batch-ids")
+        done = read_or_empty(session, out, CASCADE_RESULTS).select("id").unionByName(
+            read_or_empty(session, ids, ID_ONLY).select(F.col("id").cast("long").alias("id")))
+        seen = settle(done.join(own, "id", "left_semi").distinct(), "seen")
+        fresh = settle(batch.join(seen, "id", "left_anti").dropDuplicates(["id"]), "fresh")
         results = score(fresh)
         results.write.mode("append").parquet(out)
+        append_new(fresh.select("id"), ids, "id")
 
     return _run(rows, work, checkpoint, available_now)
