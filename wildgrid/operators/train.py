@@ -300,7 +300,7 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
     Each level is read and cut once; a node then reads only its own files.
     """
     df = settle(df, "sweep")
-    table = settle(node_table(df, levels), "nodes")
+    table = settle(node_table(df, levels), "nodes") if len(levels) > 1 else None
     steps = [(None, root_target)] if root_target else []
     steps += list(zip(levels, levels[1:]))
     models, predictions, rejects = {}, [], []

@@ -17,5 +17,5 @@ def query(name, sql=None):
 def load():
     """Import the modules that register queries; returns (queries, oracles)."""
     from . import (queries_clean, queries_enrich, queries_learn, queries_metrics,  # noqa: F401
-                   queries_profile, queries_sampling, queries_cascade)
+                   queries_profile, queries_sampling, queries_cascade, queries_more)
     return dict(QUERIES), dict(ORACLES)

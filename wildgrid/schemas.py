@@ -15,8 +15,6 @@ TAXON_COLUMNS = [
     "taxon_family_name", "taxon_genus_name", "taxon_species_name",
 ]
 LEVELS = ["taxon_family_name", "taxon_genus_name", "taxon_species_name", "sub_species"]
-LEVEL_TITLES = {"taxon_family_name": "Family", "taxon_genus_name": "Genus",
-                "taxon_species_name": "Species", "sub_species": "Subspecies"}
 LEVEL_WEIGHTS = {"taxon_family_name": 0.1, "taxon_genus_name": 0.2,
                  "taxon_species_name": 0.5, "sub_species": 0.9}
 HOURLY = [
@@ -87,5 +85,3 @@ def weather_snapshot():
 
 CASCADE_RESULTS = _fields([("id", _L), ("taxonomic_level", _S), ("joint_prediction", _S),
                            ("image_prediction", _S), ("meta_prediction", _S), ("true_label", _S)])
-CLASS_REPORT = _fields([("label", _S), ("precision", _D), ("recall", _D), ("f1_score", _D),
-                        ("support", _L), ("taxon_level", _S), ("model_type", _S)])
