@@ -14,7 +14,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..operators.storage import settle
 from .common import bounded_batches, raw_text
@@ -53,18 +53,30 @@ def fingerprint(text, words=3, seed=42):
     return int(chosen.view("<u8")[0])
 
 
-def with_fingerprints(docs, doc_id="doc_id", text="text", words=3, seed=42):
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
-    bounded_batches(docs.sparkSession)
+def _with_prints(rows, text, keep, words, seed):
+    """``keep`` columns and fp, the fingerprint as a signed 64-bit integer."""
+    bounded_batches(rows.sparkSession)
+    columns = rows.select(*keep, raw_text(text).alias("_raw"))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, words, seed) for t in batch.column(1).to_pylist()]
+            found = [fingerprint(t, words, seed) for t in batch.column(len(keep)).to_pylist()]
             fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names=[*keep, "fp"])
+
+    return columns.mapInArrow(run, T.StructType([
+        *[columns.schema[c] for c in keep], T.StructField("fp", T.LongType())]))
+
+
+def with_fingerprints(docs, doc_id="doc_id", text="text", words=3, seed=42):
+    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _with_prints(rows, "text", ("doc_id",), words, seed)
+
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw_text(text).alias("raw"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+def as_text(fp):
+    """16 hexadecimal digits of a fingerprint."""
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def _offsets(parts, radius):
@@ -165,7 +177,7 @@ def simhash_components(docs, doc_id="doc_id", text="text", words=3, radius=3, se
     prints = settle(with_fingerprints(docs, doc_id, text, words, seed), "doc_fingerprints")
     groups = settle(linked(prints, radius, **more), "groups")
     return prints.join(groups, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "doc_id", as_text("fp").alias("fingerprint"),
         F.col("component").alias("component_id"))
 
 
@@ -174,16 +186,24 @@ def keep_representatives(docs, doc_id="doc_id", text="text", **more):
 
     The row whose doc_id names the group stays (one of them, if rows repeat
     that id). A row with a null doc_id cannot name a group and stays as it is.
+    The ids to drop are joined to the documents, the shorter of the two lists.
     """
     names = docs.columns
-    groups = simhash_components(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **more)
-    heads = settle(groups.groupBy("component_id").agg(
-        F.sum((F.col("doc_id") == F.col("component_id")).cast("long")).alias("_rows")), "heads")
+    groups = settle(simhash_components(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **more), "members")
+    twice = settle(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    dropped = groups.where("doc_id <> component_id").select("doc_id").union(twice).distinct()
+    dropped = settle(dropped.withColumnRenamed("doc_id", "_dropped"), "dropped")
     key = docs[doc_id].cast("long")
-    single = docs.join(heads.where("_rows = 1"), key == heads["component_id"], "left_semi")
-    repeated = docs.join(heads.where("_rows > 1"), key == heads["component_id"], "left_semi")
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    repeated = (repeated.groupBy(F.col(doc_id).alias("_key"))
-                .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), hashed).alias("_row"))
-                .select(*[F.col("_row").getField(c).alias(c) for c in names]))
-    return single.unionByName(repeated).unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = docs.join(dropped, key == dropped["_dropped"], "left_anti")
+    if twice.isEmpty():
+        return kept
+    # Ids on several rows: only the fingerprint tells which row is in which group.
+    heads = groups.where("doc_id = component_id").select(
+        F.col("doc_id").alias("_head"), F.col("fingerprint").alias("_print")).distinct()
+    rows = docs.join(twice, key == twice["doc_id"], "left_semi").select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(doc_id).cast("long").alias("_id"),
+        F.col(text).alias("_text"))
+    rows = _with_prints(rows, "_text", ("_row", "_id"), more.get("words", 3), more.get("seed", 42))
+    of_group = rows.join(heads, (F.col("_id") == F.col("_head")) & (as_text("fp") == F.col("_print")))
+    chosen = of_group.groupBy("_head").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return kept.unionByName(chosen.select("_row.*"))
