@@ -148,3 +148,18 @@ def test_all_zones_of_spark_convert(spark):
     got = {r["z"]: r["l"] for r in df.select("z", times.local_time_text("t", "z").alias("l")).collect()}
     assert [n for n in names if got[n] is None] == ["No/Where", None]
     assert got["CET"] == "2022-08-02 02:40:00+02:00"
+
+
+def test_steps_are_removed_at_the_end_of_a_job(spark, tmp_path):
+    import os
+
+    from wildgrid.operators import storage
+
+    made = []
+    with storage.steps_removed(spark):
+        for _ in range(2):
+            df = storage.settle(spark.range(3), "scoped")
+            made += [f.split(":", 1)[-1] for f in df.inputFiles()]
+            assert df.count() == 3
+    outside = storage.settle(spark.range(3), "kept")
+    assert made and not any(os.path.exists(m.replace("///", "/")) for m in made) and outside.count() == 3

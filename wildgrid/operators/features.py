@@ -130,15 +130,16 @@ def split_xy(df, target, features, key="id"):
     return known.select(key, *features), known.select(key, target)
 
 
-def network_features(df, target, key="id", encoders=None, scaler=None):
+def network_features(df, target, key="id", encoders=None, scaler=None, max_categories=10_000):
     """Dummies for cluster, hour and month, then standardised readings.
 
     Returns (table, encoders, scaler); pass the fitted two when scoring, so
-    that training and scoring have the same columns.
+    that training and scoring have the same columns. A column with more than
+    ``max_categories`` values stops the job: each of them becomes a column.
     """
     plan = {"location_cluster": "loc", "hour": "hr", "month": "mnth"}
     if encoders is None:
-        encoders = {c: fit_categories(df, c) for c in plan}
+        encoders = {c: fit_categories(df, c, max_categories) for c in plan}
     for c, prefix in plan.items():
         df = fixed_dummies(df, c, encoders[c], prefix)
     present = [c for c in STANDARDISED if c in df.columns]

@@ -8,7 +8,9 @@ a shuffled join whose hot partitions adaptive execution splits.
 """
 
 import re
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -43,9 +45,33 @@ def settle(df, name="step", partition_by=()):
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for made in getattr(_own, "scopes", ()):
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
+_own = threading.local()  # streams run side by side: each removes only its own steps
+
+
+@contextmanager
+def steps_removed(spark):
+    """Remove what ``settle`` writes inside the block, at its end.
+
+    For jobs that write their results themselves: nothing made inside the block
+    can be read after it. A failed job leaves its steps for a look at them.
+    """
+    made = []
+    _own.scopes = [*getattr(_own, "scopes", ()), made]
+    try:
+        yield
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    finally:
+        _own.scopes = _own.scopes[:-1]
+
+
 def attach(df, small, on, how="left", name="attach"):
     """Join per-group results back to their rows.
 

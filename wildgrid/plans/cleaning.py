@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import clean, enrich
-from ..operators.storage import settle
+from ..operators.storage import settle, steps_removed
 from ..schemas import BAD_QUALITY, ID_ONLY, RAW_OBSERVATIONS
 from ..sources.readers import read_csv
 from ..sources.sinks import append_new, read_or_empty
@@ -37,6 +37,7 @@ def clean_files(spark, paths, out, cells=None, **options):
     raw = read_csv(spark, paths, RAW_OBSERVATIONS, keep_order=True, **options)
     bad_done = read_or_empty(spark, f"{out}/bad_quality", BAD_QUALITY).select("id")
     ok_done = read_or_empty(spark, f"{out}/interim", ID_ONLY).select("id")
-    good, bad = clean_batch(raw, cells, [ok_done, bad_done])
-    append_new(bad, f"{out}/bad_quality", "id")
-    append_new(good, f"{out}/interim", "id")
+    with steps_removed(spark):
+        good, bad = clean_batch(raw, cells, [ok_done, bad_done])
+        append_new(bad, f"{out}/bad_quality", "id")
+        append_new(good, f"{out}/interim", "id")

@@ -13,22 +13,21 @@ from .catalogue import query
 
 
 @query("payload_hour_lookup", """
-  WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr, avg(value) AS v, count(*) AS n
-             FROM events WHERE event_type <> 'error' GROUP BY ALL)
+  WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr, avg(value) FILTER (WHERE event_type <> 'error') AS v,
+             count(*) FILTER (WHERE event_type <> 'error') AS n FROM events GROUP BY ALL)
   SELECT event_id AS id, strftime(date_trunc('hour', e.ts), '%Y-%m-%dT%H:%M') AS time,
     round(v + 1e-9, 6) AS reading, n
-  FROM events e LEFT JOIN h ON h.user_id = e.user_id AND h.hr = date_trunc('hour', e.ts)
-  WHERE EXISTS (SELECT 1 FROM h d WHERE d.user_id = e.user_id AND date_trunc('day', d.hr) = date_trunc('day', e.ts))""")
+  FROM events e LEFT JOIN h ON h.user_id = e.user_id AND h.hr = date_trunc('hour', e.ts) AND n > 0""")
 def payload_hour_lookup(spark, folder):
     """Hourly readings per user and day as JSON with parallel arrays, looked up by hour."""
     from pyspark.sql import types as T
 
     e = table(spark, folder, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    hours = e.where("event_type <> 'error'").groupBy(
-        "user_id", "day", times.hour_key("ts").alias("time")).agg(
-        F.avg("value").alias("reading"), F.count(F.lit(1)).alias("n"))
-    # At most 24 entries per user and day.
-    arrays = F.array_sort(F.collect_list(F.struct("time", "reading", "n")))
+    good = F.when(F.col("event_type") != "error", F.col("value"))
+    hours = e.groupBy("user_id", "day", times.hour_key("ts").alias("time")).agg(
+        F.avg(good).alias("reading"), F.count_if(F.col("event_type") != "error").alias("n"))
+    # At most 24 entries per user and day; hours of errors alone are missing from the payload.
+    arrays = F.filter(F.array_sort(F.collect_list(F.struct("time", "reading", "n"))), lambda a: a["n"] > 0)
     payload = hours.groupBy("user_id", "day").agg(arrays.alias("a")).select(
         "user_id", "day", F.to_json(F.struct(F.struct(
             F.col("a.time").alias("time"), F.col("a.reading").alias("reading"),
@@ -43,13 +42,13 @@ def payload_hour_lookup(spark, folder):
 
 
 @query("hour_table_join", """
-  WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr, max(value) AS v FROM events
-             WHERE event_type = 'view' GROUP BY ALL)
+  WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr, max(value) FILTER (WHERE event_type = 'view') AS v
+             FROM events GROUP BY ALL)
   SELECT event_id AS id, v AS reading FROM events e JOIN h ON h.user_id = e.user_id AND h.hr = date_trunc('hour', e.ts)""")
 def hour_table_join(spark, folder):
     e = table(spark, folder, "events")
-    hours = e.where("event_type = 'view'").groupBy("user_id", times.hour_key("ts").alias("hour")) \
-             .agg(F.max("value").alias("reading"))
+    seen = F.when(F.col("event_type") == "view", F.col("value"))
+    hours = e.groupBy("user_id", times.hour_key("ts").alias("hour")).agg(F.max(seen).alias("reading"))
     joined = enrich.hour_join(e, hours, "user_id", "ts")
     return joined.select(F.col("event_id").alias("id"), "reading")
 

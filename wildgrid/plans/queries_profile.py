@@ -125,15 +125,16 @@ FILLED = ", ".join(f"round(coalesce(m{m}, rm) + 1e-7, 4) AS m{m}" for m in profi
 
 
 @query("month_pivot_filled", f"""
-  WITH p AS (SELECT o_orderpriority AS label, {MONTH_CELLS} FROM orders
-             WHERE NOT (o_orderpriority = '1-URGENT' AND month(o_orderdate) IN (2, 7)) GROUP BY 1),
+  WITH p AS (SELECT o_orderpriority AS label, {MONTH_CELLS} FROM (
+      SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' AND month(o_orderdate) IN (2, 7) THEN NULL
+        ELSE o_totalprice END AS o_totalprice) FROM orders) GROUP BY 1),
   q AS (SELECT *, list_avg(list_filter([{", ".join(f"m{m}" for m in profile.MONTHS)}], lambda x: x IS NOT NULL)) AS rm
         FROM p)
   SELECT label, {FILLED} FROM q""")
 def month_pivot_filled(spark, folder):
-    o = table(spark, folder, "orders").where(
-        ~((F.col("o_orderpriority") == "1-URGENT") & F.month("o_orderdate").isin(2, 7)))
-    o = o.select(F.col("o_orderpriority").alias("label"), "o_orderdate", "o_totalprice")
+    unknown = (F.col("o_orderpriority") == "1-URGENT") & F.month("o_orderdate").isin(2, 7)
+    o = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("label"), "o_orderdate",
+                                              F.when(~unknown, F.col("o_totalprice")).alias("o_totalprice"))
     means = profile.month_profile(o, "label", F.month("o_orderdate"), ["o_totalprice"])
     wide = profile.month_pivot(means, "label", "o_totalprice")
     cells = [f"m{m}" for m in profile.MONTHS]

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F, types as T
 from ..operators import enrich
 from ..operators.clean import dedupe_first
 from ..plans.cleaning import clean_batch
-from ..operators.storage import settle
+from ..operators.storage import settle, steps_removed
 from ..schemas import (
     CASCADE_RESULTS, ID_ONLY, RAW_OBSERVATIONS, WEATHER_JOB, weather_payload, weather_snapshot)
 from ..sources.sinks import append_new, read_or_empty
 
 
 def _run(stream, work, checkpoint, available_now=True):
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    def tidy(batch, number):
+        with steps_removed(batch.sparkSession):
+            work(batch, number)
+
+    writer = stream.writeStream.foreachBatch(tidy).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
