@@ -6,20 +6,32 @@ Null ids, texts, languages and sources, empty texts, repeated rows and empty
 tables pass through every stage as its operator states.
 """
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from wildgrid.llm import language, mixing, packing, simhash, toxicity
 from wildgrid.llm.common import held_out, table
 from wildgrid.operators.storage import settle
+from wildgrid.session import with_scratch
 
 TOXIC_FROM = 0.3
 
 
+def _stage(function):
+    """A stage names a checkpoint folder of its own only in a local session without one."""
+    @wraps(function)
+    def run_stage(spark, docs, sf_dir):
+        return function(with_scratch(spark), docs, sf_dir)
+    return run_stage
+
+
 def _boxed(docs):
     """Whole rows as one column, so that no name of theirs meets one of a verdict."""
     return docs.select(F.struct("*").alias("_doc"), "text")
 
 
+@_stage
 def drop_toxic(spark, docs, sf_dir):
     """Documents whose calibrated toxicity stays below the limit.
 
@@ -32,6 +44,7 @@ def drop_toxic(spark, docs, sf_dir):
     return scored.where(F.col("score") < TOXIC_FROM).select("_doc.*")
 
 
+@_stage
 def drop_unknown_languages(spark, docs, sf_dir):
     """Documents that lie near enough to the language that they are taken for."""
     model = language.fit(docs.where(~held_out()))
@@ -39,16 +52,19 @@ def drop_unknown_languages(spark, docs, sf_dir):
     return found.where(~F.col("rejected")).select("_doc.*")
 
 
+@_stage
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates."""
     return simhash.keep_representatives(docs)
 
 
+@_stage
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix of sources to target weights uses them."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of the documents, packed into sequences."""
     return packing.pack(docs)
@@ -68,7 +84,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages applied to the documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(with_scratch(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name)
     return docs
