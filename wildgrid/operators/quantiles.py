@@ -31,8 +31,8 @@ def exact_quantiles(df, columns, probabilities, group=()):
     group = [group] if isinstance(group, str) else list(group)
     key = [*group, "column"]
     values = long_form(df, columns, group)
-    spans = settle(values.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi")), "value-spans")
+    spans = values.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     p = F.explode(F.array(*[F.lit(float(x)) for x in probabilities])).alias("p")
     wanted = spans.select(*key, F.col("rows").alias("total"), p, "rows", "lo", "hi", F.lit(0).cast("long").alias("before"))
     wanted = wanted.withColumn("pos", (F.col("total") - 1) * F.col("p"))
@@ -76,7 +76,7 @@ def _inside(values, spans, key):
 
 def _narrowed(values, wanted, key):
     """The wanted positions with the cell of their span that holds them as new span."""
-    spans = settle(wanted.select(*key, "lo", "hi", "before").distinct(), "spans")
+    spans = wanted.select(*key, "lo", "hi", "before").distinct()
     part = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS
     # Infinite ends leave no finite width: such values go to the first or last cell.
     cell = F.when(F.isnan(part), F.when(F.col("value") > 0, CELLS - 1).otherwise(0)).otherwise(
