@@ -54,8 +54,8 @@ def fit_lexicons(rows, half, text="text", label="toxic", size=LEXICON_SIZE):
 
     A lexicon is {gram: share of toxic texts among those that hold it} with at
     most ``size`` grams. It counts texts, not places; the share is smoothed, and
-    grams held by fewer than five toxic texts (three, if there are under 200 of
-    them) or under half a percent of them do not enter. Rows are read once.
+    grams held by fewer than three toxic texts or under half a percent of them
+    do not enter. Rows are read once.
     """
     bounded_batches(rows.sparkSession)
     kinds = ["one0", "one1", "two0", "two1"]  # half, then label
@@ -81,7 +81,7 @@ def fit_lexicons(rows, half, text="text", label="toxic", size=LEXICON_SIZE):
         toxic = sum(sizes.get((h, True), 0) for h in halves)
         n1 = sum((F.col(n + "1") for n in names[1:]), F.col(names[0] + "1"))
         n0 = sum((F.col(n + "0") for n in names[1:]), F.col(names[0] + "0"))
-        lexicons.append((max(5 if toxic >= 200 else 3, math.ceil(toxic / 200)), n1, n1 / (n1 + n0 + 1)))
+        lexicons.append((max(3, math.ceil(toxic / 200)), n1, n1 / (n1 + n0 + 1)))
     keep = [(n1 >= least) & (share >= WEAK) for least, n1, share in lexicons]
     # Kept grams are few: each is held by at least so many of the sampled texts.
     counts = settle(counts.where(keep[0] | keep[1] | keep[2]), "toxic_grams")
@@ -215,14 +215,19 @@ def score(docs, model, doc_id="doc_id", text="text"):
     return found.select(doc_id, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("score"))
 
 
-def learn(docs, labels, learnable, doc_id="doc_id", text="text", label="toxic", **more):
+def learn(docs, labels, learnable, doc_id="doc_id", text="text", label="toxic", sample_rows=SAMPLE_ROWS):
     """Fit on the labelled rows of ``docs`` for which ``learnable`` holds.
 
     An id with several labels counts as toxic if one of them says so; rows with
     a null id or label are not learned from.
     """
-    marks = (labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id"))
-             .agg(F.max(label).alias("_label")))
+    marks = (labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
+             .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_label")))
+    # The sample is picked among the ids, so only its texts meet their labels.
+    marks = settle(marks, "toxic_labels")
+    known = docs.where(learnable).select(F.col(doc_id).alias("_key"))
+    size = known.join(marks, F.col("_key") == F.col("_id")).count()
+    picked = settle(pick_bounded(marks, size, sample_rows, ["_id"], "toxic"), "toxic_picked")
     rows = docs.where(learnable).select(F.col(doc_id).alias("_key"), F.col(text).alias("_text"))
-    rows = rows.join(marks, F.col("_key") == F.col("_id"))
-    return fit(rows.select("_key", "_text", "_label"), "_key", "_text", "_label", **more)
+    rows = rows.join(picked, F.col("_key") == F.col("_id"))
+    return fit(rows.select("_key", "_text", "_label"), "_key", "_text", "_label", sample_rows)
