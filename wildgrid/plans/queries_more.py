@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import clean, cluster, enrich, features, train
+from ..operators import clean, cluster, features, train
 from ..operators.storage import settle
 from ..sources import readers, registry, sinks
 from . import modelling
