@@ -10,7 +10,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from wildgrid.llm import language, mixing, packing, simhash, toxicity
+from wildgrid.llm import language, mixing, nearcopies, packing, toxicity
 from wildgrid.llm.common import held_out, table
 from wildgrid.operators.storage import settle
 from wildgrid.session import with_scratch
@@ -54,8 +54,8 @@ def drop_unknown_languages(spark, docs, sf_dir):
 
 @_stage
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
+    return nearcopies.keep_one_of_each(docs)
 
 
 @_stage

@@ -28,21 +28,27 @@ FOLD = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in ran
 PARTS = ((2, 0), (4, 1 << 21), (8, 1 << 28))
 
 
-def fingerprint(text, words=3, seed=42):
-    """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text, words=3, seed=42):
+    """64-bit hashes of a text's word shingles in their order; none without words."""
     tokens = text.translate(FOLD).split(b" ")
     tokens = [t for t in tokens if t] if b"" in tokens else tokens
     if not tokens:
-        return 0
+        return []
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        last = ends[words - 1:].tolist()
-        first = [0] + (ends[:len(tokens) - words] + 1).tolist()
-        hashes = [digest(joined[a:b], seed) for a, b in zip(first, last)]
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    last = ends[words - 1:].tolist()
+    first = [0] + (ends[:len(tokens) - words] + 1).tolist()
+    return [digest(joined[a:b], seed) for a, b in zip(first, last)]
+
+
+def fingerprint(text, words=3, seed=42):
+    """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, words, seed)
+    if not hashes:
+        return 0
     array = np.array(hashes, dtype="<u8")
     # unpackbits takes at most 64 bytes a hash; long texts go in slices.
     set_bits = np.zeros(BITS, np.int64)
@@ -86,18 +92,22 @@ def _offsets(parts, radius):
             if sum(map(abs, o)) <= radius and o >= (0,) * parts]
 
 
-def _links(a_fp, a_id, b_fp, b_id, radius):
+def _links(a_id, b_id, prints, radius):
     """Edges (id, smaller id) that connect all that is linked between two tiles.
 
-    A spanning forest in place of all links: a group of near copies would give
-    as many links as the square of its size.
+    ``prints`` are pairs of the tiles' words of 64 bits, one pair for each word
+    of the fingerprints. A spanning forest in place of all links: a group of
+    near copies would give as many links as the square of its size.
     """
     ids, place = np.unique(np.concatenate([a_id, b_id]), return_inverse=True)
     a_at, b_at = place[:len(a_id)], place[len(a_id):]
     label = np.arange(len(ids))
-    for at in range(0, len(a_fp), 256):
-        near = np.bitwise_count(a_fp[at:at + 256, None] ^ b_fp[None, :]) <= radius
-        left, right = np.nonzero(near)
+    for at in range(0, len(a_id), 256):
+        apart = 0
+        for a, b in prints:
+            bits = np.bitwise_count(a[at:at + 256, None] ^ b[None, :])
+            apart = bits if len(prints) == 1 else apart + bits.astype(np.uint16)
+        left, right = np.nonzero(apart <= radius)
         if not len(left):
             continue
         x, y = a_at[at + left], b_at[right]
@@ -115,52 +125,68 @@ def _links(a_fp, a_id, b_fp, b_id, radius):
     return ids[moved], ids[label[moved]]
 
 
-def linked(fingerprints, radius=3, parts=None, tile_rows=TILE_ROWS):
-    """(fp, component): the smallest doc_id reachable from each distinct fingerprint.
+def tile_links(cells, node, prints, offsets, radius, tile_rows=TILE_ROWS):
+    """Edges (u, v) between the ``node`` of rows whose fingerprints lie within the radius.
 
-    ``parts`` cuts the bits into so many parts for the comparison of population
-    counts; more parts skip more pairs and make more cells. It is taken from
-    the number of distinct fingerprints if not given and never changes results.
+    ``cells`` has the node, the 64-bit words ``prints`` of the fingerprint, and
+    ``cell``, an array of whole numbers; ``offsets`` lists the differences of
+    cells that are compared, one of each pair of opposites.
     """
-    spark = fingerprints.sparkSession
-    distinct = settle(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    if parts is None:
-        count = distinct.count()
-        parts = max(p for p, least in PARTS if count >= least)
-    width = BITS // parts
-    mask = (1 << width) - 1
-    counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask)))
-              for i in range(parts)] if parts > 1 else [F.bit_count("fp")]
-    cells = distinct.where("rep is not null").select("fp", "rep", F.array(*counts).alias("cell"))
+    spark = cells.sparkSession
+    words = len(prints)
     sizes = settle(cells.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("n_tiles")), "cells")
-    tile = F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("n_tiles")).cast("int")
+    tile = F.pmod(F.xxhash64(prints[0], F.lit("tile")), F.col("n_tiles")).cast("int")
+    row = F.struct(F.col(node).alias("node"), *[F.col(p).alias(f"w{i}") for i, p in enumerate(prints)])
+    fields = ["node", *[f"w{i}" for i in range(words)]]
     tiles = settle(cells.join(sizes, "cell").groupBy("cell", tile.alias("tile")).agg(
-        F.collect_list(F.struct("fp", "rep")).alias("rows"))
-        .select("cell", "tile", F.col("rows.fp").alias("fps"), F.col("rows.rep").alias("reps")), "tiles")
+        F.collect_list(row).alias("rows"))
+        .select("cell", "tile", *[F.col("rows")[f].alias(f) for f in fields]), "tiles")
 
-    offsets = F.array(*[F.array(*map(F.lit, o)) for o in _offsets(parts, radius)])
-    near = F.transform(offsets, lambda o: F.zip_with("cell", o, lambda x, y: x + y))
+    deltas = F.array(*[F.array(*map(F.lit, o)) for o in offsets])
+    near = F.transform(deltas, lambda o: F.zip_with("cell", o, lambda x, y: x + y))
     reach = sizes.select(F.col("cell").alias("cell_b"), "n_tiles")
-    left = (tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), "fps", "reps",
+    left = (tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), *fields,
                          F.explode(near).alias("cell_b"))
             .join(reach, "cell_b")
             .withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
             .where("cell_a <> cell_b or tile_a <= tile")
-            .select(F.col("cell_b").alias("cell"), "tile", F.col("fps").alias("a"), F.col("reps").alias("a_reps")))
-    pairs = left.join(tiles.withColumnRenamed("fps", "b").withColumnRenamed("reps", "b_reps"), ["cell", "tile"])
+            .select(F.col("cell_b").alias("cell"), "tile", *[F.col(f).alias(f"a_{f}") for f in fields]))
+    pairs = left.join(tiles, ["cell", "tile"])
 
     def compare(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                a, a_id, b, b_id = (np.asarray(batch.column(c)[row].values) for c in range(4))
-                u, v = _links(a.view(np.uint64), a_id, b.view(np.uint64), b_id, radius)
+                held = [np.asarray(batch.column(c)[row].values) for c in range(2 * words + 2)]
+                a, b = held[:words + 1], held[words + 1:]
+                u, v = _links(a[0], b[0], [(x.view(np.uint64), y.view(np.uint64)) for x, y in zip(a[1:], b[1:])],
+                              radius)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())],
                                                      names=["u", "v"])
 
     bounded_batches(spark)
-    edges = pairs.select("a", "a_reps", "b", "b_reps").mapInArrow(compare, "u long, v long")
+    return pairs.select(*[f"a_{f}" for f in fields], *fields).mapInArrow(compare, "u long, v long")
+
+
+def linked(fingerprints, radius=3, parts=None, tile_rows=TILE_ROWS):
+    """(fp, component): the smallest doc_id reachable from each distinct fingerprint.
+
+    ``parts`` cuts the bits into so many parts for the comparison of population
+    counts; more parts skip more pairs and make more cells. It is taken from
+    the number of distinct fingerprints if not given and never changes results.
+    """
+    spark = fingerprints.sparkSession
+    distinct = settle(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    if parts is None:
+        count = distinct.count()
+        parts = max(p for p, least in PARTS if count >= least)
+    width = BITS // parts
+    mask = (1 << width) - 1
+    counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask)))
+              for i in range(parts)] if parts > 1 else [F.bit_count("fp")]
+    cells = distinct.where("rep is not null").select("fp", "rep", F.array(*counts).alias("cell"))
+    edges = tile_links(cells, "rep", ["fp"], _offsets(parts, radius), radius, tile_rows)
     groups = connected_components(edges, name="simhash")
     return distinct.join(groups, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component"))
