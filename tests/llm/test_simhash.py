@@ -92,3 +92,22 @@ def test_one_id_on_different_texts(spark):
     docs = spark.createDataFrame([(5, words[0]), (5, words[1]), (1, words[1]), (7, words[2])], "doc_id long, text string")
     kept = sorted((r["doc_id"], r["text"]) for r in keep_representatives(docs).collect())
     assert kept == sorted([(5, words[0]), (1, words[1]), (7, words[2])])
+
+
+def test_one_id_on_unrelated_texts(spark):
+    words = [" ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for i in range(3)]
+    docs = spark.createDataFrame([(5, words[0]), (5, words[1]), (3, words[1]), (7, words[0]), (9, words[2])],
+                                 "doc_id long, text string")
+    # The texts of 5 are no copies of each other: no group may join through the id.
+    by_text = {r["fingerprint"]: set() for r in simhash_components(docs).collect()}
+    for r in simhash_components(docs).collect():
+        by_text[r["fingerprint"]].add(r["component_id"])
+    assert sorted(map(sorted, by_text.values())) == [[3], [5], [9]]
+    kept = sorted((r["doc_id"], r["text"]) for r in keep_representatives(docs).collect())
+    assert kept == sorted([(5, words[0]), (3, words[1]), (9, words[2])])
+
+
+def test_two_texts_of_one_id_stay(spark):
+    words = [" ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for i in range(2)]
+    docs = spark.createDataFrame([(5, words[0]), (5, words[1]), (5, words[1])], "doc_id long, text string")
+    assert sorted(r["text"] for r in keep_representatives(docs).collect()) == sorted(words)

@@ -170,7 +170,11 @@ def tile_links(cells, node, prints, offsets, radius, tile_rows=TILE_ROWS):
 
 
 def linked(fingerprints, radius=3, parts=None, tile_rows=TILE_ROWS):
-    """(fp, component): the smallest doc_id reachable from each distinct fingerprint.
+    """(fp, component, group): the smallest doc_id reachable from each distinct fingerprint.
+
+    ``group`` is the smallest fingerprint reachable: two groups in which one id
+    is the smallest have one component and stay two groups. A group of rows
+    without ids has a null component.
 
     ``parts`` cuts the bits into so many parts for the comparison of population
     counts; more parts skip more pairs and make more cells. It is taken from
@@ -185,11 +189,14 @@ def linked(fingerprints, radius=3, parts=None, tile_rows=TILE_ROWS):
     mask = (1 << width) - 1
     counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask)))
               for i in range(parts)] if parts > 1 else [F.bit_count("fp")]
-    cells = distinct.where("rep is not null").select("fp", "rep", F.array(*counts).alias("cell"))
-    edges = tile_links(cells, "rep", ["fp"], _offsets(parts, radius), radius, tile_rows)
+    cells = distinct.where("rep is not null").select("fp", F.array(*counts).alias("cell"))
+    edges = tile_links(cells, "fp", ["fp"], _offsets(parts, radius), radius, tile_rows)
+    # The fingerprint is the node: one id may stand on several texts, or a row may have none.
     groups = connected_components(edges, name="simhash")
-    return distinct.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component"))
+    grouped = settle(distinct.join(groups, F.col("fp") == F.col("node"), "left").select(
+        "fp", "rep", F.coalesce("component", "fp").alias("group")), "grouped")
+    least = settle(grouped.groupBy("group").agg(F.min("rep").alias("component")), "least")
+    return grouped.join(least, "group").select("fp", "component", "group")
 
 
 def simhash_components(docs, doc_id="doc_id", text="text", words=3, radius=3, seed=42, **more):
@@ -207,29 +214,41 @@ def simhash_components(docs, doc_id="doc_id", text="text", words=3, radius=3, se
         F.col("component").alias("component_id"))
 
 
-def keep_representatives(docs, doc_id="doc_id", text="text", **more):
+def keep_representatives(docs, doc_id="doc_id", text="text", words=3, radius=3, seed=42, **more):
     """One row of each group of near-duplicates, with all of its columns.
 
-    The row whose doc_id names the group stays (one of them, if rows repeat
-    that id). A row with a null doc_id cannot name a group and stays as it is.
-    The ids to drop are joined to the documents, the shorter of the two lists.
+    The row whose doc_id names the group stays (one of them, if several rows of
+    the group have that id). A row with a null doc_id cannot name a group and
+    stays as it is. The rows to drop are joined to the documents by id and
+    fingerprint, the shorter of the two lists.
     """
     names = docs.columns
-    groups = settle(simhash_components(docs.where(F.col(doc_id).isNotNull()), doc_id, text, **more), "members")
-    twice = settle(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").union(twice).distinct()
-    dropped = settle(dropped.withColumnRenamed("doc_id", "_dropped"), "dropped")
+    with_id = docs.where(F.col(doc_id).isNotNull())
+    prints = settle(with_fingerprints(with_id, doc_id, text, words, seed), "doc_fingerprints")
+    groups = settle(linked(prints, radius, **more), "groups")
+    found = settle(prints.groupBy("doc_id", "fp").count().join(groups, "fp"), "members")
+    # The row that stays: its id is that of the group, and its fingerprint the least with that id.
+    heads = settle(found.where("doc_id = component").groupBy("group").agg(
+        F.min("fp").alias("head")), "heads")
+    marked = found.join(heads, "group").withColumn("stays", F.expr("doc_id = component and fp = head"))
+    marked = settle(marked.select("doc_id", "fp", "count", "stays"), "marked")
+    dropped = marked.where("not stays or count > 1")
+    twice = settle(marked.where("stays and count > 1").select("doc_id", "fp"), "twice")
+    # Only ids on several rows need their fingerprints again.
+    several = settle(marked.groupBy("doc_id").agg(F.sum("count").alias("rows"))
+                     .where("rows > 1").select("doc_id"), "several")
     key = docs[doc_id].cast("long")
-    kept = docs.join(dropped, key == dropped["_dropped"], "left_anti")
-    if twice.isEmpty():
+    single = settle(dropped.select("doc_id").union(several).distinct().withColumnRenamed("doc_id", "_dropped"), "dropped")
+    kept = docs.join(single, key == single["_dropped"], "left_anti")
+    if several.isEmpty():
         return kept
-    # Ids on several rows: only the fingerprint tells which row is in which group.
-    heads = groups.where("doc_id = component_id").select(
-        F.col("doc_id").alias("_head"), F.col("fingerprint").alias("_print")).distinct()
-    rows = docs.join(twice, key == twice["doc_id"], "left_semi").select(
+    rows = docs.join(several, key == several["doc_id"], "left_semi").select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(doc_id).cast("long").alias("_id"),
         F.col(text).alias("_text"))
-    rows = _with_prints(rows, "_text", ("_row", "_id"), more.get("words", 3), more.get("seed", 42))
-    of_group = rows.join(heads, (F.col("_id") == F.col("_head")) & (as_text("fp") == F.col("_print")))
-    chosen = of_group.groupBy("_head").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return kept.unionByName(chosen.select("_row.*"))
+    rows = settle(_with_prints(rows, "_text", ("_row", "_id"), words, seed), "several_rows")
+    alone = marked.where("stays and count = 1").select("doc_id", F.col("fp").alias("fp_"))
+    chosen = rows.join(alone, (F.col("_id") == F.col("doc_id")) & (F.col("fp") == F.col("fp_")), "left_semi").select("_row.*")
+    twice = twice.withColumnRenamed("fp", "fp_")
+    one = (rows.join(twice, (F.col("_id") == F.col("doc_id")) & (F.col("fp") == F.col("fp_")), "left_semi")
+           .groupBy("_id", "fp").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")))
+    return kept.unionByName(chosen).unionByName(one.select("_row.*"))
