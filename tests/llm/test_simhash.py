@@ -111,3 +111,9 @@ def test_two_texts_of_one_id_stay(spark):
     words = [" ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for i in range(2)]
     docs = spark.createDataFrame([(5, words[0]), (5, words[1]), (5, words[1])], "doc_id long, text string")
     assert sorted(r["text"] for r in keep_representatives(docs).collect()) == sorted(words)
+
+
+def test_links_through_rows_without_an_id(spark):
+    rows = [(1, 0), (None, 0b111), (2, 0b111111), (None, (1 << 40) - 1)]
+    found = {r["fp"]: r["component"] for r in linked(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert found == {0: 1, 0b111: 1, 0b111111: 1, (1 << 40) - 1: None}

@@ -189,7 +189,7 @@ def linked(fingerprints, radius=3, parts=None, tile_rows=TILE_ROWS):
     mask = (1 << width) - 1
     counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask)))
               for i in range(parts)] if parts > 1 else [F.bit_count("fp")]
-    cells = distinct.where("rep is not null").select("fp", F.array(*counts).alias("cell"))
+    cells = distinct.select("fp", F.array(*counts).alias("cell"))
     edges = tile_links(cells, "fp", ["fp"], _offsets(parts, radius), radius, tile_rows)
     # The fingerprint is the node: one id may stand on several texts, or a row may have none.
     groups = connected_components(edges, name="simhash")
@@ -204,8 +204,8 @@ def simhash_components(docs, doc_id="doc_id", text="text", words=3, radius=3, se
 
     Texts are lower-cased (A-Z), cut at ASCII white space, and shingled; a null
     text is empty and an empty one has fingerprint zero, linked like any other.
-    Repeated rows keep their rows. A null doc_id gets the component of its
-    fingerprint but names none. No rows give no rows.
+    Repeated rows keep their rows. A null doc_id takes part in the links and
+    gets the component of its group but names none. No rows give no rows.
     """
     prints = settle(with_fingerprints(docs, doc_id, text, words, seed), "doc_fingerprints")
     groups = settle(linked(prints, radius, **more), "groups")
