@@ -47,7 +47,19 @@ def settle(df, name="step", partition_by=()):
     writer.parquet(path)
     for made in getattr(_own, "scopes", ()):
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    back = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    back._settled_at = path
+    return back
+
+
+def forget(df):
+    """Remove the files of a table that ``settle`` returned; nothing may read it any more."""
+    _remove(df.sparkSession, df._settled_at)
+
+
+def _remove(spark, path):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _own = threading.local()  # streams run side by side: each removes only its own steps
@@ -64,10 +76,8 @@ def steps_removed(spark):
     _own.scopes = [*getattr(_own, "scopes", ()), made]
     try:
         yield
-        jvm = spark.sparkContext._jvm
         for path in made:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
     finally:
         _own.scopes = _own.scopes[:-1]
 
