@@ -23,5 +23,5 @@ def test_same_as_sql(spark, name):
 def test_registered():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())

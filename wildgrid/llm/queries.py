@@ -232,4 +232,6 @@ def mixed_stream(spark, folder):
 
 
 def load():
+    """Import the other module that registers queries; returns (queries, oracles)."""
+    from . import queries_structure  # noqa: F401
     return dict(QUERIES), dict(ORACLES)
