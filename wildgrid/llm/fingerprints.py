@@ -23,7 +23,7 @@ PIECE = rf"(?s).{{1,{PIECE_CHARS}}}?(?:[.!?][ \t\n\r]+|\z)|.{{{PIECE_CHARS}}}"
 NAME_DIGITS = 32  # 128 bits name a piece; its length follows
 
 # Documents of a run of neighbouring ids that one task puts in order.
-RUN_ROWS = 8192
+RUN_ROWS = 2048
 MOST_RUNS = 16384
 
 
@@ -159,10 +159,12 @@ def with_next(docs, doc_id="doc_id", text="text", also=lambda text: F.lit(True),
     places = F.array_compact(F.array(own, F.when(guest_run.isNotNull(), F.struct(
         guest_run.alias("run"), F.lit(True).alias("guest")))))
     dealt = rows.select("*", F.explode(places).alias("_at")).select("doc_id", "_text", "_tie", "_at.*")
-    dealt = dealt.repartition("run").select("*", also(F.col("_text")).alias("_also"))
+    # One copy of each text and what comes with it is sorted.
+    dealt = dealt.repartition("run").select("doc_id", "_tie", "run", "guest", F.struct(
+        "_text", also(F.col("_text")).alias("_also")).alias("_own"))
     run = Window.partitionBy("run").orderBy("guest", *order)
-    found = dealt.withColumn("_next", F.lead(F.struct("_text", "_also")).over(run))
-    return found.where("not guest").select("doc_id", "_text", "_also", "_next")
+    found = dealt.withColumn("_next", F.lead("_own").over(run))
+    return found.where("not guest").select("doc_id", "_own.*", "_next")
 
 
 def edited_fingerprints(docs, doc_id="doc_id", text="text", run_rows=RUN_ROWS):
