@@ -46,3 +46,11 @@ def test_few_odd_and_tied_vectors(spark):
         (0, 1, 1), (0, 2, 2), (0, 3, 20), (0, 4, 3), (20, 1, 3), (20, 2, 0), (20, 3, 1), (20, 4, 2)]
     assert nearest(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest(table.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_session_setting_comes_back(spark, small):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "777")
+    nearest(spark.read.parquet(f"{small}/embeddings.parquet"), F.col("vec_id") % 20 == 0).count()
+    assert spark.conf.get(setting) == "777"
+    spark.conf.unset(setting)

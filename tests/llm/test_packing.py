@@ -31,7 +31,6 @@ def test_first_fit_decreasing_against_naive():
 
 def check(docs, rows, length):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = defaultdict(list)
     for d in docs:
         ids = tokenizer.encode(d["text"] or "", add_special_tokens=False).ids + [0]
@@ -65,3 +64,17 @@ def test_round_trip_of_tables(spark, small):
 def test_odd_rows_in_small_groups(odd, empty):
     check(odd.collect(), pack(odd, length=64, group_pieces=50).collect(), 64)
     assert pack(empty).count() == 0
+
+
+def test_added_tokens_inside_texts(spark):
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "<|endoftext |>", " <|endoftext|>\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pack(docs).collect()
+    check(docs.collect(), rows, 1024)
+    assert next(r["doc_tokens"] for r in rows if r["doc_id"] == 0) == 5
+
+
+def test_partitions_do_not_matter(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    packed = [sorted(map(tuple, pack(docs.repartition(n), group_pieces=64).collect())) for n in (1, 4)]
+    assert packed[0] == packed[1]

@@ -1,5 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 # Rows handed to a Python worker at once: bounds its memory when texts are long.
@@ -18,6 +20,22 @@ def bounded_batches(spark, rows=ROWS_AT_ONCE):
     return spark
 
 
+@contextmanager
+def batches_of(spark, rows):
+    """Like ``bounded_batches`` for what is run inside the block; the caller's setting comes back.
+
+    The value is a function that sets another number of rows inside the block.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    use = lambda n: spark.conf.set(setting, str(n))
+    use(rows)
+    try:
+        yield use
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def raw_text(text="text"):
     """The UTF-8 bytes of a text; a null text is an empty one."""
     return F.coalesce(F.col(text).cast("string").cast("binary"), F.lit("").cast("binary"))

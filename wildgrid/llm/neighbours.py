@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from ..operators.storage import settle
-from .common import bounded_batches
+from .common import batches_of
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 2, 4, 1.5, 48
 # Typical cosine between a query and its neighbours on the sphere; it only
@@ -175,8 +175,11 @@ def nearest(rows, queries, vec_id="vec_id", vector="embedding", k=20, tables=TAB
     block. Rows without an id or with a null, zero, non-finite or oddly long
     vector take no part; a repeated id with two vectors is two candidates.
     """
-    spark = rows.sparkSession
-    bounded_batches(spark, 1024)
+    with batches_of(rows.sparkSession, 1024) as few:
+        return _nearest(rows, queries, vec_id, vector, k, tables, projections, width, probes, cosine, seed, few)
+
+
+def _nearest(rows, queries, vec_id, vector, k, tables, projections, width, probes, cosine, seed, few):
     valid, dimensions = valid_vectors(rows, vec_id, vector)
     valid = settle(valid, "vectors")
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
@@ -185,7 +188,7 @@ def nearest(rows, queries, vec_id="vec_id", vector="embedding", k=20, tables=TAB
     asked = valid.where(queries)
     stored = settle(_hashed(valid, hashing), "hashed")
     wanted = settle(_hashed(asked, hashing, probes, cosine), "probes")
-    bounded_batches(spark, 4)  # rows are blocks from here on
+    few(4)  # rows are blocks from here on
     blocks = settle(_blocks(stored, VECTOR_BLOCK, "x"), "x_blocks")
     pairs = _blocks(wanted, QUERY_BLOCK, "q").join(blocks, ["tab", "bucket"])
     found = settle(_merged(_ranked(pairs, dimensions, k), k), "found")

@@ -9,12 +9,14 @@ one packing of everything, and no task ever holds more than a group.
 """
 
 import base64
+import json
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import functions as F
 
 from ..operators.storage import settle
@@ -34,37 +36,60 @@ def default_tokenizer():
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def text_encoder(path, pattern=PATTERN):
-    """A function from a text to its token ids as little-endian unsigned 32-bit bytes."""
+def default_specials():
+    """The tokenizer file that names the added tokens of the vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def added_tokens(path):
+    """{text: id} of the tokens that a tokenizer file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def text_encoder(path, pattern=PATTERN, specials=None):
+    """A function from a text to its token ids as little-endian unsigned 32-bit bytes.
+
+    An added token that stands in a text is one id, as the tokenizer file has it.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    # No special tokens: their strings inside a text are ordinary text.
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: array("I", encoding.encode_ordinary(text)).tobytes()
+    specials = dict(specials or {})
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, special_tokens=specials,
+                                 mergeable_ranks={t: i for t, i in ranks.items() if i not in specials.values()})
+    return lambda text: array("I", encoding.encode(text, allowed_special="all")).tobytes()
 
 
-def pieces_of(docs, doc_id="doc_id", text="text", length=LENGTH, tokenizer=None, end_id=0):
-    """Pieces of every row; ``deal`` is a random number for the choice of a group."""
+def pieces_of(docs, doc_id="doc_id", text="text", length=LENGTH, tokenizer=None, end_id=0, specials=None):
+    """Pieces of every row; ``deal`` is a random number for the choice of a group.
+
+    It is a hash of the piece, so it does not depend on partitions; only the
+    second and later of rows that repeat an id and a text are dealt by their place.
+    """
     path = tokenizer or default_tokenizer()
+    specials = added_tokens(default_specials()) if specials is None else specials
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        encode = text_encoder(path)
+        encode = text_encoder(path, specials=specials)
         end = np.array([end_id], dtype="<u4").tobytes()
-        drawn = np.random.default_rng([TaskContext.get().partitionId(), 20])
-        for batch in batches:
-            out = []
+        for number, batch in enumerate(batches):
+            out, before = [], Counter()
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text.decode("utf-8", "replace")) + end
                 tokens = len(ids) // 4
                 for at in range(0, tokens, length):
                     part = ids[4 * at:4 * (at + length)]
-                    out.append((key, at, len(part) // 4, zlib.crc32(part), tokens))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5
-            deal = pa.array(drawn.integers(0, 1 << 62, len(out)), pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, deal], names=[c.split()[0] for c in PIECE.split(", ")])
+                    row = (key, at, len(part) // 4, zlib.crc32(part), tokens)
+                    place = f"{number}|{before[row]}" if before[row] else ""
+                    before[row] += 1
+                    out.append((*row, xxhash.xxh64_intdigest(f"{row}{place}") >> 2))
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECE.split(", ")])
 
     rows = docs.select(F.col(doc_id).cast("long"), raw_text(text))
     return rows.mapInArrow(run, PIECE)
