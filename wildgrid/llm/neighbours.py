@@ -24,7 +24,7 @@ from pyspark.sql import Window, functions as F
 from ..operators.storage import settle
 from .common import batches_of
 
-TABLES, PROJECTIONS, WIDTH, PROBES = 2, 4, 1.5, 48
+TABLES, PROJECTIONS, WIDTH, PROBES = 1, 4, 1.5, 80
 # Typical cosine between a query and its neighbours on the sphere; it only
 # orders the probes.
 COSINE = 0.4
