@@ -56,11 +56,12 @@ def test_tuning_refits_the_first_best(spark, points):
     assert rejects.count() == 0
     rows = {r["value"]: r["mean_score"] for r in scores.collect()}
     assert rows[3.0] > rows[1.0]
-    assert model.pipeline.stages[-1].depth > 1
+    assert model.depth > 1
     assert train.depth_grid(53, 2)[-1] == 51 and train.depth_grid(53, 10)[-1] == 51
-    assert train.default_grid("tree", 53)[-1] == 29 and train.default_grid("boosted", 53) == [1, 11, 21]
+    assert train.default_grid("tree", 53)[-1] == 51 and train.default_grid("boosted", 53) == [1, 11, 21, 31, 41, 51]
+    assert train.default_grid("tree", 53, max_depth=30)[-1] == 29
     with pytest.raises(ValueError):
-        train.learner("tree", 31, 2, 2)
+        train.fit_node(points, "tree", "genus", NAMES, 0)
     best = cluster.first_best(spark.createDataFrame([(1, 0.5), (3, 0.9), (5, 0.9)], "k int, s double"), "s", "k").first()
     assert best["k"] == 3
 
@@ -95,7 +96,7 @@ def test_sweep_and_cascade(spark, points, tmp_path):
     edges = cascade.hierarchy_edges(points, ["family", "genus"])
     meta = {(level, n): m for (level, n, _), m in models.items()}
     image = {(level, n): train.fit_node(points if n == "base" else points.where(f"family = '{n}'"), "linear",
-                                        m.pipeline.stages[0].getInputCol(), NAMES, 0.0)
+                                        m.target, NAMES, 0.0)
              for (level, n), m in meta.items()}
     weights, levels = {"family": 0.1, "genus": 0.2}, ["family", "genus"]
     results, lost = cascade.cascade_with_models(points, edges, levels, meta, image, weights)

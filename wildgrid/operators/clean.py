@@ -1,6 +1,6 @@
 """Cleaning: first-come dedupe, resume, null gate, quarantine, dates, local times."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..functions import times
 from ..functions.text import POOR_QUALITY_WORDS, mentions
@@ -10,27 +10,50 @@ from .storage import settle
 WORKING_COLUMNS = ["observed_on", "latitude", "longitude", "time_observed_at", "time_zone"]
 
 
+def least_rows(df, key):
+    """One row per key, the least of them column by column: the same row whatever the partitions.
+
+    Rows with a column that cannot be compared, such as a map, are ordered by
+    their JSON text. Combined before the shuffle, so a hot key is one row per task.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    plain = all(_comparable(f.dataType) for f in df.schema.fields)
+    least = F.min(row) if plain else F.min_by(row, F.to_json(row))
+    return df.groupBy(*key).agg(least.alias("_row")).select("_row.*")
+
+
+def _comparable(kind):
+    """Whether values of a type have an order."""
+    if isinstance(kind, T.ArrayType):
+        return _comparable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.UserDefinedType))
+
+
 def dedupe_first(df, key="id", order="input_order"):
-    """One row per key, the first in the given order.
+    """One row per key, the first in the given order; of rows with equal order the least.
 
     The least order of each key is a hash aggregate over the narrow columns,
     combined before the shuffle, so a key that holds a third of all rows
-    arrives as one row per task. Whole rows move once, to meet it, and only
-    ties in the order are aggregated as rows: the least of them stays.
+    arrives as one row per task. Whole rows move once, to meet it; only keys
+    that may have ties, of three rows or of equal orders, are aggregated as rows.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     least = df.select(*key, at.alias("_at")).groupBy(*key).agg(
-        F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    least = settle(least.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)], "_least", "_rows"), "first")
-    same = at == F.col("_least")
+        F.min("_at").alias("_least"), F.max("_at").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    tied = (F.col("_rows") > 2) | ((F.col("_rows") == 2) & F.col("_least").eqNullSafe(F.col("_most")))
+    least = settle(least.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)], "_least", tied.alias("_tied")),
+                   "first")
+    same = at.eqNullSafe(F.col("_least"))
     for i, c in enumerate(key):
         same = same & df[c].eqNullSafe(F.col(f"_{i}"))
     met = df.join(least, same)
-    single = met.where("_rows = 1").select(*[df[c] for c in df.columns])
-    tied = met.where("_rows > 1").select(*[df[c] for c in df.columns]).dropDuplicates(key)
-    return single.unionByName(tied)
+    single = met.where("not _tied").select(*[df[c] for c in df.columns])
+    return single.unionByName(least_rows(met.where("_tied").select(*[df[c] for c in df.columns]), key))
 
 
 def without(df, *done, key="id"):

@@ -3,9 +3,7 @@
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-    OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -23,9 +21,8 @@ from .sampling import (
     ordered_folds, oversample_smallest, stratified_folds, stratified_split, weights_of_sizes,
     with_class_weight)
 from .storage import bounded_rows, settle
+from .trees import KINDS as TREE_KINDS, TreeModel, fit_trees, score_nodes
 
-# Spark ML refuses deeper trees; the largest depth of a default grid.
-MAX_DEPTH = 30
 MAX_CLASSES = 10_000
 
 
@@ -34,16 +31,11 @@ def depth_grid(n_features, step):
     return list(range(1, n_features, step))
 
 
-def default_grid(kind, n_features, max_depth=MAX_DEPTH):
-    """Values tried for the one tuned parameter of a kind.
-
-    Depths go up to ``max_depth``; ask ``depth_grid`` for all of them. Spark ML
-    builds trees down to depth 30 and fails on a deeper one.
-    """
-    if kind in ("tree", "forest"):
-        return [d for d in depth_grid(n_features, 2) if d <= max_depth]
-    if kind == "boosted":
-        return [d for d in depth_grid(n_features, 10) if d <= max_depth]
+def default_grid(kind, n_features, max_depth=None):
+    """Values tried for the one tuned parameter of a kind; depths up to ``max_depth`` if it is given."""
+    if kind in TREE_KINDS:
+        depths = depth_grid(n_features, 10 if kind == "boosted" else 2)
+        return [d for d in depths if max_depth is None or d <= max_depth]
     if kind == "stumps":
         return list(range(1, 201, 20))
     if kind == "network":
@@ -76,22 +68,9 @@ def front(target, features, classes, scaled):
     return Pipeline(stages=stages)
 
 
-def learner(kind, value, classes, width, seed=0, trees=100, iterations=None):
-    """The Spark ML estimator of a kind with its tuned parameter set."""
+def learner(kind, value, classes, width, seed=0, iterations=None):
+    """The Spark ML estimator of a kind with its tuned parameter set; trees are grown by ``fit_trees``."""
     common = {"featuresCol": "features", "labelCol": "label_index"}
-    if kind in ("tree", "forest", "boosted") and not 0 <= int(value) <= MAX_DEPTH:
-        raise ValueError(f"depth {value}: trees are built down to depth {MAX_DEPTH}")
-    if kind == "tree":
-        return DecisionTreeClassifier(maxDepth=int(value), weightCol="weight", seed=seed, **common)
-    if kind == "forest":
-        return RandomForestClassifier(maxDepth=int(value), weightCol="weight", numTrees=trees,
-                                      seed=seed, **common)
-    if kind == "boosted":
-        gbt = GBTClassifier(maxDepth=int(value), weightCol="weight", maxIter=iterations or 20,
-                            seed=seed, **common)
-        # Boosted trees are binary in Spark ML; more classes go one against the rest.
-        return gbt if classes == 2 else OneVsRest(classifier=gbt, weightCol="weight",
-                                                  parallelism=4, **common)
     if kind == "network":
         return MultilayerPerceptronClassifier(
             layers=[width, width, 80, 60, classes], solver="gd", stepSize=float(value),
@@ -134,6 +113,9 @@ class NodeModel:
 
     @classmethod
     def load(cls, spark, root, node, kind, level=""):
+        """The saved model of a node: of a tree kind the rows of its trees, else a pipeline."""
+        if kind in TREE_KINDS:
+            return TreeModel.load(spark, root, node, kind, level)
         pipeline = load_model(spark, root, node, kind, level)
         return cls(pipeline, pipeline.stages[0].labels, kind)
 
@@ -165,6 +147,12 @@ def training_sets(cut, target, kind, key, k):
 def fit_node(df, kind, target, features, value, key="id", classes=None, seed=0, balance=True, **options):
     """Fit one model of a kind with one parameter value."""
     classes = classes or class_names(df, target)
+    if kind in TREE_KINDS:
+        if int(value) < 1:
+            raise ValueError(f"depth {value}: a tree has one level at least")
+        rows = df.where(F.col(target).isNotNull()).withColumn("_node", F.lit(""))
+        return fit_trees(rows, kind, target, features, [value], {"": classes}, key=key, seed=seed, balance=balance,
+                         **options)[""][0]
     if balance:
         df = balanced(df, target, kind, key)
     before = front(target, features, classes, kind == "network").fit(df)
@@ -184,17 +172,17 @@ def node_score(model, df, target):
 
 
 def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratified=True,
-         oversample_first=False, parallelism=4, max_depth=MAX_DEPTH, max_classes=MAX_CLASSES, **options):
+         oversample_first=False, parallelism=4, max_depth=None, max_classes=MAX_CLASSES, **options):
     """Mean balanced accuracy per parameter value over k folds, then a refit.
 
     Folds are cut once and written; balancing happens inside the training folds
-    (``oversample_first`` repeats rows before cutting, which leaks copies). Fits
-    are independent Spark jobs run a few at a time; a boosting grid is one fit
-    per fold, scored after each number of rounds. Returns (NodeModel, scores,
-    rejects) with the first best value refitted on all rows. Rows with a null
+    (``oversample_first`` repeats rows before cutting, which leaks copies). Trees
+    of all folds and values grow in the same passes (``fit_trees``); other fits
+    are independent Spark jobs run a few at a time. Returns (model, scores,
+    rejects) with the first best value fitted on all rows. Rows with a null
     feature or without a label are not trained on; ``rejects`` (key, reason)
     holds them. Without a ``grid`` depths go up to ``max_depth``, which the
-    scores name.
+    scores name, or to the number of features.
     """
     spark = df.sparkSession
     grid = list(grid or default_grid(kind, len(features), max_depth))
@@ -208,6 +196,10 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
     cut = stratified_folds(rows, target, key, k, seed) if stratified else ordered_folds(rows, [key], k)
     cut = settle(cut, "folds")
     classes = class_names(cut, target, max_classes)
+    if kind in TREE_KINDS:
+        final, means = fit_trees(cut.withColumn("_node", F.lit("")), kind, target, features, grid, {"": classes},
+                                 key=key, k=k, seed=seed, **options)[""]
+        return final, score_table(spark, kind, grid, means, max_depth), rejects
     train = training_sets(cut, target, kind, key, k)
     check = [cut.where(F.col("fold") == f).drop("fold") for f in range(k)]
 
@@ -229,15 +221,20 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
         [(v, f) for v in grid for f in range(k)]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         folds = [row for part in pool.map(one, tasks) for row in part]
-    means = {v: sum(s for x, _, s in folds if x == float(v)) / k for v in grid}
-    scores = spark.createDataFrame([(kind, float(v), means[v], max_depth) for v in grid],
-                                   "kind string, value double, mean_score double, max_depth int")
+    means = [sum(s for x, _, s in folds if x == float(v)) / k for v in grid]
+    scores = score_table(spark, kind, grid, means, max_depth)
     best = first_best(scores, "mean_score", "value", grid).first()["value"]
     best = next(v for v in grid if float(v) == best)
     final = fit_node(cut.drop("fold"), kind, target, features, best, key, classes, seed, **options)
     return final, scores, rejects
 
 
+def score_table(spark, kind, grid, means, max_depth=None):
+    """(kind, value, mean_score, max_depth): one row for each value tried."""
+    return spark.createDataFrame([(kind, float(v), float(m), max_depth) for v, m in zip(grid, means)],
+                                 "kind string, value double, mean_score double, max_depth int")
+
+
 def node_table(df, levels, min_size=5, limit=40000, counted="common_name",
                accuracy="public_positional_accuracy"):
     """(level, parent, target, classes): parents with two child classes or more.
@@ -288,6 +285,24 @@ def level_rows(df, level, parent_level, key, target, holdout, min_size=5, limit=
     return settle(split, "level-split", partition_by=["_node"])
 
 
+def _level_of_trees(split, kind, target, features, key, k, grid, classes, tags, seed=0, max_depth=None, **options):
+    """Models, scores, holdout predictions and rejects of one tree kind for all nodes of a level at once."""
+    spark = split.sparkSession
+    grid = list(grid or default_grid(kind, len(features), max_depth))
+    split = split.withColumn("node", F.col("_node").cast("string"))
+    rows, broken = gated(split.where("not is_holdout"), features, "_reject")
+    cut = rows.withColumn("_stratum", F.to_json(F.struct("_node", F.col(target).alias("_class"))))
+    cut = settle(stratified_folds(cut, "_stratum", key, k, seed), "folds")
+    fitted = fit_trees(cut, kind, target, features, grid, classes, key=key, k=k, seed=seed, **options)
+    models = {n: m for n, (m, _) in fitted.items()}
+    scores = {n: score_table(spark, kind, grid, means, max_depth) for n, (_, means) in fitted.items()}
+    whole, unscored = gated(split.where("is_holdout"), features, "_reject")
+    scored = score_nodes(whole.where(F.col("node").isin(*models)), models, F.col("node")).select(
+        *tags, key, F.col(target).alias("true_label"), F.col("predicted").alias("prediction"))
+    lost = broken.unionByName(unscored).select("_reject.node", *tags[1:], f"_reject.{key}", "reason")
+    return models, scores, settle(scored, "predictions"), lost
+
+
 def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, parallelism=2,
           root_target=None, save_to=None, **options):
     """One model per (node, kind) and the holdout predictions of all of them.
@@ -297,20 +312,30 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
     true_label, prediction), ready for grouped reports; rejects (node, kind,
     level, id, reason) holds the rows of each node, of training or holdout, that
     have a null feature. ``root_target`` adds the model above the first level.
-    Each level is read and cut once; a node then reads only its own files.
+    Each level is read and cut once. Tree kinds are trained for all nodes of a
+    level together, so the number of jobs does not grow with the nodes; for
+    other kinds a node reads only its own files.
     """
     df = settle(df, "sweep")
     table = settle(node_table(df, levels), "nodes") if len(levels) > 1 else None
     steps = [(None, root_target)] if root_target else []
     steps += list(zip(levels, levels[1:]))
     models, predictions, rejects = {}, [], []
+    max_classes = options.pop("max_classes", MAX_CLASSES)
+
+    def keep(name, model, scores):
+        models[name] = model
+        if save_to:  # one writer only: two appends to a folder disturb each other
+            model.save(df.sparkSession, save_to, name[1], name[0])
+            append_report(scores.coalesce(1), f"{save_to}/scores", node=name[1], level=name[0])
 
     def one(task):
         split, parent, target, kind = task
         rows = split.where(F.col("_node") == parent).drop("_node")
         tags = [F.lit(parent).alias("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level")]
         grid = (grids or {}).get(kind)
-        model, scores, broken = tune(rows.where("not is_holdout"), kind, target, features, grid, key, k, **options)
+        model, scores, broken = tune(rows.where("not is_holdout"), kind, target, features, grid, key, k,
+                                     max_classes=max_classes, **options)
         whole, unscored = gated(rows.where("is_holdout"), features, key)
         scored = model.transform(whole).select(
             *tags, key, F.col(target).alias("true_label"), F.col("predicted").alias("prediction"))
@@ -323,14 +348,35 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
             nodes = ["base"]
         else:
             here = table.where((F.col("level") == level) & (F.col("target") == target)).orderBy("parent")
-            nodes = [r["parent"] for r in here.toLocalIterator()]  # one model is kept for each
-        tasks = [(split, node, target, kind) for node in nodes for kind in kinds]
+            nodes = [str(r["parent"]) for r in here.toLocalIterator()]  # one model is kept for each
+        trees = [kind for kind in kinds if kind in TREE_KINDS]
+        classes = node_classes(split.where("not is_holdout"), target, max_classes, nodes) if trees else {}
+        for kind in trees if classes else []:
+            tags = [F.col("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level")]
+            own = split.where(F.col("_node").isin(*classes)).withColumn("_reject", F.struct(F.col("_node").cast("string").alias("node"), key))
+            found, scores, scored, broken = _level_of_trees(own, kind, target, features, key, k, (grids or {}).get(kind),
+                                                            classes, tags, **options)
+            predictions.append(scored)
+            rejects.append(broken)
+            for node in nodes:
+                if node in found:
+                    keep((target, node, kind), found[node], scores[node])
+        tasks = [(split, node, target, kind) for node in nodes for kind in kinds if kind not in TREE_KINDS]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             for name, model, scores, scored, broken in pool.map(one, tasks):
-                models[name] = model
+                keep(name, model, scores)
                 predictions.append(scored)
                 rejects.append(broken)
-                if save_to:  # one writer only: two appends to a folder disturb each other
-                    model.save(df.sparkSession, save_to, name[1], target)
-                    append_report(scores.coalesce(1), f"{save_to}/scores", node=name[1], level=target)
     return models, union_all(predictions), union_all(rejects)
+
+
+def node_classes(rows, target, limit, nodes):
+    """{node: sorted classes} of the given nodes; a node with more than ``limit`` classes stops the job."""
+    pairs = rows.where(F.col(target).isNotNull() & F.col("_node").isin(*nodes)).select(
+        F.col("_node").cast("string").alias("n"), F.col(target).alias("c")).distinct()
+    found = {}
+    for r in pairs.toLocalIterator():  # a name for each class of each model
+        found.setdefault(r["n"], []).append(r["c"])
+        if len(found[r["n"]]) > limit:
+            raise ValueError(f"more than {limit} classes; this step needs a bounded list")
+    return {n: sorted(c) for n, c in found.items()}

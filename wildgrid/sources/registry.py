@@ -25,6 +25,11 @@ def save_model(spark, model, root, node, kind, level=""):
     """Write a fitted pipeline and register it."""
     path = f"{root}/models/{artefact_name(node, kind, level)}"
     model.write().overwrite().save(path)
+    return register(spark, root, node, kind, level, path)
+
+
+def register(spark, root, node, kind, level, path):
+    """List a saved model."""
     row = [(level, node, kind, path, datetime.now(timezone.utc))]
     append(spark.createDataFrame(row, REGISTRY).coalesce(1), f"{root}/registry")
     return path

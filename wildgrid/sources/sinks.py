@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.clean import least_rows
 from ..operators.storage import settle
 
 
@@ -31,6 +32,8 @@ def append(df, path, fmt="parquet", partition_by=(), **options):
 def append_new(df, path, key, fmt="parquet"):
     """Append one row for each key that is not there yet; a second run adds nothing.
 
+    Of several new rows of a key the least is appended, so a repeated batch
+    writes the same rows.
     Of the target only keys of this batch are kept for the comparison, so the
     history is read in one narrow column and never shuffled as long as the
     batch's keys are few. Rows without a key are appended every time.
@@ -42,7 +45,7 @@ def append_new(df, path, key, fmt="parquet"):
     fresh = df.join(seen, key, "left_anti").select(*df.columns)
     twice = keys.where("_n > 1").select(key)
     if not twice.isEmpty():
-        repeated = fresh.join(twice, key, "left_semi").select(*df.columns).dropDuplicates([key])
+        repeated = least_rows(fresh.join(twice, key, "left_semi").select(*df.columns), key)
         fresh = fresh.join(twice, key, "left_anti").select(*df.columns).unionByName(repeated)
     append(fresh, path, fmt)
 

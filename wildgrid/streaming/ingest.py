@@ -7,7 +7,7 @@ repeated batch, or a lost checkpoint, changes nothing.
 from pyspark.sql import functions as F, types as T
 
 from ..operators import enrich
-from ..operators.clean import dedupe_first
+from ..operators.clean import dedupe_first, least_rows
 from ..plans.cleaning import clean_batch
 from ..operators.storage import settle, steps_removed
 from ..schemas import (
@@ -103,7 +103,7 @@ def stream_scoring(spark, source, schema, out, checkpoint, score, files_per_batc
                    available_now=True):
     """Score unseen observations; ``score`` maps a batch to cascade results.
 
-    One row of an id is scored. Scored ids are kept beside the results, in
+    The least row of an id is scored. Scored ids are kept beside the results, in
     ``<out>_ids``, so that an id without a result is not scored again.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -115,7 +115,7 @@ def stream_scoring(spark, source, schema, out, checkpoint, score, files_per_batc
         done = read_or_empty(session, out, CASCADE_RESULTS).select("id").unionByName(
             read_or_empty(session, ids, ID_ONLY).select(F.col("id").cast("long").alias("id")))
         seen = settle(done.join(own, "id", "left_semi").distinct(), "seen")
-        fresh = settle(batch.join(seen, "id", "left_anti").dropDuplicates(["id"]), "fresh")
+        fresh = settle(least_rows(batch.join(seen, "id", "left_anti"), "id"), "fresh")
         results = score(fresh)
         results.write.mode("append").parquet(out)
         append_new(fresh.select("id"), ids, "id")
