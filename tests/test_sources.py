@@ -163,3 +163,27 @@ def test_steps_are_removed_at_the_end_of_a_job(spark, tmp_path):
             assert df.count() == 3
     outside = storage.settle(spark.range(3), "kept")
     assert made and not any(os.path.exists(m.replace("///", "/")) for m in made) and outside.count() == 3
+
+
+def test_ties_go_to_the_least_row(spark, tmp_path):
+    """Equal orders, repeated keys of a batch: the same rows for any number of partitions."""
+    from wildgrid.operators.clean import dedupe_first, least_rows
+    from wildgrid.sources.sinks import append_new
+
+    rows = [(i % 20, i % 2, 1000 - i) for i in range(400)] + [(None, 0, 7), (None, 0, 3), (99, None, 5)]
+    df = spark.createDataFrame(rows, "key long, at long, v long")
+    found = []
+    for n in (1, 3, 16):
+        dealt = df.repartition(n)
+        first = sorted(dedupe_first(dealt, "key", "at").collect(), key=str)
+        target = str(tmp_path / f"t{n}")
+        append_new(dealt.where("key is not null"), target, "key")
+        append_new(dealt.where("key is not null"), target, "key")
+        found.append((first, sorted(spark.read.parquet(target).collect(), key=str)))
+    assert found[0] == found[1] == found[2]
+    kept = {r["key"]: (r["at"], r["v"]) for r in found[0][0]}
+    assert len(found[0][0]) == 22 and kept[None] == (0, 3) and kept[99] == (None, 5)
+    for key in range(20):
+        assert kept[key] == min((a, v) for k, a, v in rows if k == key)
+    maps = df.where("key < 3").selectExpr("key", "map('v', v) as m")
+    assert least_rows(maps, "key").count() == 3

@@ -375,7 +375,7 @@ def node_classes(rows, target, limit, nodes):
     pairs = rows.where(F.col(target).isNotNull() & F.col("_node").isin(*nodes)).select(
         F.col("_node").cast("string").alias("n"), F.col(target).alias("c")).distinct()
     found = {}
-    for r in pairs.toLocalIterator():  # a name for each class of each model
+    for r in pairs.collect():  # a name for each class of each model
         found.setdefault(r["n"], []).append(r["c"])
         if len(found[r["n"]]) > limit:
             raise ValueError(f"more than {limit} classes; this step needs a bounded list")

@@ -79,7 +79,7 @@ def _edges(rows, width):
     shares = F.array(*[F.lit(i / (BINS - 1)) for i in range(BINS)])
     found = rows.groupBy("node").agg(*[F.percentile_approx(f"f{i}", shares, 100 * BINS).alias(f"q{i}") for i in range(width)])
     edges = {}
-    for r in found.toLocalIterator():  # as many rows as nodes
+    for r in found.collect():  # as many rows as nodes
         quantiles = [np.unique(np.array(r[f"q{i}"], float)) for i in range(width)]
         edges[r["node"]] = [q[:-1] + (q[1:] - q[:-1]) / 2 for q in quantiles]
     return edges
@@ -113,7 +113,7 @@ def _matrix(column, dtype, n):
 
 def _often(draw, tree):
     """How often a row is drawn into the sample of a tree: Poisson with mean 1, from its hash."""
-    mixed = draw.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(tree + 1)
+    mixed = draw.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (tree + 1) % 2 ** 64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
     unit = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
@@ -127,8 +127,9 @@ def _often(draw, tree):
 class Growth:
     """What the workers need to know of the models in one pass."""
 
-    def __init__(self, specs, trees, weights, classes, width, kind, seed):
-        self.specs, self.weights, self.classes, self.width, self.kind, self.seed = specs, weights, classes, width, kind, seed
+    def __init__(self, specs, trees, weights, classes, edges, kind, seed):
+        self.specs, self.weights, self.classes, self.edges, self.kind, self.seed = specs, weights, classes, edges, kind, seed
+        self.width = len(next(iter(edges.values())))
         self.trees = {m: t.arrays() for m, t in trees.items()}
         self.of_node, self.slot = {}, {}
         for m, spec in enumerate(specs):
@@ -264,11 +265,15 @@ def _best_cuts(partial, growth, blocks):
             drawn = np.random.default_rng([growth.seed, growth.specs[m].tree, leaf])
             few = drawn.permutation(growth.width)[:max(1, int(round(growth.width ** 0.5)))]
             gain[~np.isin(np.arange(features) + block * per_block, few)] = -np.inf
-        # Sums differ in their last digits by the order of tasks: equal gains go to the first cut.
-        flat = gain.ravel()
-        top = flat.max()
-        at = int(np.flatnonzero(flat >= top - 1e-9 * abs(top))[0]) if np.isfinite(top) else 0
-        f, cut = divmod(at, BINS)
+        # Sums differ in their last digits by the order of tasks: equal gains go to the first
+        # feature. Of its equal cuts, which part the rows alike, the one with most room around it is taken.
+        top, f, cut = gain.max(), 0, 0
+        if np.isfinite(top):
+            f = int(np.flatnonzero(gain.max(axis=1) >= top - 1e-9 * abs(top))[0])
+            equal = np.flatnonzero(gain[f] >= top - 1e-9 * abs(top))
+            gaps = np.diff(growth.edges[growth.specs[m].node][f + block * per_block])
+            room = np.minimum(np.append(gaps[:1], gaps), np.append(gaps, gaps[-1:])) if len(gaps) else np.zeros(1)
+            cut = int(equal[np.argmax(room[equal])])
         return pa.table({"model": pa.array([m], pa.int32()), "leaf": pa.array([leaf], pa.int32()),
                          "gain": pa.array([float(top)]), "feature": pa.array([f + block * per_block], pa.int32()),
                          "cut": pa.array([cut], pa.int32()), "left": pa.array([left[f, cut].tolist()], pa.list_(pa.float64())),
@@ -289,16 +294,16 @@ def _leaf_value(sums, kind, classes):
     return -RATE * sums[:classes] / (sums[classes:2 * classes] + PENALTY)
 
 
-def _grow(coded, tasks, specs, weights, classes, width, kind, seed):
+def _grow(coded, tasks, specs, weights, classes, edges, kind, seed):
     """One tree for each model, level by level."""
     trees = {m: Tree() for m in range(len(specs))}
     open_leaves = {m: [0] for m in trees}
     while open_leaves:
-        growth = Growth(specs, trees, weights, classes, width, kind, seed)
-        blocks = min(width, max(1, tasks * width * BINS * growth.stats * 8 // HELD_BYTES))
+        growth = Growth(specs, trees, weights, classes, edges, kind, seed)
+        blocks = min(growth.width, max(1, tasks * growth.width * BINS * growth.stats * 8 // HELD_BYTES))
         best = _best_cuts(_sums(coded, growth, open_leaves, blocks), growth, blocks)
         following = {}
-        for r in best.toLocalIterator():  # one row for each open leaf
+        for r in best.collect():  # one row for each open leaf
             tree, place = trees[r["model"]], r["leaf"]
             left, right = np.array(r["left"]), np.array(r["right"])
             value = _leaf_value(left + right, kind, classes)
@@ -372,7 +377,7 @@ def _votes(coded, forests, kind, grid):
 def _mean_scores(votes, nodes, grid, k):
     """{node: mean balanced accuracy over the folds for each value}."""
     right, whole = {}, {}
-    for r in votes.toLocalIterator():  # nodes x values x folds x pairs of classes
+    for r in votes.collect():  # nodes x values x folds x pairs of classes
         at = (r["node"], r["value"], r["fold"], r["truth"])
         whole[at] = whole.get(at, 0) + r["n"]
         right[at] = right.get(at, 0) + (r["n"] if r["truth"] == r["guess"] else 0)
@@ -434,12 +439,12 @@ def fit_trees(rows, kind, target, features, grid, classes, node="_node", key="id
     weights = [_class_weights(counts, s.node, s.without, most, balance) for s in specs]
     forests = {}
     for number_of_round in range((iterations or ROUNDS) if kind == "boosted" else 1):
-        grown = _grow(coded, tasks, specs, weights, most, len(features), kind, seed)
+        grown = _grow(coded, tasks, specs, weights, most, edges, kind, seed)
         for m, spec in enumerate(specs):
             at = (spec.node, spec.without, spec.depth if kind == "boosted" else None)
             forests.setdefault(at, []).append(grown[m])
         if kind == "boosted":
-            growth = Growth(specs, grown, weights, most, len(features), kind, seed)
+            growth = Growth(specs, grown, weights, most, edges, kind, seed)
             following = settle(_with_margins(coded, growth, grown), "coded")
             forget(coded)
             coded = following

@@ -23,6 +23,18 @@ def dedupe_keep_first(spark, folder):
     return clean.dedupe_first(d, "content", "doc_id").drop("content")
 
 
+@query("dedupe_tied_order", """
+  SELECT user_id, day, event_id, event_type, value FROM (
+    SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, event_id, event_type, value,
+      row_number() OVER (PARTITION BY user_id ORDER BY CAST(date_trunc('day', ts) AS DATE), event_id) AS rn FROM events)
+  WHERE rn = 1""")
+def dedupe_tied_order(spark, folder):
+    """First row of each user by day: of several on one day the least row, whatever the partitions."""
+    e = table(spark, folder, "events").select(
+        "user_id", F.to_date("ts").alias("day"), "event_id", "event_type", "value")
+    return clean.dedupe_first(e.repartition(7), "user_id", "day")
+
+
 @query("resume_anti_join", f"""WITH {SQL_OBS}
   SELECT id, label, measure FROM obs WHERE id NOT IN (
     SELECT id FROM obs WHERE label = 'error' UNION ALL SELECT id FROM obs WHERE accuracy > 40000)""")

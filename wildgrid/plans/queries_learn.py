@@ -157,12 +157,13 @@ def tune_tree(spark, folder):
 
 @query("tune_forest", SQL_GENUS)
 def tune_forest(spark, folder):
-    return _tuned(spark, folder, "forest", "genus", [2, 9], trees=10)
+    return _tuned(spark, folder, "forest", "genus", [1, 9], trees=10)
 
 
-@query("tune_boosted", SQL_FAMILY)
+@query("tune_boosted", SQL_GENUS)
 def tune_boosted(spark, folder):
-    return _tuned(spark, folder, "boosted", "family", [1, 3], iterations=4)
+    """Ten classes boosted together."""
+    return _tuned(spark, folder, "boosted", "genus", [1, 4], iterations=4)
 
 
 @query("tune_boosted_stumps", SQL_FAMILY)
