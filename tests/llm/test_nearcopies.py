@@ -112,3 +112,12 @@ def test_rows_without_or_with_the_same_id(spark, odd, empty):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 6, 8, 9, 10, 11]
     assert keep_one_of_each(empty).count() == 0
+
+
+def test_maps_and_structs_in_other_columns(spark):
+    same, other = "one two three four five six", "another text of a few words"
+    rows = [(4, same, {"k": 4}, ({4: 1},)), (2, same, {"k": 2}, None), (9, same, None, ({9: 1},)),
+            (102, other, {"k": 1}, ({5: 1},)), (104, other, {"k": 1}, ({5: 1},)), (104, other, {"k": 1}, ({5: 1},))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,long>, s struct<deep: map<long,int>>")
+    left = sorted(r["doc_id"] for r in keep_one_of_each(docs).collect())
+    assert left == [2, 102]

@@ -3,31 +3,34 @@
 Each round is two aggregations and two joins over the edges that are left, and
 ends in a written table, so lineage stays short and a lost executor costs one
 step. A hub with very many neighbours is only aggregated (combined before the
-shuffle) and joined back, never collected.
+shuffle) and joined back, never collected. The least neighbours are written
+before the join, so both of its sides are plain exchanges: adaptive execution
+cuts the arcs of a hub over many tasks.
 """
 
 from pyspark.sql import functions as F
 
-from ..operators.storage import settle
+from ..operators.storage import forget, settle
 
 
-def _least_neighbour(arcs):
-    return arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _least_neighbour(arcs, name):
+    return settle(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}_least")
 
 
-def _large_star(edges):
-    """Link every larger neighbour of a node to the least node around it."""
+def _large_star(edges, name):
+    """Link every larger neighbour of a node to the least node around it; and what may be removed after use."""
     arcs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (arcs.join(_least_neighbour(arcs), "u").where("v > u and v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    least = _least_neighbour(arcs, name)
+    return settle(arcs.join(least, "u").where("v > u and v <> m")
+                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name), least
 
 
-def _small_star(edges):
+def _small_star(edges, name):
     """Link a node and its smaller neighbours to the least of them (u > v in every edge)."""
-    least = _least_neighbour(edges)
-    return (edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct())
+    least = _least_neighbour(edges, name)
+    return settle(edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                  .union(least.select("u", F.col("m").alias("v")))
+                  .where("u <> v").distinct(), name), least
 
 
 def connected_components(edges, u="u", v="v", name="components"):
@@ -43,7 +46,11 @@ def connected_components(edges, u="u", v="v", name="components"):
     edges = settle(edges, name)
     state = _state(edges)
     while True:
-        edges = settle(_small_star(_large_star(edges)), name)
+        large, around = _large_star(edges, name)
+        small, below = _small_star(large, name)
+        for done in (edges, around, large, below):
+            forget(done)
+        edges = small
         now = _state(edges)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

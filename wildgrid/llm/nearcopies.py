@@ -93,8 +93,9 @@ def similar_links(a, b, least=LEAST, radius=RADIUS):
 
 
 def _row_keys(docs):
-    """Two hashes that tell a row's content, nulls included."""
-    content = [F.col(f"`{c}`") for c in docs.columns]
+    """Two hashes that tell a row's content, nulls included; maps are hashed as JSON."""
+    content = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+               for f in docs.schema.fields]
     content += [c.isNull() for c in content]
     return F.xxhash64(*content).alias("_k1"), F.hash(*content).alias("_k2")
 
