@@ -1,10 +1,10 @@
-"""Classifiers per node on Spark ML: folds, tuning, refit, scoring, sweeps."""
+"""Classifiers per node: folds, tuning, refit, scoring, sweeps."""
 
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ..sources.sinks import append_report
 from .boosting import fit_stumps, voting_model
 from .cluster import first_best
 from .metrics import balanced_accuracy, pair_counts
+from .network import NetworkModel, fit_networks
 from .probabilities import softmax
 from .profile import large_classes, null_gate
 from .quantiles import union_all
@@ -24,6 +25,17 @@ from .storage import bounded_rows, settle
 from .trees import KINDS as TREE_KINDS, TreeModel, fit_trees, score_nodes
 
 MAX_CLASSES = 10_000
+# Kinds whose models of all nodes, folds and values are fitted in the same passes.
+TOGETHER = (*TREE_KINDS, "network")
+
+
+def fit_together(rows, kind, target, features, grid, classes, **options):
+    """{node: (model, mean scores of the grid)} of all nodes at once."""
+    if kind == "network":
+        return fit_networks(rows, target, features, grid, classes, **options)
+    if min(int(v) for v in grid) < 1:
+        raise ValueError(f"depths {list(grid)}: a tree has one level at least")
+    return fit_trees(rows, kind, target, features, grid, classes, **options)
 
 
 def depth_grid(n_features, step):
@@ -57,28 +69,16 @@ def gated(df, features, key="id"):
     return whole, broken.select(key, reason.alias("reason"))
 
 
-def front(target, features, classes, scaled):
+def front(target, features, classes):
     """Label numbering (names are known, so no pass over the data) and assembly."""
     numbering = StringIndexerModel.from_labels(list(classes), inputCol=target, outputCol="label_index")
-    assembly = VectorAssembler(inputCols=list(features),
-                               outputCol="raw_features" if scaled else "features")
-    stages = [numbering, assembly]
-    if scaled:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[numbering, VectorAssembler(inputCols=list(features), outputCol="features")])
 
 
-def learner(kind, value, classes, width, seed=0, iterations=None):
-    """The Spark ML estimator of a kind with its tuned parameter set; trees are grown by ``fit_trees``."""
-    common = {"featuresCol": "features", "labelCol": "label_index"}
-    if kind == "network":
-        return MultilayerPerceptronClassifier(
-            layers=[width, width, 80, 60, classes], solver="gd", stepSize=float(value),
-            maxIter=iterations or 100, seed=seed, **common)
-    if kind == "linear":
-        return LogisticRegression(regParam=float(value), weightCol="weight", family="multinomial",
-                                  maxIter=iterations or 50, **common)
-    raise ValueError(f"unknown kind {kind}")
+def learner(value, iterations=None):
+    """The linear estimator of Spark ML with its penalty."""
+    return LogisticRegression(regParam=float(value), weightCol="weight", family="multinomial",
+                              maxIter=iterations or 50, featuresCol="features", labelCol="label_index")
 
 
 class NodeModel:
@@ -113,28 +113,21 @@ class NodeModel:
 
     @classmethod
     def load(cls, spark, root, node, kind, level=""):
-        """The saved model of a node: of a tree kind the rows of its trees, else a pipeline."""
+        """The saved model of a node: rows of trees or of a network, else a pipeline."""
+        if kind == "network":
+            return NetworkModel.load(spark, root, node, level)
         if kind in TREE_KINDS:
             return TreeModel.load(spark, root, node, kind, level)
         pipeline = load_model(spark, root, node, kind, level)
         return cls(pipeline, pipeline.stages[0].labels, kind)
 
 
-def balanced(df, target, kind, key="id"):
-    """Training rows with class weights, or oversampled where weights do not exist."""
-    if kind == "network":
-        return oversample_smallest(df, target, key).drop("copy").withColumn("weight", F.lit(1.0))
-    return with_class_weight(df, target)
-
-
-def training_sets(cut, target, kind, key, k):
+def training_sets(cut, target, k):
     """The balanced training rows of each fold, as filters on one written table.
 
     Class weights of all folds come from one count per (fold, class).
     """
     rest = [cut.where(F.col("fold") != f).drop("fold") for f in range(k)]
-    if kind == "network":
-        return [balanced(rows, target, kind, key) for rows in rest]
     counts = settle(cut.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n")), "fold-sizes")
     sets = []
     for f, rows in enumerate(rest):
@@ -147,21 +140,20 @@ def training_sets(cut, target, kind, key, k):
 def fit_node(df, kind, target, features, value, key="id", classes=None, seed=0, balance=True, **options):
     """Fit one model of a kind with one parameter value."""
     classes = classes or class_names(df, target)
-    if kind in TREE_KINDS:
-        if int(value) < 1:
-            raise ValueError(f"depth {value}: a tree has one level at least")
+    if kind in TOGETHER:
         rows = df.where(F.col(target).isNotNull()).withColumn("_node", F.lit(""))
-        return fit_trees(rows, kind, target, features, [value], {"": classes}, key=key, seed=seed, balance=balance,
-                         **options)[""][0]
+        return fit_together(rows, kind, target, features, [value], {"": classes}, key=key, seed=seed, balance=balance,
+                            **options)[""][0]
+    if kind not in ("stumps", "linear"):
+        raise ValueError(f"unknown kind {kind}")
     if balance:
-        df = balanced(df, target, kind, key)
-    before = front(target, features, classes, kind == "network").fit(df)
+        df = with_class_weight(df, target)
+    before = front(target, features, classes).fit(df)
     if kind == "stumps":
         fitted = fit_stumps(before.transform(df), int(value), len(classes), list(features), "weight", **options)
         tail = voting_model(fitted, len(classes)).stages
         return NodeModel(PipelineModel(before.stages + tail), classes, kind)
-    estimator = learner(kind, value, len(classes), len(features), seed, **options)
-    model = estimator.fit(before.transform(df))
+    model = learner(value, **options).fit(before.transform(df))
     return NodeModel(PipelineModel(before.stages + [model]), classes, kind)
 
 
@@ -177,7 +169,7 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
 
     Folds are cut once and written; balancing happens inside the training folds
     (``oversample_first`` repeats rows before cutting, which leaks copies). Trees
-    of all folds and values grow in the same passes (``fit_trees``); other fits
+    and networks of all folds and values are fitted in the same passes; other fits
     are independent Spark jobs run a few at a time. Returns (model, scores,
     rejects) with the first best value fitted on all rows. Rows with a null
     feature or without a label are not trained on; ``rejects`` (key, reason)
@@ -196,17 +188,17 @@ def tune(df, kind, target, features, grid=None, key="id", k=5, seed=0, stratifie
     cut = stratified_folds(rows, target, key, k, seed) if stratified else ordered_folds(rows, [key], k)
     cut = settle(cut, "folds")
     classes = class_names(cut, target, max_classes)
-    if kind in TREE_KINDS:
-        final, means = fit_trees(cut.withColumn("_node", F.lit("")), kind, target, features, grid, {"": classes},
+    if kind in TOGETHER:
+        final, means = fit_together(cut.withColumn("_node", F.lit("")), kind, target, features, grid, {"": classes},
                                  key=key, k=k, seed=seed, **options)[""]
         return final, score_table(spark, kind, grid, means, max_depth), rejects
-    train = training_sets(cut, target, kind, key, k)
+    train = training_sets(cut, target, k)
     check = [cut.where(F.col("fold") == f).drop("fold") for f in range(k)]
 
     def one(task):
         value, f = task
         if kind == "stumps":
-            before = front(target, features, classes, False).fit(train[f])
+            before = front(target, features, classes).fit(train[f])
             fitted = fit_stumps(before.transform(train[f]), max(grid), len(classes), list(features),
                                 "weight", **options)
             models = [(v, NodeModel(PipelineModel(
@@ -285,15 +277,15 @@ def level_rows(df, level, parent_level, key, target, holdout, min_size=5, limit=
     return settle(split, "level-split", partition_by=["_node"])
 
 
-def _level_of_trees(split, kind, target, features, key, k, grid, classes, tags, seed=0, max_depth=None, **options):
-    """Models, scores, holdout predictions and rejects of one tree kind for all nodes of a level at once."""
+def _level_together(split, kind, target, features, key, k, grid, classes, tags, seed=0, max_depth=None, **options):
+    """Models, scores, holdout predictions and rejects of one such kind for all nodes of a level at once."""
     spark = split.sparkSession
     grid = list(grid or default_grid(kind, len(features), max_depth))
     split = split.withColumn("node", F.col("_node").cast("string"))
     rows, broken = gated(split.where("not is_holdout"), features, "_reject")
     cut = rows.withColumn("_stratum", F.to_json(F.struct("_node", F.col(target).alias("_class"))))
     cut = settle(stratified_folds(cut, "_stratum", key, k, seed), "folds")
-    fitted = fit_trees(cut, kind, target, features, grid, classes, key=key, k=k, seed=seed, **options)
+    fitted = fit_together(cut, kind, target, features, grid, classes, key=key, k=k, seed=seed, **options)
     models = {n: m for n, (m, _) in fitted.items()}
     scores = {n: score_table(spark, kind, grid, means, max_depth) for n, (_, means) in fitted.items()}
     whole, unscored = gated(split.where("is_holdout"), features, "_reject")
@@ -312,7 +304,7 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
     true_label, prediction), ready for grouped reports; rejects (node, kind,
     level, id, reason) holds the rows of each node, of training or holdout, that
     have a null feature. ``root_target`` adds the model above the first level.
-    Each level is read and cut once. Tree kinds are trained for all nodes of a
+    Each level is read and cut once. Trees and networks are trained for all nodes of a
     level together, so the number of jobs does not grow with the nodes; for
     other kinds a node reads only its own files.
     """
@@ -349,19 +341,19 @@ def sweep(df, levels, features, kinds, key="id", grids=None, k=5, holdout=0.2, p
         else:
             here = table.where((F.col("level") == level) & (F.col("target") == target)).orderBy("parent")
             nodes = [str(r["parent"]) for r in here.toLocalIterator()]  # one model is kept for each
-        trees = [kind for kind in kinds if kind in TREE_KINDS]
-        classes = node_classes(split.where("not is_holdout"), target, max_classes, nodes) if trees else {}
-        for kind in trees if classes else []:
+        together = [kind for kind in kinds if kind in TOGETHER]
+        classes = node_classes(split.where("not is_holdout"), target, max_classes, nodes) if together else {}
+        for kind in together if classes else []:
             tags = [F.col("node"), F.lit(kind).alias("kind"), F.lit(target).alias("level")]
             own = split.where(F.col("_node").isin(*classes)).withColumn("_reject", F.struct(F.col("_node").cast("string").alias("node"), key))
-            found, scores, scored, broken = _level_of_trees(own, kind, target, features, key, k, (grids or {}).get(kind),
+            found, scores, scored, broken = _level_together(own, kind, target, features, key, k, (grids or {}).get(kind),
                                                             classes, tags, **options)
             predictions.append(scored)
             rejects.append(broken)
             for node in nodes:
                 if node in found:
                     keep((target, node, kind), found[node], scores[node])
-        tasks = [(split, node, target, kind) for node in nodes for kind in kinds if kind not in TREE_KINDS]
+        tasks = [(split, node, target, kind) for node in nodes for kind in kinds if kind not in TOGETHER]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             for name, model, scores, scored, broken in pool.map(one, tasks):
                 keep(name, model, scores)

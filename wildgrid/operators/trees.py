@@ -374,10 +374,10 @@ def _votes(coded, forests, kind, grid):
         "node", "value", "fold", "truth", "guess").agg(F.sum("n").alias("n"))
 
 
-def _mean_scores(votes, nodes, grid, k):
+def mean_scores(votes, nodes, grid, k):
     """{node: mean balanced accuracy over the folds for each value}."""
     right, whole = {}, {}
-    for r in votes.collect():  # nodes x values x folds x pairs of classes
+    for r in votes:  # nodes x values x folds x pairs of classes
         at = (r["node"], r["value"], r["fold"], r["truth"])
         whole[at] = whole.get(at, 0) + r["n"]
         right[at] = right.get(at, 0) + (r["n"] if r["truth"] == r["guess"] else 0)
@@ -388,7 +388,7 @@ def _mean_scores(votes, nodes, grid, k):
     return {node: [sum(means.get((node, v, f), 0.0) for f in range(k)) / k for v in range(len(grid))] for node in nodes}
 
 
-def _class_weights(counts, node, without, classes, balance):
+def class_weights(counts, node, without, classes, balance):
     """Weight of each class in a training set: all rows of the node less one fold."""
     sizes = np.zeros(classes)
     for (one, fold, label), n in counts.items():
@@ -400,16 +400,8 @@ def _class_weights(counts, node, without, classes, balance):
     return np.divide(sizes.sum(), present * sizes, out=np.zeros(classes), where=sizes > 0)
 
 
-def fit_trees(rows, kind, target, features, grid, classes, node="_node", key="id", k=0, seed=0, balance=True,
-              trees=100, iterations=None):
-    """{node: (TreeModel, mean scores of the grid)}: one model for each node, all of them together.
-
-    ``rows`` has the node, the key, the target, all features without nulls and,
-    with ``k`` folds, a column ``fold``; ``classes`` maps each node to its class
-    names. The value of the grid with the best mean score, the first of equals,
-    is taken; without folds there are no scores, and the first value is taken.
-    The model of all rows grows in the same passes as those of the folds.
-    """
+def numbered_rows(rows, target, features, classes, node, key, k, seed):
+    """Rows as (node, label, fold, draw, f0, f1, ..) by number, their counts, the nodes and the most classes of one."""
     spark = rows.sparkSession
     nodes = sorted(classes)
     number = {n: i for i, n in enumerate(nodes)}
@@ -427,6 +419,20 @@ def fit_trees(rows, kind, target, features, grid, classes, node="_node", key="id
                       .drop("_at", "_t", "_n", "_c"), "numbered")
     counts = {(r["node"], r["fold"], r["label"]): r["count"]
               for r in numbered.groupBy("node", "fold", "label").count().collect()}
+    return numbered, counts, nodes, most
+
+
+def fit_trees(rows, kind, target, features, grid, classes, node="_node", key="id", k=0, seed=0, balance=True,
+              trees=100, iterations=None):
+    """{node: (TreeModel, mean scores of the grid)}: one model for each node, all of them together.
+
+    ``rows`` has the node, the key, the target, all features without nulls and,
+    with ``k`` folds, a column ``fold``; ``classes`` maps each node to its class
+    names. The value of the grid with the best mean score, the first of equals,
+    is taken; without folds there are no scores, and the first value is taken.
+    The model of all rows grows in the same passes as those of the folds.
+    """
+    numbered, counts, nodes, most = numbered_rows(rows, target, features, classes, node, key, k, seed)
     edges = _edges(numbered, len(features))
     tasks = max(1, -(-sum(counts.values()) // TASK_ROWS))
     coded = settle(_coded(numbered, len(features), edges).repartition(tasks), "coded")
@@ -436,7 +442,7 @@ def fit_trees(rows, kind, target, features, grid, classes, node="_node", key="id
     each = range(trees) if kind == "forest" else [0]
     depths = [int(v) for v in grid] if kind == "boosted" else [max(int(v) for v in grid)]
     specs = [Spec(n, without, depth, t) for n in present for without in [*range(k), -1] for depth in depths for t in each]
-    weights = [_class_weights(counts, s.node, s.without, most, balance) for s in specs]
+    weights = [class_weights(counts, s.node, s.without, most, balance) for s in specs]
     forests = {}
     for number_of_round in range((iterations or ROUNDS) if kind == "boosted" else 1):
         grown = _grow(coded, tasks, specs, weights, most, edges, kind, seed)
@@ -450,7 +456,7 @@ def fit_trees(rows, kind, target, features, grid, classes, node="_node", key="id
             coded = following
     scores = {n: [0.0] * len(grid) for n in present}
     if k:
-        scores = _mean_scores(_votes(coded, forests, kind, [int(v) for v in grid]), present, grid, k)
+        scores = mean_scores(_votes(coded, forests, kind, [int(v) for v in grid]).collect(), present, grid, k)
     forget(coded)
     out = {}
     for n in present:
@@ -534,16 +540,15 @@ class TreeModel:
 def score_nodes(df, models, node):
     """Rows with ``classes``, ``p`` and ``predicted`` by the model of each row's node: one branch for all nodes.
 
-    ``models`` maps node names to tree models, ``node`` is a column of names;
+    ``models`` maps node names to models of trees or networks, ``node`` is a column of names;
     rows of other nodes get nulls. Models may use different features.
     """
     names = list(dict.fromkeys(f for m in models.values() for f in m.features))
     # As large as the models, sent to each executor once.
-    held = df.sparkSession.sparkContext.broadcast(
-        {n: (m.rows, m.kind, m.features, m.classes, m.target) for n, m in models.items()})
+    held = df.sparkSession.sparkContext.broadcast(dict(models))
 
     def probabilities(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scorers = {n: (TreeModel(*parts).scorer(), [names.index(f) for f in parts[2]]) for n, parts in held.value.items()}
+        scorers = {n: (m.scorer(), [names.index(f) for f in m.features]) for n, m in held.value.items()}
         for at, values in batches:
             out = np.empty(len(at), object)
             matrix = np.array([np.asarray(v, float) for v in values]).reshape(len(at), len(names))
