@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wildgrid.llm.quality import host_rates, host_verdicts, judge, measures
@@ -44,6 +45,21 @@ def test_hosts_are_shrunk_and_joined_back(spark):
     assert {r["kept"]: r["count"] for r in kept}[True] == 49 + 60 + 54 + 20
 
 
+def test_certainty_is_below_the_posterior_and_grows_with_the_rows(spark):
+    docs = hosts(spark, [(f"g{i}", 50, 49) for i in range(20)] + [("few", 4, 1), ("more", 20, 5), ("many", 200, 50),
+                                                                  ("fair", 200, 170)])
+    found = {r["host"]: r for r in host_rates(measures(docs)).where("rule = 'short'").collect()}
+    draws = np.random.default_rng(5)
+    for r in found.values():
+        posterior = draws.beta(r["alpha"] + r["n_failed"], r["beta"] + r["n_docs"] - r["n_failed"], 100_000)
+        assert r["certain"] <= (posterior > r["limit"]).mean() + 0.01
+    assert 0 < found["few"]["certain"] < found["more"]["certain"] < found["many"]["certain"]
+    rejected = {r["host"] for r in host_verdicts(measures(docs)).where("host_rejected").collect()}
+    assert rejected == {"many"} | ({"more"} if found["more"]["certain"] >= 0.95 else set())
+    # A seventh of poor documents, or three times the usual odds alone, condemn no host.
+    assert found["fair"]["rate"] > 3 * found["g0"]["rate"] and found["fair"]["certain"] == 0
+
+
 def test_odd_rows(odd, empty):
     rows = judge(odd).collect()
     assert len(rows) == odd.count()

@@ -3,8 +3,9 @@
 Each text is measured and held against a few rules. Per host and rule the
 failures are counted (before the shuffle, so a hot host is a handful of rows),
 and the share of failures is shrunk towards that of all hosts with a beta
-prior fitted to the hosts themselves. A host whose shrunk share of a rule is
-too high is rejected with all of its documents. DataFrame operations only.
+prior fitted to the hosts themselves. A host is rejected with all of its
+documents if its own share of a rule is, almost surely by this posterior, far
+above that of all hosts. DataFrame operations only.
 """
 
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
-# A host is rejected if it fails a rule in more than this share of its documents.
-HOST_SHARE = 0.5
+# A host is bad at a rule if its odds of failing are above this multiple of the odds of all hosts, and its
+# rate above this share: few clean documents must not go with the others of a host.
+ODDS, LEAST_SHARE = 3.0, 0.25
+# A host is rejected if it is bad at some rule with at least this probability.
+CERTAIN = 0.95
 
 
 def _repeated_words(windows):
@@ -75,12 +79,14 @@ def rules():
 
 
 def host_rates(measured, host="source"):
-    """One row per host and rule: n_docs, n_failed, alpha, beta and the shrunk rate.
+    """One row per host and rule: n_docs, n_failed, alpha, beta, the shrunk rate, its limit and ``certain``.
 
     The prior has the mean of the hosts' rates and, by their variance beyond
     what chance gives, the weight of alpha + beta documents: between 1 (hosts
     differ as much as they can) and 10^6 (not at all). A null host is a host of
-    its own, written ''.
+    its own, written ''. ``certain`` is what the posterior gives at least for the
+    rate to be above the limit: by Cantelli's inequality z^2 / (1 + z^2), if its
+    mean lies z deviations above, and 0 if it lies below.
     """
     failed = rules()
     counts = measured.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(
@@ -97,17 +103,22 @@ def host_rates(measured, host="source"):
     weight = F.when(beyond <= 0, 1e6).otherwise(F.least(F.lit(1e6), F.greatest(F.lit(1.0), chance / beyond - 1)))
     prior = settle(prior.select("rule", (F.col("m") * weight).alias("alpha"),
                                 ((1 - F.col("m")) * weight).alias("beta")), "host_prior")
-    shrunk = (F.col("alpha") + F.col("n_failed")) / (F.col("alpha") + F.col("beta") + F.col("n_docs"))
-    return long.join(prior, "rule").withColumn("rate", shrunk)
+    whole = F.col("alpha") + F.col("beta") + F.col("n_docs")
+    mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
+    limit = F.greatest(F.lit(LEAST_SHARE), ODDS * mean / (1 + (ODDS - 1) * mean))
+    found = long.join(prior, "rule").withColumn("rate", (F.col("alpha") + F.col("n_failed")) / whole)
+    above, variance = F.col("rate") - F.col("limit"), F.col("rate") * (1 - F.col("rate")) / (whole + 1)
+    return found.withColumn("limit", limit).withColumn(
+        "certain", F.when(above > 0, above * above / (variance + above * above)).otherwise(0.0))
 
 
-def host_verdicts(measured, host="source", share=HOST_SHARE):
-    """(host, host_rejected): whether the shrunk rate of some rule is above ``share``."""
-    return host_rates(measured, host).groupBy("host").agg(F.max("rate").alias("worst")).select(
-        "host", (F.col("worst") > share).alias("host_rejected"))
+def host_verdicts(measured, host="source", certain=CERTAIN):
+    """(host, host_rejected): whether the host is bad at some rule with probability ``certain`` or more."""
+    return host_rates(measured, host).groupBy("host").agg(F.max("certain").alias("worst")).select(
+        "host", (F.col("worst") >= certain).alias("host_rejected"))
 
 
-def judge(docs, text="text", host="source", keep=("doc_id",), share=HOST_SHARE):
+def judge(docs, text="text", host="source", keep=("doc_id",), certain=CERTAIN):
     """Measures of every document with base_failed and kept.
 
     base_failed is by the text alone (too few words, or too many of them in
@@ -116,7 +127,7 @@ def judge(docs, text="text", host="source", keep=("doc_id",), share=HOST_SHARE):
     """
     names = list(dict.fromkeys([*keep, host]))
     measured = settle(measures(docs, text, names), "measures")
-    verdicts = settle(host_verdicts(measured, host, share), "host_verdicts")
+    verdicts = settle(host_verdicts(measured, host, certain), "host_verdicts")
     failed = rules()
     found = measured.join(verdicts, F.coalesce(F.col(host), F.lit("")) == F.col("host"))
     base = failed["short"] | failed["repeated"]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.storage import settle
 from . import language, licenses, mixing, neighbours, packing, pages, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
@@ -75,7 +76,7 @@ _FAILED = {
 }
 
 
-@query("op4_quality", f"""
+_MEASURED_SQL = f"""
   WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS rowno FROM documents),
   words AS (SELECT *, regexp_extract_all(t, '[^{_SPACE}]+') AS w FROM texts),
   windows AS (SELECT rowno, unnest(range(1, len(w) - 3)) AS i, w FROM words WHERE len(w) >= 5),
@@ -88,16 +89,27 @@ _FAILED = {
     CAST(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
-    FROM words JOIN lines USING (rowno) LEFT JOIN repeated USING (rowno)),
-  counts AS (SELECT coalesce(source, '') AS host, count(*) AS n_docs,
-    {', '.join(f'count(*) FILTER ({sql}) AS {name}' for name, sql in _FAILED.items())} FROM measured GROUP BY 1),
+    FROM words JOIN lines USING (rowno) LEFT JOIN repeated USING (rowno))"""
+
+
+def _rates_sql(host, rows):
+    """CTEs up to ``rates``, one row per host and rule, of the rows of ``rows`` by their host."""
+    return f"""
+  counts AS (SELECT {host} AS host, count(*) AS n_docs,
+    {', '.join(f'count(*) FILTER ({sql}) AS {name}' for name, sql in _FAILED.items())} FROM {rows} GROUP BY 1),
   per_rule AS ({' UNION ALL '.join(f"SELECT host, n_docs, '{name}' AS rule, {name} AS n_failed FROM counts" for name in _FAILED)}),
   prior AS (SELECT rule, avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(1 / n_docs) AS inv
     FROM per_rule GROUP BY rule),
   weighed AS (SELECT rule, m, CASE WHEN v - m * (1 - m) * inv <= 0 THEN 1e6
     ELSE least(1e6, greatest(1, m * (1 - m) / (v - m * (1 - m) * inv) - 1)) END AS weight FROM prior),
-  verdicts AS (SELECT host, max((m * weight + n_failed) / (weight + n_docs)) > 0.5 AS host_rejected
-    FROM per_rule JOIN weighed USING (rule) GROUP BY host)
+  shrunk AS (SELECT *, (m * weight + n_failed) / (weight + n_docs) AS rate, greatest({quality.LEAST_SHARE},
+    {quality.ODDS} * m / (1 + {quality.ODDS - 1} * m)) AS bound FROM per_rule JOIN weighed USING (rule)),
+  rates AS (SELECT *, CASE WHEN rate > bound THEN (rate - bound) ** 2
+    / (rate * (1 - rate) / (weight + n_docs + 1) + (rate - bound) ** 2) ELSE 0 END AS certain FROM shrunk)"""
+
+
+@query("op4_quality", f"""{_MEASURED_SQL}, {_rates_sql("coalesce(source, '')", "measured")},
+  verdicts AS (SELECT host, max(certain) >= {quality.CERTAIN} AS host_rejected FROM rates GROUP BY host)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     ({_FAILED['short']} OR {_FAILED['repeated']}) AS base_failed,
     NOT ({_FAILED['short']} OR {_FAILED['repeated']}) AND NOT host_rejected AS kept, host_rejected
@@ -107,6 +119,30 @@ def quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents"))
 
 
+_MIRROR_SQL = """CASE WHEN doc_id % 3 > 0 AND ({fails}) OR doc_id % 100 = 7
+  THEN 'mirror' || (doc_id % 2) ELSE coalesce(source, '') END"""
+
+
+@query("op4_hosts", f"""{_MEASURED_SQL},
+  placed AS (SELECT *, {_MIRROR_SQL.format(fails=f"{_FAILED['short']} OR {_FAILED['repeated']}")} AS host FROM measured),
+  {_rates_sql("host", "placed")}
+  SELECT host, rule, n_docs, n_failed, round(rate + 1e-9, 6) AS rate, round(certain + 1e-9, 6) AS certain,
+    max(certain) OVER (PARTITION BY host) >= {quality.CERTAIN} AS host_rejected FROM rates""")
+def quality_of_hosts(spark, folder):
+    """Every host and rule, where two more hosts took most of the poor documents and a few good ones."""
+    measured = quality.measures(table(spark, folder, "documents"))
+    fails = quality.rules()
+    moved = (F.col("doc_id") % 3 > 0) & (fails["short"] | fails["repeated"]) | (F.col("doc_id") % 100 == 7)
+    host = F.when(moved, F.concat(F.lit("mirror"), (F.col("doc_id") % 2).cast("string"))).otherwise(
+        F.coalesce("source", F.lit("")))
+    measured = settle(measured.withColumn("host", host), "measures")
+    rates = settle(quality.host_rates(measured, "host"), "host_rates")
+    worst = rates.groupBy("host").agg((F.max("certain") >= quality.CERTAIN).alias("host_rejected"))
+    return rates.join(worst, "host").select(
+        "host", "rule", "n_docs", "n_failed", F.round(F.col("rate") + 1e-9, 6).alias("rate"),
+        F.round(F.col("certain") + 1e-9, 6).alias("certain"), "host_rejected")
+
+
 @query("op5_pages")
 def page_texts(spark, folder):
     """Main text of every page."""
