@@ -137,7 +137,7 @@ def test_every_row_is_accounted_for(spark, points):
 def test_clusters(spark, points):
     places = cluster.distinct_points(points, NAMES)
     model, scores = cluster.choose_k(places, ks=[2, 4, 6], restarts=2)
-    assert model.summary.k == 4 and [k for k, _ in scores] == [2, 4, 6]
+    assert model.k == 4 and [k for k, _ in scores] == [2, 4, 6]
     assert cluster.dispersion(places, 1) > cluster.dispersion(places, 4, 2)
     with pytest.raises(ValueError):
         cluster.choose_k(places.limit(3), ks=[4])

@@ -4,25 +4,24 @@ Points are aggregated to distinct coordinates with a weight before any fit;
 the objective is the same and repeated places cost one row.
 """
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.geo import squared_distance
 from ..functions.hashing import hash_unit
 from .features import fit_scaler, standardise
+from .kmeans import fit_all, silhouettes
+from .quantiles import union_all
 from .storage import settle
 
+
 def distinct_points(df, columns=("latitude", "longitude")):
-    """(x0, x1, ..., n) per distinct place, plus ``features`` for Spark ML."""
+    """(x0, x1, ..., n) per distinct place."""
     named = df.na.drop(subset=list(columns)).select(
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     points = named.groupBy(*named.columns).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return settle(points.withColumn("features", array_to_vector(F.array(*named.columns))), "points")
+    return settle(points, "points")
 
 
 def axes(points):
@@ -31,27 +30,18 @@ def axes(points):
 
 def fit_kmeans(points, k, restarts=10, seed=1, max_iter=50):
     """The cheapest of several fits on weighted points."""
-    fits = [KMeans(k=k, seed=seed + r, weightCol="n", maxIter=max_iter).fit(points)
-            for r in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return fit_all(points, [k], restarts, seed, max_iter)[0][k]
 
 
 def dispersion(points, k, restarts=10, seed=1):
     """Squared error of the best fit; for one cluster the spread around the mean."""
-    if k > 1:
-        return float(fit_kmeans(points, k, restarts, seed).summary.trainingCost)
-    n = F.col("n")
-    parts = []
-    for c in axes(points):
-        parts += [F.sum(n * F.col(c)).alias(f"{c}s"), F.sum(n * F.col(c) * F.col(c)).alias(f"{c}q")]
-    row = points.agg(F.sum("n").alias("n"), *parts).first()
-    return float(sum(row[f"{c}q"] - row[f"{c}s"] ** 2 / row["n"] for c in axes(points)))
+    return fit_kmeans(points, k, restarts, seed).cost
 
 
 def elbow(spark, points, ks, **options):
-    """(k, cost): squared error within the clusters per k."""
-    rows = [(k, dispersion(points, k, **options)) for k in ks]
-    return spark.createDataFrame(rows, "k int, cost double")
+    """(k, cost): squared error within the clusters per k, all fitted together."""
+    fits = fit_all(points, ks, **options)[0]
+    return spark.createDataFrame([(int(k), fits[k].cost) for k in ks], "k int, cost double")
 
 
 def within_cost(df, columns, centroids, cluster="cluster"):
@@ -100,56 +90,49 @@ def silhouette(df, x, cluster, weight=None):
     return seen.agg((F.sum(s * F.col("n")) / F.sum("n")).alias("silhouette"))
 
 
-def choose_k(points, ks=range(4, 61, 2), restarts=10, seed=1, parallelism=4):
+def choose_k(points, ks=range(4, 61, 2), restarts=10, seed=1):
     """Fit every k below the number of points and keep the best silhouette.
 
-    Returns (model, [(k, score)]); the first of equal scores wins. The measure
-    is the squared one for any number of points. A few fits run at a time.
+    Returns (Clusters, [(k, score)]); the first of equal scores wins. The measure
+    is the squared one for any number of points. All values of k and all
+    restarts are fitted in the same passes.
     """
     size = points.count()
     ks = [int(k) for k in ks if k < size]
     if not ks:
         raise ValueError("fewer distinct points than clusters")
-
-    def one(k):
-        model = fit_kmeans(points, k, restarts, seed)
-        assigned = model.transform(points).withColumn("_x", F.array(*axes(points)))
-        return k, silhouette(assigned, "_x", "prediction", "n").first()[0], model
-
-    points.persist()
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            fits = list(pool.map(one, ks))
-    finally:
-        points.unpersist()
-    best = max(fits, key=lambda f: f[1])  # max keeps the first of equal scores
-    return best[2], [(k, float(score)) for k, score, _ in fits]
+    fits = fit_all(points, ks, restarts, seed)[0]
+    scores = silhouettes(points, fits)
+    best = max(ks, key=scores.get)  # max keeps the first of equal scores
+    return fits[best], [(k, float(scores[k])) for k in ks]
 
 
 def gap_statistic(spark, points, ks, references=3, seed=1, restarts=1, box="unit"):
-    """(k, gap): log mean dispersion of uniform points - log dispersion of the data.
+    """(k, gap, own): log mean dispersion of uniform points - log dispersion of the data (``own``).
 
     Uniform points are as many as the rows and come from a hash of their number,
     so every retry sees the same ones. ``box``: the unit square, or the data's.
+    The data and all references are fitted in the same passes.
     """
     rows = int(points.agg(F.sum("n")).first()[0])
     cols = axes(points)
     bounds = points.agg(*[f(c).alias(f"{c}{n}") for c in cols
                           for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    samples = []
+    tables = [points.withColumn("table", F.lit(0))]
     for r in range(references):
         unit = spark.range(rows)
         for i, c in enumerate(cols):
             u = hash_unit("id", f"{seed}.{r}.{i}")
             lo, hi = (0.0, 1.0) if box == "unit" else (bounds[f"{c}lo"], bounds[f"{c}hi"])
             unit = unit.withColumn(c, F.lit(lo) + u * (hi - lo))
-        samples.append(distinct_points(unit, cols))
+        tables.append(distinct_points(unit, cols).withColumn("table", F.lit(r + 1)))
+    fits = fit_all(union_all(tables), ks, restarts, seed)
     out = []
     for k in ks:
-        cost = [dispersion(s, k, restarts, seed) for s in samples]
-        own = dispersion(points, k, restarts, seed)
-        out.append((int(k), float(np.log(np.mean(cost)) - np.log(own))))
-    return spark.createDataFrame(out, "k int, gap double")
+        cost = [fits[r + 1][k].cost for r in range(references)]
+        own = float(np.log(fits[0][k].cost))
+        out.append((int(k), float(np.log(np.mean(cost)) - own), own))
+    return spark.createDataFrame(out, "k int, gap double, own double")
 
 
 def first_best(scores, score, parameter, order=None):

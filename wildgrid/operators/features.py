@@ -58,7 +58,7 @@ def standardise(df, scaler):
 
 
 def location_cluster(df, clusters, latitude="latitude", longitude="longitude"):
-    """Add the nearest centroid's number; ``clusters``: list of centres or KMeansModel."""
+    """Add the nearest centroid's number; ``clusters``: list of centres or a fitted model."""
     if hasattr(clusters, "clusterCenters"):
         clusters = clusters.clusterCenters()
     return df.withColumn("location_cluster",

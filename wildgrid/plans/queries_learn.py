@@ -80,10 +80,52 @@ def kmeans_best_k(spark, folder):
     n = _group_count(spark, folder)
     points = cluster.distinct_points(far_groups(spark, folder))
     model, _ = cluster.choose_k(points, ks=[max(2, n - 2), n, n + 3], restarts=3)
-    found = spark.createDataFrame([(model.getK(), float(model.summary.trainingCost))], "k int, cost double")
+    found = spark.createDataFrame([(model.k, model.cost)], "k int, cost double")
     return with_rounded(found, "cost", digits=3)
 
 
+def nested_groups(spark, folder):
+    """events as points in 12 groups: 3 far apart, of 2 pairs each, so the best 3, 6 and 12 clusters are known."""
+    return table(spark, folder, "events").select(
+        (F.floor(F.col("event_id") % 12 / 4) * 1000000 + F.floor(F.col("event_id") % 4 / 2) * 10000
+         + F.col("event_id") % 2 * 100 + F.floor(F.col("event_id") / 12) % 7 / 8).alias("latitude"),
+        (F.floor(F.col("event_id") / 84) % 5 / 8).alias("longitude"))
+
+
+SQL_NESTED = """e AS (SELECT event_id % 12 AS g, event_id // 12 % 7 / 8.0::DOUBLE AS u, event_id // 84 % 5 / 8.0::DOUBLE AS b
+    FROM events),
+  p AS (SELECT g, (g // 4) * 1000000 + (g % 4 // 2) * 10000 + g % 2 * 100 + u AS a, b FROM e),
+  q AS (SELECT k, CASE k WHEN 3 THEN g // 4 WHEN 6 THEN g // 2 ELSE g END AS c, a, b
+    FROM p, (SELECT unnest([3, 6, 12]) AS k)),
+  m AS (SELECT k, c, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) + var_pop(b) AS v FROM q GROUP BY k, c),
+  w AS (SELECT k, sum(n * v) AS cost FROM m GROUP BY k),
+  d AS (SELECT q.k, q.c, q.a, q.b, min(CASE WHEN m.c = q.c THEN ((q.a - ma) ** 2 + (q.b - mb) ** 2 + v) * n / (n - 1) END) AS own,
+      min(CASE WHEN m.c <> q.c THEN (q.a - ma) ** 2 + (q.b - mb) ** 2 + v END) AS other
+    FROM (SELECT DISTINCT k, c, a, b FROM q) q JOIN m ON m.k = q.k GROUP BY q.k, q.c, q.a, q.b),
+  s AS (SELECT k, avg((other - own) / greatest(other, own)) AS silhouette FROM q JOIN d USING (k, c, a, b) GROUP BY k)"""
+
+
+@query("kmeans_scores", f"""WITH {SQL_NESTED}
+  SELECT CAST(k AS INTEGER) AS k, round(silhouette + 1e-9, 6) AS silhouette, silhouette = max(silhouette) OVER () AS best FROM s""")
+def kmeans_scores(spark, folder):
+    """The silhouette of every k tried, and which of them is taken."""
+    points = cluster.distinct_points(nested_groups(spark, folder))
+    model, scores = cluster.choose_k(points, ks=[3, 6, 12], restarts=4)
+    found = spark.createDataFrame([(k, s, k == model.k) for k, s in scores], "k int, silhouette double, best boolean")
+    return with_rounded(found, "silhouette")
+
+
+@query("gap_curve", f"""WITH {SQL_NESTED},
+  one AS (SELECT 1 AS k, count(*) * (var_pop(a) + var_pop(b)) AS cost FROM p UNION ALL SELECT k, cost FROM w)
+  SELECT CAST(k AS INTEGER) AS k, round(ln(cost) + 1e-9, 5) AS own, k = 12 AS widest FROM one""")
+def gap_curve(spark, folder):
+    """Log dispersion of the data for every k, and the k with the widest gap to uniform points."""
+    points = cluster.distinct_points(nested_groups(spark, folder))
+    gaps = cluster.gap_statistic(spark, points, [1, 3, 6, 12], references=2, restarts=4, box="data")
+    best = cluster.first_best(gaps, "gap", "k").first()["k"]
+    return with_rounded(gaps.select("k", "own", (F.col("k") == best).alias("widest")), "own", digits=5)
+
+
 @query("elbow_one_cluster", """
   WITH o AS (SELECT CAST((event_id * 37) % 181 - 90 AS DOUBLE) AS a, CAST((event_id * 53) % 361 - 180 AS DOUBLE) AS b
              FROM events)

@@ -6,7 +6,8 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from .sinks import append, read_or_empty
+from ..operators.kmeans import Clusters
+from .sinks import append, overwrite, read_or_empty
 
 REGISTRY = "level string, node string, kind string, path string, saved_at timestamp"
 
@@ -47,10 +48,14 @@ def load_model(spark, root, node, kind, level=""):
     return PipelineModel.load(f"{root}/models/{artefact_name(node, kind, level)}")
 
 
-def save_clusters(spark, model, root, node, level=""):
-    """Save the location clusters of a node next to its classifiers."""
-    return save_model(spark, PipelineModel([model]), root, node, "k_means", level)
+def save_clusters(spark, clusters, root, node, level=""):
+    """Save the location clusters of a node next to its classifiers, as rows (cluster, centre, cost)."""
+    path = f"{root}/models/{artefact_name(node, 'k_means', level)}"
+    rows = [(i, [float(v) for v in c], clusters.cost) for i, c in enumerate(clusters.clusterCenters())]
+    overwrite(spark.createDataFrame(rows, "cluster int, centre array<double>, cost double").coalesce(1), path)
+    return register(spark, root, node, "k_means", level, path)
 
 
 def load_clusters(spark, root, node, level=""):
-    return load_model(spark, root, node, "k_means", level).stages[0]
+    rows = spark.read.parquet(f"{root}/models/{artefact_name(node, 'k_means', level)}").orderBy("cluster").collect()
+    return Clusters([r["centre"] for r in rows], rows[0]["cost"])
