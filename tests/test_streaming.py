@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from wildgrid.operators import enrich
 from wildgrid.plans.adapter import raw_observations, weather_jobs
+from wildgrid.sources import targets
 from wildgrid.sources.sinks import overwrite
 from wildgrid.streaming.ingest import open_rejects, stream_cleaning, stream_enrichment, stream_scoring
 
 
 def counts(spark, out):
-    return tuple(spark.read.parquet(f"{out}/{t}").select("id").distinct().count()
+    return tuple(targets.read(spark, out, t).select("id").distinct().count()
                  for t in ("interim", "bad_quality"))
 
 
@@ -27,7 +28,7 @@ def test_cleaning_twice_and_with_a_lost_checkpoint(spark, small, tmp_path):
     run("other-checkpoint")
     assert counts(spark, out) == second and sum(second) > sum(first) > 0
     for t in ("interim", "bad_quality"):
-        df = spark.read.parquet(f"{out}/{t}")
+        df = targets.read(spark, out, t)
         assert df.count() == df.select("id").distinct().count()
 
 
@@ -36,8 +37,8 @@ def test_enrichment_keeps_and_rejects(spark, small, tmp_path):
     jobs.write.json(str(tmp_path / "in"))
     for name in ("c1", "c2"):
         stream_enrichment(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / name)).awaitTermination()
-    kept = spark.read.parquet(str(tmp_path / "out" / "snapshots"))
-    rejected = spark.read.parquet(str(tmp_path / "out" / "rejects"))
+    kept = targets.read(spark, str(tmp_path / "out"), "snapshots")
+    rejected = targets.read(spark, str(tmp_path / "out"), "rejects")
     assert kept.count() + rejected.count() == jobs.count()
     assert len(kept.columns) == 52
     assert {r["reason"] for r in rejected.select("reason").distinct().collect()} == {"no such hour", "missing reading"}
@@ -61,7 +62,7 @@ def test_every_line_is_accounted_for(spark, small, tmp_path):
     good.where(f"id = {first}").write.json(source + "/two")
     run("c")
     run("other")
-    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/snapshots").collect()) == sorted([first, second])
+    assert sorted(r["id"] for r in targets.read(spark, out, "snapshots").collect()) == sorted([first, second])
     assert sorted(r["reason"] for r in open_rejects(spark, out).collect()) == ["no id", "unreadable"]
 
 

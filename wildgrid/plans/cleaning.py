@@ -6,7 +6,7 @@ from ..operators import clean, enrich
 from ..operators.storage import settle, steps_removed
 from ..schemas import BAD_QUALITY, ID_ONLY, RAW_OBSERVATIONS
 from ..sources.readers import read_csv
-from ..sources.sinks import append_new, read_or_empty
+from ..sources import targets
 
 
 def clean_batch(raw, cells=None, done=(), order="input_order", words=None):
@@ -31,13 +31,13 @@ def clean_batch(raw, cells=None, done=(), order="input_order", words=None):
 def clean_files(spark, paths, out, cells=None, **options):
     """Run the job on CSV files and append to ``out/interim`` and ``out/bad_quality``.
 
-    Ids found in either output are skipped, so an interrupted run is repeated
-    without harm.
+    Ids found in either output are skipped, and both outputs of a run appear
+    together or not at all, so an interrupted run is repeated without harm.
+    Read them with ``targets.read``.
     """
     raw = read_csv(spark, paths, RAW_OBSERVATIONS, keep_order=True, **options)
-    bad_done = read_or_empty(spark, f"{out}/bad_quality", BAD_QUALITY).select("id")
-    ok_done = read_or_empty(spark, f"{out}/interim", ID_ONLY).select("id")
+    bad_done = targets.read(spark, out, "bad_quality", BAD_QUALITY).select("id")
+    ok_done = targets.read(spark, out, "interim", ID_ONLY).select("id")
     with steps_removed(spark):
         good, bad = clean_batch(raw, cells, [ok_done, bad_done])
-        append_new(bad, f"{out}/bad_quality", "id")
-        append_new(good, f"{out}/interim", "id")
+        targets.commit_together(spark, out, {"bad_quality": (bad, "id"), "interim": (good, "id")})

@@ -6,7 +6,7 @@ from ..functions import text, times
 from ..operators import clean, profile
 from ..operators.ranks import exact_rank
 
-from ..sources import readers, sinks
+from ..sources import readers, sinks, targets
 from . import cleaning
 from .adapter import (SQL_OBS, SQL_OFFSET, SQL_RAW, observations,
                       raw_observations, table)
@@ -241,7 +241,7 @@ def cleaning_files(spark, folder):
         sinks.overwrite(raw.where(half).drop("input_order").coalesce(1), paths[-1], "csv")
     for _ in range(2):
         cleaning.clean_files(spark, paths, f"{root}/out")
-    return _interim(spark.read.parquet(f"{root}/out/interim"))
+    return _interim(targets.read(spark, f"{root}/out", "interim"))
 
 
 def _scratch(spark):
@@ -260,7 +260,7 @@ def ingest_stream(spark, folder):
     raw = raw_observations(spark, folder)
     sinks.overwrite(raw.drop("input_order").coalesce(1), f"{root}/in", "csv")
     stream_cleaning(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return _interim(spark.read.parquet(f"{root}/out/interim"))
+    return _interim(targets.read(spark, f"{root}/out", "interim"))
 
 
 @query("landed_records", """
@@ -337,3 +337,30 @@ def append_twice(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
 
 
+@query("two_target_commit", f"""WITH {SQL_OBS}
+  SELECT 'far' AS target, label, count(*) AS n, sum(user_id) AS users FROM obs WHERE accuracy > 40000 GROUP BY label
+  UNION ALL SELECT 'near', label, count(*), sum(user_id) FROM obs WHERE accuracy <= 40000 GROUP BY label""")
+def two_target_commit(spark, folder):
+    """A batch, one that fails after its first target is written, and an overlapping one: each id once."""
+    root = _scratch(spark)
+    o = observations(spark, folder).select("id", "label", "user_id", "accuracy")
+
+    def run(rows, broken=False):
+        near = rows.where("accuracy <= 40000")
+        if broken:
+            near = near.withColumn("user_id", F.when(F.col("id") >= 0, F.raise_error(F.lit("stopped")).cast("long")))
+        targets.commit_together(spark, root, {"far": (rows.where("accuracy > 40000"), "id"), "near": (near, "id")})
+
+    run(o.where("label <> 'view'"))
+    try:
+        run(o, broken=True)
+    except Exception as error:
+        if "stopped" not in str(error):
+            raise
+    seen = targets.read(spark, root, "far").where("label = 'view'")
+    if not seen.isEmpty():
+        raise AssertionError("rows of a failed batch can be seen")
+    run(o)
+    parts = [targets.read(spark, root, t).withColumn("target", F.lit(t)) for t in ("far", "near")]
+    return parts[0].unionByName(parts[1]).groupBy("target", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))

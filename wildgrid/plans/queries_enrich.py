@@ -6,6 +6,7 @@ from ..functions import geo, times
 from ..operators import clean, cluster, enrich, features
 from ..operators.profile import value_counts
 from ..operators.storage import settle
+from ..sources import targets
 from ..sources.readers import parse_payload
 from .adapter import (SQL_JOBS, SQL_OBS, SQL_RAW, observations, raw_observations, table, weather_jobs,
                       with_rounded)
@@ -86,7 +87,7 @@ def enrich_stream(spark, folder):
     root = _scratch(spark)
     weather_jobs(spark, folder).write.json(f"{root}/landed")
     stream_enrichment(spark, f"{root}/landed", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{root}/out/snapshots")
+    out = targets.read(spark, f"{root}/out", "snapshots")
     return with_rounded(out.select("id", "temperature_2m", "weathercode_hourly"), "temperature_2m")
 
 

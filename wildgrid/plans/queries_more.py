@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import clean, cluster, features, train
 from ..operators.storage import settle
-from ..sources import readers, registry, sinks
+from ..sources import readers, registry, sinks, targets
 from . import modelling
 from .adapter import table, weather_jobs, with_rounded
 from .catalogue import query
@@ -150,7 +150,7 @@ def stream_accounting(spark, folder):
     broken.write.text(f"{root}/landed/broken")
     for name in ("first", "second"):
         stream_enrichment(spark, f"{root}/landed/*", f"{root}/out", f"{root}/{name}").awaitTermination()
-    kept = spark.read.parquet(f"{root}/out/snapshots").agg(F.lit("kept").alias("outcome"), F.count(F.lit(1)).alias("n"))
+    kept = targets.read(spark, f"{root}/out", "snapshots").agg(F.lit("kept").alias("outcome"), F.count(F.lit(1)).alias("n"))
     rest = open_rejects(spark, f"{root}/out").groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     return kept.unionByName(rest)
 

@@ -30,24 +30,27 @@ def append(df, path, fmt="parquet", partition_by=(), **options):
 
 
 def append_new(df, path, key, fmt="parquet"):
-    """Append one row for each key that is not there yet; a second run adds nothing.
+    """Append one row for each key that is not there yet; a second run adds nothing."""
+    done = read_or_empty(df.sparkSession, path, df.schema, fmt).select(key)
+    append(new_rows(df, done, key), path, fmt)
 
-    Of several new rows of a key the least is appended, so a repeated batch
-    writes the same rows.
-    Of the target only keys of this batch are kept for the comparison, so the
-    history is read in one narrow column and never shuffled as long as the
-    batch's keys are few. Rows without a key are appended every time.
+
+def new_rows(df, done, key):
+    """One row for each key of ``df`` that is not in ``done``.
+
+    Of several rows of a key the least is kept, so a repeated batch writes the
+    same rows. Of ``done`` only keys of this batch are kept for the comparison,
+    so a history is read in one narrow column and never shuffled as long as the
+    batch's keys are few. Rows without a key are always kept.
     """
-    spark = df.sparkSession
     keys = settle(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "batch-keys")
-    done = read_or_empty(spark, path, df.schema, fmt).select(key)
     seen = settle(done.join(keys.select(key), key, "left_semi").distinct(), "seen")
     fresh = df.join(seen, key, "left_anti").select(*df.columns)
     twice = keys.where("_n > 1").select(key)
     if not twice.isEmpty():
         repeated = least_rows(fresh.join(twice, key, "left_semi").select(*df.columns), key)
         fresh = fresh.join(twice, key, "left_anti").select(*df.columns).unionByName(repeated)
-    append(fresh, path, fmt)
+    return fresh
 
 
 def append_report(df, path, **tags):

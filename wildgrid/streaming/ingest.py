@@ -1,7 +1,8 @@
 """Incremental runs over landed files: cleaning, enrichment, scoring.
 
 Every batch reads what is already in the targets and adds only new ids, so a
-repeated batch, or a lost checkpoint, changes nothing.
+repeated batch, or a lost checkpoint, changes nothing. The two outputs of a
+cleaning or enrichment batch appear together; read them with ``targets.read``.
 """
 
 from pyspark.sql import functions as F, types as T
@@ -12,6 +13,7 @@ from ..plans.cleaning import clean_batch
 from ..operators.storage import settle, steps_removed
 from ..schemas import (
     CASCADE_RESULTS, ID_ONLY, RAW_OBSERVATIONS, WEATHER_JOB, weather_payload, weather_snapshot)
+from ..sources import targets
 from ..sources.sinks import append_new, read_or_empty
 
 
@@ -45,11 +47,9 @@ def stream_cleaning(spark, source, out, checkpoint, cells=None, files_per_batch=
         numbered = batch.withColumn("input_order", F.struct(
             F.col("input_order.at").alias("at"), F.col("input_order.file").alias("file"),
             F.col("input_order.block").alias("block"), F.monotonically_increasing_id().alias("row")))
-        done = [read_or_empty(session, f"{out}/{t}", ID_ONLY) for t in
-                ("interim", "bad_quality")]
+        done = [targets.read(session, out, t, ID_ONLY) for t in ("interim", "bad_quality")]
         good, bad = clean_batch(numbered, cells, done)
-        append_new(bad, f"{out}/bad_quality", "id")
-        append_new(good, f"{out}/interim", "id")
+        targets.commit_together(session, out, {"bad_quality": (bad, "id"), "interim": (good, "id")})
 
     return _run(rows, work, checkpoint, available_now)
 
@@ -72,7 +72,7 @@ def stream_enrichment(spark, source, out, checkpoint, files_per_batch=100, avail
         session = batch.sparkSession
         batch = settle(batch, "landed")
         known = batch.where(F.col(broken).isNull() & F.col("id").isNotNull()).select(*jobs)
-        done = read_or_empty(session, f"{out}/snapshots", weather_snapshot()).select("id")
+        done = targets.read(session, out, "snapshots", weather_snapshot()).select("id")
         seen = done.join(known.select("id").distinct(), "id", "left_semi").distinct()
         kept, rejected = enrich.snapshots(known.join(settle(seen, "seen"), "id", "left_anti").select(*jobs))
         # Copies of a job: the first reading in time, then by content, is kept.
@@ -86,16 +86,15 @@ def stream_enrichment(spark, source, out, checkpoint, files_per_batch=100, avail
             F.coalesce(broken, F.to_json(F.struct(*jobs))).alias("line"))
         rejects = rejected.unionByName(lost).withColumn("key", F.md5(F.concat_ws(
             "|", F.col("id").cast("string"), "reason", "line")))
-        append_new(rejects, f"{out}/rejects", "key")
-        append_new(kept, f"{out}/snapshots", "id")
+        targets.commit_together(session, out, {"rejects": (rejects, "key"), "snapshots": (kept, "id")})
 
     return _run(lines, work, checkpoint, available_now)
 
 
 def open_rejects(spark, out):
     """(id, reason, line) of lines whose job has not been delivered well since."""
-    rejects = spark.read.parquet(f"{out}/rejects").drop("key")
-    done = read_or_empty(spark, f"{out}/snapshots", weather_snapshot()).select("id")
+    rejects = targets.read(spark, out, "rejects").drop("key")
+    done = targets.read(spark, out, "snapshots", weather_snapshot()).select("id")
     return rejects.join(done, "id", "left_anti").select("id", "reason", "line")
 
 
