@@ -47,18 +47,6 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert all((found[i] > 0.5) == (i % 3 == 0) for i in found)
 
 
-def test_toxicity_is_not_too_sure(spark):
-    """Labels by chance: scores stay near the share of toxic rows instead of naming the learned rows."""
-    words = "river stone light house tree cloud path field you idiot fool bird".split()
-    text = lambda i: " ".join(words[i * 7919 // (j + 1) ** 3 % len(words)] for j in range(12))
-    rows = [(i, text(i) + "!" * (i % 5), i * 2654435761 // 1024 % 10 // 7) for i in range(600)]
-    noise = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    share = sum(r[2] for r in rows) / len(rows)
-    scores = {r["doc_id"]: r["score"] for r in toxicity.score(noise, toxicity.fit(noise)).collect()}
-    off = sum((scores[i] - share) ** 2 for i, _, _ in rows) / len(rows)
-    assert off < 0.01
-
-
 def test_language_held_out(spark):
     docs = table(spark, FOLDER, "documents")
     model = language.fit(docs.where(~held_out()))
