@@ -77,6 +77,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
 
 @pytest.mark.parametrize("name", [
     "append_metrics",
+    "append_twice",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
