@@ -78,6 +78,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
 @pytest.mark.parametrize("name", [
     "append_metrics",
     "append_twice",
+    "balanced_weights",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
