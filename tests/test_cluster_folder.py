@@ -79,6 +79,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "append_metrics",
     "append_twice",
     "balanced_weights",
+    "batch_numbers",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
