@@ -80,6 +80,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "append_twice",
     "balanced_weights",
     "batch_numbers",
+    "cascade_accuracy",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
