@@ -81,6 +81,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "balanced_weights",
     "batch_numbers",
     "cascade_accuracy",
+    "cascade_error_rate",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
