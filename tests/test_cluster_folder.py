@@ -85,6 +85,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "cascade_error_rate_upper",
     "cascade_rejects",
     "cascade_results",
+    "class_size_filter",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
