@@ -87,6 +87,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "cascade_results",
     "class_size_filter",
     "class_size_quantiles",
+    "cleaning_files",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
