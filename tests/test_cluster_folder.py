@@ -90,6 +90,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "cleaning_files",
     "cleaning_flow_bad",
     "cleaning_flow_good",
+    "country_of_point",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
