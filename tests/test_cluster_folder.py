@@ -93,6 +93,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "country_of_point",
     "dedupe_keep_first",
     "dedupe_tied_order",
+    "describe_numeric",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
