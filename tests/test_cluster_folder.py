@@ -98,6 +98,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "elbow_one_cluster",
     "enrich_stream",
     "embedding_head",
+    "exact_quantiles",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
