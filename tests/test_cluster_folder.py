@@ -99,6 +99,7 @@ def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     "enrich_stream",
     "embedding_head",
     "exact_quantiles",
+    "enrichment_errors",
 ])
 def test_same_as_sql_on_a_cluster(cluster, folder, name):
     queries, oracles = catalogue.load()
