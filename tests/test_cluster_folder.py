@@ -14,6 +14,7 @@ from check_queries import TABLES, compare, connect  # noqa: E402
 
 from wildgrid.operators import storage  # noqa: E402
 from wildgrid.plans import catalogue  # noqa: E402
+from wildgrid.session import with_scratch  # noqa: E402
 
 # Own rows: count and columns of each table that the queries below read.
 ROWS = {
@@ -70,11 +71,55 @@ def test_folder_without_a_scheme_lies_on_the_default_file_system(cluster):
 def test_folder_that_executors_do_not_share_stops_the_job(cluster, monkeypatch):
     """Each has a disk of its own: the driver finds none of the rows that they wrote."""
     monkeypatch.setattr(storage, "_shared", set())
-    monkeypatch.setattr(storage, "_returns_rows", lambda *_: False)
+    monkeypatch.setattr(storage, "returns_rows", lambda *_: False)
     with pytest.raises(RuntimeError, match="do not share"):
         storage.settle(cluster.range(9))
 
 
+class Unnamed:
+    """A session with executors of their own that names a warehouse and no other folder."""
+
+    def __init__(self, spark, warehouse, master):
+        self.named, self.master, self.folder = {"spark.sql.warehouse.dir": warehouse}, master, None
+        self.spark, self.conf, self.sparkContext = spark, self, Unnamed.Context(self)
+
+    def get(self, key, default=None):
+        return self.named.get(key, default)
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+    class Context:
+        def __init__(self, session):
+            self.session, self.master = session, session.master
+
+        def getCheckpointDir(self):
+            return self.session.folder
+
+        def setCheckpointDir(self, folder):
+            self.session.folder = folder
+
+        def __getattr__(self, name):
+            return getattr(self.session.spark.sparkContext, name)
+
+
+@pytest.mark.parametrize("master", ["local-cluster[3,2,1024]", "spark://host:7077"])
+def test_steps_go_to_the_warehouse_if_no_folder_is_named(spark, tmp_path, master):
+    session = with_scratch(Unnamed(spark, f"file:{tmp_path}", master))
+    assert storage.shared_folder(session).startswith(f"file:{tmp_path}/")
+
+
+@pytest.mark.parametrize("fault", ["lost", "refused"])
+def test_warehouse_that_executors_do_not_share_is_not_taken(spark, tmp_path, monkeypatch, fault):
+    """Rows that vanish, and folders that cannot be made (here below a file), give an error, not empty results."""
+    (tmp_path / "file").write_text("")
+    if fault == "lost":
+        monkeypatch.setattr(storage, "returns_rows", lambda *_: False)
+    session = with_scratch(Unnamed(spark, f"file:{tmp_path}/file", "local-cluster[3,2,1024]"))
+    with pytest.raises(RuntimeError, match="set spark.checkpoint.dir"):
+        storage.shared_folder(session)
+
+
 @pytest.mark.parametrize("name", [
     "append_metrics",
     "append_twice",
