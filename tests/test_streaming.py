@@ -1,11 +1,16 @@
 """Incremental runs: new files only, overlapping ids, lost checkpoints."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from wildgrid.operators import enrich
-from wildgrid.plans.adapter import raw_observations, weather_jobs
+from wildgrid.operators.storage import settle
+from wildgrid.plans import adapter, catalogue
+from wildgrid.plans.adapter import land_weather_jobs, raw_observations, weather_jobs
 from wildgrid.sources import targets
 from wildgrid.sources.sinks import overwrite
+from wildgrid.streaming import ingest
 from wildgrid.streaming.ingest import open_rejects, stream_cleaning, stream_enrichment, stream_scoring
 
 
@@ -100,3 +105,61 @@ def test_scoring_resumes(spark, tmp_path):
                        score).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
     assert seen[0] == 20 and sum(seen[1:]) == 0
+
+
+def own_tables(spark, folder, n=400):
+    """Events, some ids of which come twice and some are null, and customers."""
+    i = F.col("id")
+    spark.range(n).select(
+        F.when(i % 50 != 7, i % (n - 20)).alias("event_id"),
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 613)").alias("ts"),
+        (i * 7 % 40).alias("user_id"), F.lit("view").alias("event_type"), (i % 31 + 0.25).alias("value"),
+        F.lit("{}").alias("props")).write.parquet(f"{folder}/events.parquet")
+    spark.range(9).select(i.alias("c_custkey")).write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+def test_payloads_are_not_written_again(spark, tmp_path, monkeypatch):
+    """A batch writes snapshots and verdicts; the payloads stay in the landed lines."""
+    weather_jobs(spark, own_tables(spark, str(tmp_path))).write.json(str(tmp_path / "in"))
+    written = []
+    for module in (ingest, enrich):
+        monkeypatch.setattr(module, "settle", lambda df, name="step": written.append(df.columns) or settle(df, name))
+    stream_enrichment(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert written and not any("payload" in columns for columns in written)
+
+
+def test_batches_leave_no_shuffles(spark, tmp_path):
+    """Shuffle files of a batch go with it, and the caller's session keeps its setting."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.range(9).write.parquet(str(tmp_path / "in"))
+    before, seen = spark.conf.get(setting), []
+    rows = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    ingest._run(rows, lambda batch, _: seen.append(batch.sparkSession.conf.get(setting)),
+                str(tmp_path / "c")).awaitTermination()
+    assert seen == ["true"] and spark.conf.get(setting) == before
+
+
+def test_jobs_land_in_parts(spark, tmp_path, monkeypatch):
+    """All jobs, those of an id in one part, one part on the disk at a time."""
+    monkeypatch.setattr(adapter, "JOBS_LANDED", 150)
+    folder, path = own_tables(spark, str(tmp_path)), str(tmp_path / "landed")
+    parts = []
+    for _ in land_weather_jobs(spark, folder, path):
+        parts.append([(r["id"], r["obs_time"]) for r in spark.read.json(path).collect()])
+    assert len(parts) == 3 and not os.path.exists(path)
+    whole = [(r["id"], r["obs_time"]) for r in weather_jobs(spark, folder).collect()]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(sum(parts, [])) == order(whole)
+    ids = [{i for i, _ in part} for part in parts]
+    assert sum(map(len, ids)) == len(set.union(*ids))
+
+
+def test_streams_over_parts_give_the_same_rows(spark, tmp_path, monkeypatch):
+    folder, (queries, _) = own_tables(spark, str(tmp_path)), catalogue.load()
+    for name in ("enrich_stream", "stream_accounting"):
+        found = []
+        for landed in (10_000, 150):
+            monkeypatch.setattr(adapter, "JOBS_LANDED", landed)
+            found.append(sorted(map(str, queries[name](spark, folder).collect())))
+        assert found[0] and found[0] == found[1]

@@ -8,8 +8,8 @@ from ..operators.profile import value_counts
 from ..operators.storage import settle
 from ..sources import targets
 from ..sources.readers import parse_payload
-from .adapter import (SQL_JOBS, SQL_OBS, SQL_RAW, observations, raw_observations, table, weather_jobs,
-                      with_rounded)
+from .adapter import (SQL_JOBS, SQL_OBS, SQL_RAW, land_weather_jobs, observations, raw_observations, table,
+                      weather_jobs, with_rounded)
 from .catalogue import query
 
 
@@ -80,13 +80,13 @@ def enrichment_errors(spark, folder):
   SELECT id, round(v + h + 1e-9, 6) AS temperature_2m, CAST(h + 21 AS INTEGER) AS weathercode_hourly
   FROM jobs WHERE NOT no_hour AND NOT no_rain""")
 def enrich_stream(spark, folder):
-    """The same enrichment as a stream over landed JSON files."""
+    """The same enrichment as a stream over landed JSON files, which go when the stream has read them."""
     from ..streaming.ingest import stream_enrichment
     from .queries_clean import _scratch
 
     root = _scratch(spark)
-    weather_jobs(spark, folder).write.json(f"{root}/landed")
-    stream_enrichment(spark, f"{root}/landed", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    for _ in land_weather_jobs(spark, folder, f"{root}/landed"):
+        stream_enrichment(spark, f"{root}/landed", f"{root}/out", f"{root}/checkpoint").awaitTermination()
     out = targets.read(spark, f"{root}/out", "snapshots")
     return with_rounded(out.select("id", "temperature_2m", "weathercode_hourly"), "temperature_2m")
 

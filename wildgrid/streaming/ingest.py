@@ -19,6 +19,8 @@ from ..sources.sinks import append_new, read_or_empty
 
 def _run(stream, work, checkpoint, available_now=True):
     def tidy(batch, number):
+        # The session is the stream's own: its batches leave neither shuffles nor steps behind.
+        batch.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         with steps_removed(batch.sparkSession):
             work(batch, number)
 
@@ -70,21 +72,22 @@ def stream_enrichment(spark, source, out, checkpoint, files_per_batch=100, avail
 
     def work(batch, number):
         session = batch.sparkSession
-        batch = settle(batch, "landed")
-        known = batch.where(F.col(broken).isNull() & F.col("id").isNotNull()).select(*jobs)
+        lost = F.when(F.col(broken).isNotNull(), "unreadable").when(F.col("id").isNull(), "no id")
+        line = F.when(lost.isNotNull(), F.coalesce(broken, F.to_json(F.struct(*jobs))))
+        # Lines are read once; their payloads, many times larger than a snapshot, are not written again.
+        landed = settle(enrich.judged(batch, also=[lost.alias("_lost"), line.alias("line")]), "landed")
+        known = landed.where("_lost is null")
         done = targets.read(session, out, "snapshots", weather_snapshot()).select("id")
-        seen = done.join(known.select("id").distinct(), "id", "left_semi").distinct()
-        kept, rejected = enrich.snapshots(known.join(settle(seen, "seen"), "id", "left_anti").select(*jobs))
+        seen = settle(done.join(known.select("id").distinct(), "id", "left_semi").distinct(), "seen")
+        fresh = known.join(seen, "id", "left_anti")
         # Copies of a job: the first reading in time, then by content, is kept.
+        kept = fresh.where("reason is null").select(*weather_snapshot().names)
         kept = kept.withColumn("_h", F.xxhash64(*kept.columns))
         kept = settle(dedupe_first(kept, "id", ["observed_on", "_h"]).drop("_h"), "kept")
-        rejected = rejected.join(kept.select("id"), "id", "left_anti").select(
-            "id", "reason", F.lit(None).cast("string").alias("line"))
-        lost = batch.where(F.col(broken).isNotNull() | F.col("id").isNull()).select(
-            F.when(F.col(broken).isNull(), F.col("id")).alias("id"),
-            F.when(F.col(broken).isNotNull(), "unreadable").otherwise("no id").alias("reason"),
-            F.coalesce(broken, F.to_json(F.struct(*jobs))).alias("line"))
-        rejects = rejected.unionByName(lost).withColumn("key", F.md5(F.concat_ws(
+        rejected = fresh.where("reason is not null").join(kept.select("id"), "id", "left_anti").select("id", "reason", "line")
+        unread = landed.where("_lost is not null").select(
+            F.when(F.col("_lost") == "no id", F.col("id")).alias("id"), F.col("_lost").alias("reason"), "line")
+        rejects = rejected.unionByName(unread).withColumn("key", F.md5(F.concat_ws(
             "|", F.col("id").cast("string"), "reason", "line")))
         targets.commit_together(session, out, {"rejects": (rejects, "key"), "snapshots": (kept, "id")})
 
