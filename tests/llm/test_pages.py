@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from wildgrid.llm.pages import extract, host_of, main_text, templates
+from wildgrid.llm.pages import extract, host_of, main_text, movers, nested, order_of, templates
 
 
 @pytest.mark.parametrize("page, text", [
@@ -67,3 +67,41 @@ def test_odd_rows(spark):
     assert len(found) == 5 and all(r["n_chars"] == len(r["text"]) for r in found)
     assert extract(pages.where("page_id = 77")).count() == 0
     assert [r[0] for r in pages.where("page_id = 2").select(host_of(F.col("url"))).collect()] == ["a.b"]
+
+
+def test_orders_and_nests():
+    assert order_of(list("abab")) == (False, list("ab")) and order_of(list("aabb")) == (True, list("aabb"))
+    assert movers(list("abcx"), list("xabc")) == {"x"} and not movers(list("abab"), list("ab"))
+    assert len(movers(list("aabb"), list("ab"))) == 1
+    a, b, c = list("aceg"), list("bd"), list("hi")
+    every = [(0, -1, 0, 20), (1, -1, 0, 12), (2, -1, 0, 12)]
+    assert nested([a, b, c], [*every, (1, 0, 1, 12), (2, 0, 3, 12)]) == [a, b, c]
+    assert nested([a, b, c], [*every, (1, 0, 1, 12), (1, 0, 0, 12), (2, 0, 3, 12)]) == [a, c]  # b ends elsewhere
+    assert nested([a, b, c], [*every, (1, 0, 1, 7), (1, 0, 2, 5), (2, 0, 3, 11)]) == [a]  # b moves, c is once outside
+
+
+def test_classes_are_ordered_nested_and_told_apart_by_gaps(spark):
+    """Texts that are only by chance as frequent as the template stay; headings in a gap of their own go."""
+    page = ("<body><div class='text'><div class='one'>{0}</div><div class='two'>{1}</div><p>Story {2} "
+            "has its own many words here.</p><div class='three'>{3}</div></div></body>")
+    hosts = {
+        # Two notes that change places from page to page: one of them has no place in the template.
+        "moves": lambda i: page.format("", "<i></i>", i, "Note A<br>Note B" if i % 2 else "Note B<br>Note A"),
+        # A class of the pages but two begins inside the class of all pages and ends after its last token.
+        "crosses": lambda i: page.format("Begin" * (i > 1), "", i, "End" * (i > 1)),
+        # The heading is in a fixed place in all pages, and elsewhere in some.
+        "roles": lambda i: page.format("", "", i, "").replace("<p>", "<h2>Latest</h2><p>").replace(
+            "<div class='three'>", "<div class='three'></div>" + "<h2>Latest</h2>" * (i % 3 == 0)),
+        # Each page comes twice.
+        "twice": lambda i: page.format("", "", i, "<br>".join(["Alpha"] * (i < 12) + ["Beta"] * (i > 7))),
+    }
+    rows = [(i, f"http://{host}/", make(i)) for host, make in hosts.items() for i in range(20)
+            for _ in range(1 + (host == "twice"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {(r["url"][7:-1], r["page_id"]): r["text"] for r in extract(pages).collect()}
+    story = "Story {} has its own many words here."
+    notes = {found["moves", i].removeprefix(story.format(i)).strip() for i in range(20)}
+    assert notes in ({"Note A"}, {"Note B"})
+    assert found["crosses", 9] == f"Begin {story.format(9)} End"
+    assert found["roles", 1] == story.format(1) and found["roles", 3] == f"{story.format(3)} Latest"
+    assert found["twice", 3] == f"{story.format(3)} Alpha" and found["twice", 9] == f"{story.format(9)} Alpha Beta"
