@@ -156,10 +156,15 @@ def test_jobs_land_in_parts(spark, tmp_path, monkeypatch):
 
 
 def test_streams_over_parts_give_the_same_rows(spark, tmp_path, monkeypatch):
+    """Each of three parts is read by every stream of a query."""
     folder, (queries, _) = own_tables(spark, str(tmp_path)), catalogue.load()
-    for name in ("enrich_stream", "stream_accounting"):
+    runs = []
+    monkeypatch.setattr(ingest, "stream_enrichment", lambda *args: runs.append(args[-1]) or stream_enrichment(*args))
+    for name, streams in (("enrich_stream", 1), ("stream_accounting", 2)):
         found = []
-        for landed in (10_000, 150):
+        for landed, parts in ((10_000, 1), (150, 3)):
             monkeypatch.setattr(adapter, "JOBS_LANDED", landed)
+            runs.clear()
             found.append(sorted(map(str, queries[name](spark, folder).collect())))
+            assert len(runs) == streams * parts and len(set(runs)) == streams
         assert found[0] and found[0] == found[1]
